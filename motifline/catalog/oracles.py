@@ -206,14 +206,14 @@ wflags AS (
 def compared(aligned: bool) -> str:
     source, on = ("train", '(w."end" // 5) - 2') if aligned else ("test", "w.start")
     return f"""{ERRORS}, {window_flags(source)}, {symbols('roles', RKEYS, 4, 3)}, {model(ET)}, {scoring(ET, ET)},
-both AS (
+met AS (
   SELECT w.event_type, w."end", w.label, CAST(s.decision = 'anomaly' AS INTEGER) AS pred_a, w.pred AS pred_b
   FROM wflags w JOIN scored s ON s.event_type = w.event_type AND s.time_step = {on}),
 tab AS (
   SELECT event_type, count(*) FILTER (pred_a = label AND pred_b = label) AS both_correct,
     count(*) FILTER (pred_a = label AND pred_b <> label) AS a_only,
     count(*) FILTER (pred_a <> label AND pred_b = label) AS b_only,
-    count(*) FILTER (pred_a <> label AND pred_b <> label) AS neither FROM both GROUP BY event_type)"""
+    count(*) FILTER (pred_a <> label AND pred_b <> label) AS neither FROM met GROUP BY event_type)"""
 
 
 MCNEMAR = """, st AS (
@@ -357,9 +357,9 @@ def oracle_sql() -> dict[str, str]:
         "transition_probs": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + f" SELECT event_type, s_from, s_to, {r('p', 'p')} FROM edges",
         "state_set": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + " SELECT event_type, state FROM states",
         "source_state_count": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + " SELECT event_type, count(DISTINCT s_from) AS source_states FROM edges GROUP BY event_type",
-        "edit_distance": W + ROLES + ", " + symbols("roles", RKEYS, 6, 6) + " SELECT event_type, role, seg, levenshtein(prev, pattern) AS distance FROM steps WHERE prev IS NOT NULL",
-        "nearest_state": W + detector(6, 4) + " SELECT event_type, pattern, mapped_to, dist AS distance FROM resolved WHERE status = 'unseen'",
-        "nearest_state_all_unseen": W + detector(6, 6) + " SELECT event_type, pattern, mapped_to, dist AS distance FROM resolved WHERE status = 'unseen'",
+        "edit_distance": W + ROLES + ", " + symbols("roles", RKEYS, 6, 6) + " SELECT event_type, role, seg, CAST(levenshtein(prev, pattern) AS INTEGER) AS distance FROM steps WHERE prev IS NOT NULL",
+        "nearest_state": W + detector(6, 4) + " SELECT event_type, pattern, mapped_to, CAST(dist AS INTEGER) AS distance FROM resolved WHERE status = 'unseen'",
+        "nearest_state_all_unseen": W + detector(6, 6) + " SELECT event_type, pattern, mapped_to, CAST(dist AS INTEGER) AS distance FROM resolved WHERE status = 'unseen'",
         "transition_probability": W + detector(6, 4) + f""" SELECT DISTINCT t.event_type, t.prev AS s_from, t.pattern AS s_to, {r('coalesce(e.p, 0)', 'probability')}
             FROM steps t LEFT JOIN edges e ON e.event_type = t.event_type AND e.s_from = t.prev AND e.s_to = t.pattern
             WHERE t.role = 'test' AND t.prev IS NOT NULL""",
@@ -400,7 +400,7 @@ def oracle_sql() -> dict[str, str]:
         "detect": W + detector() + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
         "detect_many_series": W + suppliers + ", " + chrono() + ", " + symbols("roles", ["l_suppkey", "role"], 4, 3) + ", " + model(["l_suppkey"]) + ", "
             + scoring(["l_suppkey"], ["l_suppkey"]) + ", " + metrics(["l_suppkey"]) + f" SELECT l_suppkey, steps, {METRIC_COLS} FROM metrics",
-        "skipped_series": """SELECT user_id FROM events GROUP BY user_id HAVING (CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) // 5) < 4""",
+        "skipped_series": """SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING (CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) // 5) < 4""",
         "pipeline": W + PROJECTED + ", " + symbols("projected", RKEYS, 4, 3) + ", " + model(ET) + ", " + scoring(ET, ET) + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
         "fold_metrics": FOLD_METRICS + f" SELECT fold, steps, {METRIC_COLS} FROM metrics",
         "fold_mean": FOLD_METRICS + f" SELECT 'events' AS dataset, {', '.join(r(f'avg({c})', c) for c in ('accuracy', 'precision', 'recall', 'f1'))} FROM metrics",

@@ -392,11 +392,11 @@ def mcnemar(aligned: bool) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def skipped_series(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").selectExpr(
-        "user_id", "ts", "event_id", "cast(value as decimal(12,2)) as x", LABEL
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "cast(l_extendedprice as decimal(12,2)) as x"
     )
-    roles = splits.chrono_split(with_position(rows, ["user_id"], ["ts", "event_id"]))
-    return X.skipped(roles, ["user_id"])
+    series = with_position(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return X.skipped(splits.chrono_split(series), ["l_partkey"])
 
 
 def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,6 +47,12 @@ def _views(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
     return pdf["pos"].to_numpy()[starts], np.lib.stride_tricks.sliding_window_view(x, length)[starts]
 
 
+def _with_keys(out: pd.DataFrame, group: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
+    """Put the group's key values in front of `out`."""
+    keys = {c: np.full(len(out), group[c].iloc[0] if len(group) else None, dtype=object) for c in names}
+    return pd.concat([pd.DataFrame(keys, index=out.index), out], axis=1)
+
+
 def _blocks(df: DataFrame, keys: Sequence[str], length: int, block_rows: int) -> DataFrame:
     return halo(df.select(*keys, "pos", F.col("x").cast("double").alias("x")), "pos", 0, length - 1, block_rows).select(
         *keys, "_block", "_own", "pos", "x"
@@ -72,9 +78,7 @@ def reconstruction_fit(
         out = pd.DataFrame(
             {"i": i, "j": j, "prod": gram[i, j], "total": w.sum(axis=0)[i], "windows": len(w)}
         )
-        for c in reversed(names):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+        return _with_keys(out, pdf, names)
 
     parts = (
         _blocks(train, keys, length, block_rows)
@@ -139,15 +143,13 @@ def reconstruction_error(
 
     def score(pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(fitted):
-            return pd.DataFrame({c: [] for c in [*names, "start", "score"]})
+            return _with_keys(pd.DataFrame({"start": np.empty(0, dtype=np.int64), "score": np.empty(0)}), pdf, names)
         starts, w = _views(pdf, length)
         axes = np.array([np.asarray(a, dtype=float) for a in fitted["axes"].iloc[0]])
         d = w - np.asarray(fitted["means"].iloc[0], dtype=float)
         rest = d - (d @ axes.T) @ axes
         out = pd.DataFrame({"start": starts, "score": np.mean(rest * rest, axis=1)})
-        for c in reversed(names):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+        return _with_keys(out, pdf, names)
 
     schema = T.StructType(
         [

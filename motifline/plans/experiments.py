@@ -220,7 +220,7 @@ def robustness_table(
     if length is None:
         return table
     windows = detect_windows(series, keys, length, vary=["std"], test=test, block_rows=block_rows)
-    return table.join(_by_level(binary_metrics(windows, [*keys, "std"]), by, stds, "windows"), by)
+    return table.join(_by_level(binary_metrics(windows, [*keys, "std"]), by, stds, "windows"), by, "left")
 
 
 def cross_dataset_matrix(

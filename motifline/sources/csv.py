@@ -47,7 +47,7 @@ def read_grouped_csv(
         .agg(F.min_by("value", "_line").alias("header"))
         .groupBy("header")
         .agg(F.sort_array(F.collect_list("file_path")).alias("files"))
-        .orderBy("header")
+        .orderBy(F.col("files")[0])
         .collect()
     )
     if not headers:
