@@ -37,12 +37,13 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def event_series(spark: SparkSession, sf: str) -> DataFrame:
-    return with_position(event_rows(spark, sf), ET, ["ts", "event_id"])
+def event_series(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    keep = ["x", "label", *more]
+    return with_position(event_rows(spark, sf), ET, ["ts", "event_id"], keep=keep, unique=True)
 
 
-def event_roles(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.chrono_split(event_series(spark, sf))
+def event_roles(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    return splits.chrono_split(event_series(spark, sf, *more))
 
 
 def event_letters(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +84,7 @@ def feature_roles(spark: SparkSession, sf: str) -> DataFrame:
         "event_type", "ts", "event_id", "value as f1", "cast(hour(ts) as double) as f2",
         "cast(user_id as double) as f3", "cast(get_json_object(props, '$.k') as double) as f4", LABEL,
     )
-    return splits.chrono_split(with_position(rows, ET, ["ts", "event_id"]))
+    return splits.chrono_split(with_position(rows, ET, ["ts", "event_id"], keep=[*COLS, "label"], unique=True))
 
 
 def scaled(spark: SparkSession, sf: str, method: str, cols: list[str] = COLS) -> DataFrame:
@@ -108,7 +109,8 @@ def sensor_rows(spark: SparkSession, sf: str) -> DataFrame:
 def folded(spark: SparkSession, sf: str) -> DataFrame:
     rows = sensor_rows(spark, sf)
     folds = splits.group_kfold(rows, "source_file", ["dataset"])
-    return splits.fold_roles(rows, folds, "source_file", ["dataset"], ["source_group", "source_file", "ts", "event_id"])
+    return splits.fold_roles(rows, folds, "source_file", ["dataset"], ["source_group", "source_file", "ts", "event_id"],
+                             keep=["event_id", "x", "label"], unique=True)
 
 
 def two_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +121,7 @@ def two_sources(spark: SparkSession, sf: str) -> DataFrame:
         "'orders'", "o_orderdate", "o_orderkey", "cast(o_totalprice as decimal(12,2))",
         "cast(o_totalprice >= 400000 as int)",
     )
-    return splits.chrono_split(with_position(events.union(orders), ["dataset"], ["t", "id"]))
+    return splits.chrono_split(with_position(events.union(orders), ["dataset"], ["t", "id"], keep=["x", "label"], unique=True))
 
 
 def supplier_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +129,8 @@ def supplier_series(spark: SparkSession, sf: str) -> DataFrame:
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         "cast(l_extendedprice as decimal(12,2)) as x", "cast(l_returnflag = 'R' as int) as label",
     )
-    return with_position(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+    return with_position(rows, ["l_suppkey"], order, keep=["x", "label"])
 
 
 def whole_number_noise(df: DataFrame, std: str, seed: str = "42L") -> DataFrame:
@@ -228,7 +231,7 @@ def features_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def labels_times_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark)
-    rows = event_roles(spark, sf).where("role <> 'train'")
+    rows = event_roles(spark, sf, "ts", "event_id").where("role <> 'train'")
     tables.write_labels_times(rows, path, ["event_type", "event_id", "ts", "label"], ["role"])
     schema = "event_type string, event_id bigint, ts timestamp_ntz, label int, role string"
     return spark.read.option("header", True).schema(schema).csv(path).select(
@@ -395,7 +398,7 @@ def skipped_series(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").selectExpr(
         "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "cast(l_extendedprice as decimal(12,2)) as x"
     )
-    series = with_position(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    series = with_position(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], keep=["x"])
     return X.skipped(splits.chrono_split(series), ["l_partkey"])
 
 
@@ -460,10 +463,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_files": metrics_files,
         "results_files": results_files,
         # order and splits
-        "positions": lambda s, d: event_series(s, d).select("event_type", "event_id", "pos", "n"),
+        "positions": lambda s, d: event_series(s, d, "event_id").select("event_type", "event_id", "pos", "n"),
         "positions_one_series": positions_one_series,
         "positions_many_series": lambda s, d: supplier_series(s, d).selectExpr("l_suppkey", "pos", "n", "cast(x as double) as x"),
-        "chrono_split": lambda s, d: event_roles(s, d).select("event_type", "event_id", "role", "pos", "n"),
+        "chrono_split": lambda s, d: event_roles(s, d, "event_id").select("event_type", "event_id", "role", "pos", "n"),
         "group_kfold": group_kfold,
         "fold_roles": lambda s, d: folded(s, d).select("event_id", "fold", "role", "pos", "n"),
         "distinct_groups": lambda s, d: splits.distinct_groups(table(s, d, "events"), "user_id", ET),

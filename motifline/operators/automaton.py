@@ -7,15 +7,16 @@ rows get their score back through a join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import product
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifline.plans.blocks import attach
+from motifline.plans.blocks import attach, stage
 
 MASK_LIMIT = 2_500
+CODED_LENGTH = 11  # longest word that fits a bigint at five bits a letter, with its distance above
+DISTANCE_UNIT = 1 << 55
 THRESHOLD = 0.05
 
 
@@ -43,15 +44,14 @@ def transition_counts(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     `steps` are rows of `grams`, or the smaller table `count_steps` makes of them.
     """
-    counted = "cnt" in steps.columns
+    counted = steps if "cnt" in steps.columns else count_steps(steps, keys)
+    # Counted steps are few, so they go straight to where `transition_probs` needs them.
     return (
-        steps.where(F.length("gram") > F.col("window_size"))
-        .groupBy(*_and(keys, "window_size"), "gram")
-        .agg(
-            (F.sum("cnt") if counted else F.count(F.lit(1))).alias("cnt"),
-            (F.min("first_seg" if counted else "seg") - 1).alias("first_seg"),
-        )
+        counted.where("length(gram) > window_size")
         .select(*keys, gram_previous().alias("s_from"), gram_pattern().alias("s_to"), "cnt", "first_seg")
+        .repartition(*keys, "s_from")
+        .groupBy(*keys, "s_from", "s_to")
+        .agg(F.sum("cnt").alias("cnt"), F.expr("min(first_seg) - 1").alias("first_seg"))
     )
 
 
@@ -86,21 +86,29 @@ def edit_masks(length: int, limit: int = MASK_LIMIT) -> tuple[list[str], bool]:
     """Ways to blank (`_`) or delete (`-`) positions, cheapest first.
 
     Two words of the same length are at most d edits apart exactly when blanking
-    s and deleting i positions of each, s + 2i = d, can leave the same text.
-    Distance `length` holds for any two, so one all-blank mask covers it. The
-    second value tells whether every distance is covered within `limit`.
+    s and deleting i positions of each, s + 2i = d, can leave the same text. The
+    first mask keeps everything: distance 0. Distance `length` holds for any two,
+    so one all-blank mask covers it. The second value tells whether every
+    distance is covered within `limit`.
     """
     masks: list[str] = []
-    if 3**length <= 4 * limit:
-        kinds = ["".join(m) for m in product("=_-", repeat=length)]
-        for d in range(1, length):
-            level = [m for m in kinds if _cost(m) == d]
-            if len(masks) + len(level) > limit:
-                return masks, False
-            masks += level
-        return [*masks, "_" * length], True
-    one = ["=" * i + "_" + "=" * (length - i - 1) for i in range(length)]
-    return one, False
+    if length > CODED_LENGTH:
+        return masks, False
+    for d in range(length):
+        level = list(_level(length, d))
+        if len(masks) + len(level) > limit:
+            return masks, False
+        masks += level
+    return [*masks, "_" * length], True
+
+
+def _level(length: int, cost: int) -> Iterator[str]:
+    if length == 0:
+        yield from [""] * (cost == 0)
+        return
+    for mark, price in (("=", 0), ("_", 1), ("-", 2)):
+        if price <= cost:
+            yield from (mark + rest for rest in _level(length - 1, cost - price))
 
 
 def _spread_distinct(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
@@ -113,84 +121,121 @@ def _spread_distinct(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     return df.select(*keys, col).repartition(tasks, *keys, col).distinct()
 
 
-def _signatures(df: DataFrame, col: str, masks: dict[int, list[str]]) -> DataFrame:
-    """One row per mask: `_sig` is the masked text and `_dist` the edits it stands for."""
-    by_length = " ".join(f"when {w} then split('{','.join(m)}', ',')" for w, m in masks.items() if m)
-    shown = ", ".join(
-        f"case substring(_mask, {i}, 1) when '=' then substring({col}, {i}, 1) when '_' then '_' else '' end"
-        for i in range(1, max(masks) + 1)
+def _word_code(col: str, longest: int) -> str:
+    """A word as a number that sorts like words of its length: five bits a letter, first letter highest."""
+    code = "0L"
+    for i in range(1, longest + 1):
+        code = f"if(length({col}) >= {i}, 32, 1) * {code} + if(length({col}) >= {i}, ascii(substring({col}, {i}, 1)) - 96, 0)"
+        code = f"({code})"
+    return code
+
+
+def _word(code: str, length: str, longest: int) -> str:
+    letters = (
+        f"if({length} >= {i}, char(96 + (shiftright({code}, 5 * ({length} - {i})) & 31)), '')"
+        for i in range(1, longest + 1)
     )
-    cost = "length(regexp_replace(_mask, '[^_]', '')) + 2 * length(regexp_replace(_mask, '[^-]', ''))"
-    return (
-        df.select("*", F.expr(f"explode(case length({col}) {by_length} end)").alias("_mask"))
-        .select(*df.columns, F.expr(f"concat({shown})").alias("_sig"), F.expr(cost).alias("_dist"))
+    return f"concat({', '.join(letters)})"
+
+
+def _mask_row(mask: str, deletions: int) -> str:
+    """A mask as SQL struct: distance, bits to blank, and the bit offsets of the letters to delete."""
+    offset = [5 * (len(mask) - 1 - i) for i in range(len(mask))]
+    blank = sum(31 << offset[i] for i, m in enumerate(mask) if m == "_")
+    gone = [offset[i] for i, m in enumerate(mask) if m == "-"]
+    return f"struct({_cost(mask)}, {blank}L, {', '.join(map(str, gone + [-1] * (deletions - len(gone))))})"
+
+
+def _signatures(df: DataFrame, col: str, masks: dict[int, list[str]]) -> DataFrame:
+    """One row per mask of the word whose code is `_code`.
+
+    `_sig` is the code of the masked word (31 for a blanked letter) and `_dist`
+    the edits the mask stands for.
+    """
+    deletions = max(1, *(m.count("-") for ms in masks.values() for m in ms))
+    offsets = [f"_d{i}" for i in range(deletions)]
+    by_length = " ".join(
+        f"when {w} then array({', '.join(_mask_row(m, deletions) for m in ms)})" for w, ms in masks.items() if ms
     )
+    out = df.select(
+        "*", F.expr(f"length({col})").alias("_len"),
+        F.expr(f"inline(case length({col}) {by_length} end)").alias("_dist", "_blank", *offsets),
+    ).withColumn("_sig", F.expr("_code | _blank"))
+    for d in offsets:
+        shorter = f"shiftleft(shiftright(_sig, {d} + 5), {d}) | (_sig & (shiftleft(1L, {d}) - 1))"
+        out = out.withColumn("_sig", F.expr(f"if({d} < 0, _sig, {shorter})"))
+    return out.select(*df.columns, "_len", "_dist", "_sig")
 
 
 def _sharing_text(
     pattern: DataFrame, known: DataFrame, keys: Sequence[str], masks: dict[int, list[str]]
 ) -> DataFrame:
-    """Best state of each pattern among those it shares a masked text with."""
-    on = [*keys, "_len", "_sig"]
-    sized = known.select("*", F.expr("length(state)").alias("_len"))
-    offers = _signatures(sized, "state", masks).groupBy(*on).agg(F.min("state").alias("state"))
-    return (
-        _signatures(pattern.select("*", F.expr("length(pattern)").alias("_len")), "pattern", masks)
+    """Best state of each pattern among those it shares a masked word with."""
+    on, longest = [*keys, "_len", "_sig"], max(masks)
+    coded = known.select("*", F.expr(_word_code("state", longest)).alias("_code"))
+    asked = pattern.select("*", F.expr(_word_code("pattern", longest)).alias("_code"))
+    offers = _signatures(coded, "state", masks).groupBy(*on).agg(F.min("_code").alias("_offer"))
+    best = (
+        _signatures(asked, "pattern", masks)
         .join(offers, on)
         .groupBy(*keys, "pattern")
-        .agg(F.expr("min(struct(_dist as dist, state))").alias("_best"))
+        .agg(F.expr(f"min(_dist * {DISTANCE_UNIT}L + _offer)").alias("_rank"))
+    )
+    return best.selectExpr(
+        *[f"`{k}`" for k in keys], "pattern",
+        f"{_word(f'(_rank % {DISTANCE_UNIT}L)', 'length(pattern)', longest)} as mapped_to",
+        f"cast(_rank div {DISTANCE_UNIT}L as int) as distance",
     )
 
 
-def nearest_states(unseen: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> DataFrame:
-    """Nearest state of each unseen pattern: least edit distance, then first by name.
-
-    Columns: keys, pattern, mapped_to, distance.
-    """
-    pattern, known = _spread_distinct(unseen, keys, "pattern"), _spread_distinct(states, keys, "state")
-    return _nearest(pattern, known, keys, lengths)
-
-
-def _nearest(pattern: DataFrame, known: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> DataFrame:
-    """`nearest_states` of distinct patterns and states.
+def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """Nearest state of each distinct pattern: least edit distance, then first by name.
 
     Words at distance d share a masked text of level d (see `edit_masks`), so the
     search is an equi-join on that text. Each text keeps only its first state
     before the join, so no pattern ever meets all states. Most patterns have a
     state within two edits; only the others go through the costlier levels.
     Words too long to mask at every level are compared directly, if they are
-    still unmatched.
+    still unmatched. Columns: keys, pattern, mapped_to, distance.
     """
-    masks = {w: edit_masks(w)[0] for w in lengths}
-    near = {w: [m for m in ms if _cost(m) <= 2 or w <= 3] for w, ms in masks.items()}
-    far = {w: [m for m in ms if m not in set(near[w])] for w, ms in masks.items()}
-    found = _sharing_text(pattern, known, keys, near)
+    pattern, known = _spread_distinct(patterns, keys, "pattern"), _spread_distinct(states, keys, "state")
+    coded = {w: edit_masks(w)[0] for w in lengths if w <= CODED_LENGTH}
+    near = {w: [m for m in ms if _cost(m) <= 2 or w <= 3] for w, ms in coded.items()}
+    far = {w: [m for m in ms if _cost(m) > 2 and w > 3] for w, ms in coded.items()}
+    whole = all(edit_masks(w)[1] for w in lengths)
+    on = [*keys, "pattern"]
+    if coded:
+        found = _sharing_text(pattern, known, keys, near)
+    else:
+        same = known.select(*keys, F.col("state").alias("pattern"), F.col("state").alias("mapped_to"))
+        found = pattern.join(same, on).withColumn("distance", F.lit(0))
+    if whole and not any(far.values()):
+        return found
+    found = stage(found)
+    rest = pattern.join(found, on, "left_anti")
+    if rest.isEmpty():
+        return found
     if any(far.values()):
-        rest = pattern.join(found, [*keys, "pattern"], "left_anti")
         asked = known.join(rest.select(*keys).distinct(), list(keys), "left_semi")
         found = found.unionByName(_sharing_text(rest, asked, keys, far))
-    if not all(edit_masks(w)[1] for w in lengths):
-        rest = pattern.join(found, [*keys, "pattern"], "left_anti")
+    if not whole:
         direct = (
-            rest.join(known, list(keys))
-            .groupBy(*keys, "pattern")
-            .agg(F.expr("min(struct(levenshtein(pattern, state) as dist, state))").alias("_best"))
+            pattern.join(found, on, "left_anti")
+            .join(known, list(keys))
+            .groupBy(*on)
+            .agg(F.expr("min(struct(levenshtein(pattern, state) as distance, state as mapped_to))").alias("_best"))
         )
-        found = found.unionByName(direct)
-    return found.select(*keys, "pattern", F.col("_best.state").alias("mapped_to"), F.col("_best.dist").alias("distance"))
+        found = found.unionByName(direct.select(*on, "_best.mapped_to", "_best.distance"))
+    return found
 
 
 def resolve_patterns(
     patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]
 ) -> DataFrame:
-    """Distinct patterns with `status`, `mapped_to` (null when seen) and `resolved`."""
-    known = _spread_distinct(states, keys, "state")
-    seen = known.select(*keys, F.col("state").alias("pattern"), F.lit(True).alias("_seen"))
-    marked = _spread_distinct(patterns, keys, "pattern").join(seen, [*keys, "pattern"], "left")
-    nearest = _nearest(marked.where("_seen is null").drop("_seen"), known, keys, lengths)
-    return marked.join(nearest, [*keys, "pattern"], "left").selectExpr(
-        *[f"`{k}`" for k in keys], "pattern", "if(_seen, 'seen', 'unseen') as status", "mapped_to",
-        "if(_seen, pattern, mapped_to) as resolved",
+    """Patterns that have a model, with `status`, `mapped_to` (null when seen) and `resolved`."""
+    return nearest_states(patterns, states, keys, lengths).selectExpr(
+        *[f"`{k}`" for k in keys], "pattern", "if(distance = 0, 'seen', 'unseen') as status",
+        "if(distance = 0, null, mapped_to) as mapped_to", "mapped_to as resolved",
     )
 
 
@@ -203,20 +248,20 @@ def evaluate_transitions(
 ) -> DataFrame:
     """Status and mapped state of both ends of each (s_from, s_to), and its probability.
 
-    The probability is 0 when the source or the edge is unknown. A pattern that
-    has no state to map to stays itself.
+    The probability is 0 when the source or the edge is unknown. A pattern without
+    a model is unseen and mapped to nothing.
     """
     wanted = pairs.select(*keys, "s_from", "s_to").distinct()
     ends = wanted.select(*keys, F.explode(F.array("s_from", "s_to")).alias("pattern"))
-    resolved = resolve_patterns(ends, _ends(edges, keys), keys, lengths)
+    resolved = stage(resolve_patterns(ends, _ends(edges, keys), keys, lengths))
 
     def side(name: str) -> DataFrame:
         return resolved.select(
             *keys,
             F.col("pattern").alias(name),
-            F.col("status").alias(f"{name}_status"),
+            F.col("status").alias(f"_{name}_status"),
             F.col("mapped_to").alias(f"{name}_mapped"),
-            F.coalesce("resolved", "pattern").alias(f"_{name}"),
+            F.col("resolved").alias(f"_{name}"),
         )
 
     known = edges.select(*keys, F.col("s_from").alias("_s_from"), F.col("s_to").alias("_s_to"), "p")
@@ -224,9 +269,11 @@ def evaluate_transitions(
         wanted.join(side("s_from"), [*keys, "s_from"], "left")
         .join(side("s_to"), [*keys, "s_to"], "left")
         .join(known, [*keys, "_s_from", "_s_to"], "left")
-        .select(
-            *keys, "s_from", "s_to", "s_from_status", "s_from_mapped", "s_to_status", "s_to_mapped",
-            F.coalesce("p", F.lit(0.0)).alias("probability"),
+        .selectExpr(
+            *[f"`{k}`" for k in keys], "s_from", "s_to",
+            "coalesce(_s_from_status, 'unseen') as s_from_status", "s_from_mapped",
+            "coalesce(_s_to_status, 'unseen') as s_to_status", "s_to_mapped",
+            "coalesce(p, 0D) as probability",
         )
     )
 
@@ -250,13 +297,13 @@ def score_grams(
     """Score each distinct gram of `steps` against the model with the same `keys`.
 
     Columns: keys, window_size, gram, pattern, state, status, mapped_to,
-    probability, decision. The first step of a path has probability 1. Without a
-    model `state` is null.
+    probability, decision. The first step of a path has probability 1. Grams
+    without a model are left out.
     """
     distinct = steps.select(
         *_and(keys, "window_size", "gram"), gram_pattern().alias("pattern"), gram_previous().alias("_previous")
     ).distinct()
-    resolved = resolve_patterns(distinct, _ends(edges, keys), keys, lengths)
+    resolved = stage(resolve_patterns(distinct, _ends(edges, keys), keys, lengths))
     previous = resolved.select(*keys, F.col("pattern").alias("_previous"), F.col("resolved").alias("_from"))
     known = edges.select(*keys, F.col("s_from").alias("_from"), F.col("s_to").alias("state"), "p")
     return (
@@ -283,7 +330,7 @@ def explain_paths(
     `keys` names the model; `steps` may carry more columns. Series without a
     model are left out.
     """
-    scores = score_grams(steps, edges, keys, lengths, threshold).where("state is not null")
+    scores = score_grams(steps, edges, keys, lengths, threshold)
     return (
         attach(steps, scores, _and(keys, "window_size", "gram"), F.col("_block"))
         .withColumnRenamed("seg", "time_step")

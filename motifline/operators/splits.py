@@ -95,7 +95,7 @@ def group_kfold(df: DataFrame, group_col: str, keys: Sequence[str], k: int = 5)
     for any number of groups. Groups of one size find their fold from their rank.
     """
     sizes = df.groupBy(*keys, group_col).agg(F.count(F.lit(1)).alias("rows"))
-    ranked = with_position(sizes, [*keys, "rows"], [F.desc(group_col)], pos="_rank", n="_same")
+    ranked = with_position(sizes, [*keys, "rows"], [F.desc(group_col)], unique=True, pos="_rank", n="_same")
     classes = ranked.groupBy(*keys, F.col("rows").alias("_size")).agg(F.count(F.lit(1)).alias("_groups"))
     schema = T.StructType([*classes.schema.fields, T.StructField("_loads", T.ArrayType(T.LongType()))])
     loads = classes.groupBy(*keys).applyInPandas(_assign_sizes(k, group_col), schema)
@@ -117,12 +117,15 @@ def fold_roles(
     keys: Sequence[str],
     order: Sequence[str],
     val: float = 0.2,
+    keep: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Long format of all folds: each row once per fold, with its role there.
 
     A fold's own groups are its test rows. Of the others, in order, the last
     `int(val * rows)` are val and the rest train; when that is 0, val is empty.
-    Adds `fold`, `role` and the position `pos` and row count `n` within both.
+    Adds `fold`, `role` and the position `pos` and row count `n` within both;
+    `keep` and `unique` are those of `with_position`.
     """
     salt = F.pmod(F.xxhash64(*order), F.lit(1024))
     test_fold = folds.select(*keys, group_col, F.col("fold").alias("_test"), "folds")
@@ -132,7 +135,7 @@ def fold_roles(
         .withColumn("_held_out", F.col("fold") == F.col("_test"))
         .drop("_test", "folds")
     )
-    placed = with_position(each, [*keys, "fold", "_held_out"], order)
+    placed = with_position(each, [*keys, "fold", "_held_out"], order, keep, unique)
     train_end = F.col("n") - F.floor(F.col("n") * F.lit(val))
     in_val = F.col("pos") >= train_end
     return placed.select(

@@ -174,7 +174,7 @@ def percentile_threshold(scores: DataFrame, keys: Sequence[str], p: float = 0.95
     """
     if not 0 <= p <= 1:
         raise ValueError("p must be between 0 and 1")
-    ranked = with_position(scores.select(*keys, score), keys, [score])
+    ranked = with_position(scores.select(*keys, score), keys, [score], keep=[score])
     rank = (F.col("n") - 1) * F.lit(p)
     low = F.floor(rank)
     near = ranked.where((F.col("pos") == low) | (F.col("pos") == low + 1))

@@ -62,13 +62,19 @@ def int_div(a: str, b: int) -> Column:
     return F.expr(f"{a} div {b}")
 
 
-def _sorted_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Staged copy of `df` in (keys, order) order.
+def _sorted_parts(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    keep: Sequence[str] | None = None,
+    unique: bool = False,
+) -> DataFrame:
+    """Staged copy of `df` in (keys, order) order, with the keys and the columns to `keep`.
 
-    `_part` is the sort task, `_row` the row's index inside it. The hash and the
-    scan id only break ties, so copies of one row still spread over tasks. The
-    result is written out because range bounds come from a sample: computing
-    them twice could give two different answers.
+    `_part` is the sort task, `_row` the row's index inside it. Unless the order
+    is `unique`, a hash and the scan id break ties, so copies of one row still
+    spread over tasks. The result is written out because range bounds come from
+    a sample: computing them twice could give two different answers.
     """
     if not keys:
         raise ValueError("at least one key column is needed")
@@ -76,16 +82,16 @@ def _sorted_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     for k in keys:
         failed = F.raise_error(F.lit(f"null in key column {k}")).cast(df.schema[k].dataType)
         checked = checked.withColumn(k, F.coalesce(F.col(k), failed))
-    numbered = (
-        checked.withColumn("_copy", F.monotonically_increasing_id())
-        .orderBy(*keys, *order, F.xxhash64(*df.columns), "_copy")
-        .drop("_copy")
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
+    if unique:
+        ordered = checked.orderBy(*keys, *order)
+    else:
+        copies = checked.withColumn("_copy", F.monotonically_increasing_id())
+        ordered = copies.orderBy(*keys, *order, F.xxhash64(*df.columns), "_copy")
+    kept = df.columns if keep is None else [*keys, *keep]
     return stage(
-        numbered.withColumn("_part", F.shiftright("_id", 33).cast("int"))
-        .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_id")
+        ordered.select(*kept, F.monotonically_increasing_id().alias("_id")).selectExpr(
+            *[f"`{c}`" for c in kept], "cast(shiftright(_id, 33) as int) as _part", f"_id & {(1 << 33) - 1}L as _row"
+        )
     )
 
 
@@ -93,16 +99,23 @@ def with_position(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
+    keep: Sequence[str] | None = None,
+    unique: bool = False,
     pos: str = "pos",
     n: str = "n",
 ) -> DataFrame:
     """Add the 0-based row number `pos` within each key and the key's row count `n`.
 
+    Name the columns to `keep` besides the keys where the order columns are no
+    longer needed, and say so when keys and order are `unique`: both spare the
+    sort a part of its shuffle and of what it writes.
+
     The join with the staged spans is a broadcast only while their file is below
     `spark.sql.autoBroadcastJoinThreshold`; else it shuffles by (keys, sort task),
     where no group is larger than one sort task.
     """
-    rows = _sorted_parts(df, keys, order)
+    rows = _sorted_parts(df, keys, order, keep, unique)
+    kept = [c for c in rows.columns if c not in ("_part", "_row")]
     by_key = Window.partitionBy(*keys)
     spans = (
         rows.groupBy(*keys, "_part")
@@ -114,7 +127,7 @@ def with_position(
             F.sum("_rows").over(by_key).alias(n),
         )
     )
-    return rows.join(stage(spans), [*keys, "_part"]).select(*df.columns, F.expr("_row + _shift").alias(pos), n)
+    return rows.join(stage(spans), [*keys, "_part"]).select(*kept, F.expr("_row + _shift").alias(pos), n)
 
 
 def running_totals(

@@ -51,9 +51,13 @@ def steps_of(
     alphabets: Sequence[int] | None = None,
     windows: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Grams of every series in `series`, one row per step and parameter pair."""
+    """Grams of every series in `series`, one row per step and parameter pair.
+
+    The segments are staged: they are a fraction of the rows and are read twice,
+    for the mean and deviation and for the letters.
+    """
     return grams(
-        paa(series, keys, params.segment_size),
+        stage(paa(series, keys, params.segment_size)),
         keys,
         alphabets or [params.alphabet_size],
         windows or [params.window],
@@ -88,7 +92,7 @@ def flag_counts(
 ) -> DataFrame:
     """Add `pred` to counted steps; `keys` names the model. Steps without a model are left out."""
     labelled = counts.where("label is not null")
-    scores = score_grams(labelled, edges, keys, lengths, threshold).where("state is not null")
+    scores = score_grams(labelled, edges, keys, lengths, threshold)
     on = list(dict.fromkeys([*keys, "window_size", "gram"]))
     return labelled.join(scores.select(*on, F.expr("cast(decision = 'anomaly' as int)").alias("pred")), on)
 
