@@ -79,16 +79,22 @@ def flags(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def feature_roles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").selectExpr(
-        "event_type", "ts", "event_id", "value as f1", "cast(hour(ts) as double) as f2",
-        "cast(user_id as double) as f3", "cast(get_json_object(props, '$.k') as double) as f4", LABEL,
-    )
-    return splits.chrono_split(with_position(rows, ET, ["ts", "event_id"], keep=[*COLS, "label"], unique=True))
+FEATURES = {
+    "f1": "value as f1",
+    "f2": "cast(hour(ts) as double) as f2",
+    "f3": "cast(user_id as double) as f3",
+    "f4": "cast(get_json_object(props, '$.k') as double) as f4",
+}
+
+
+def feature_roles(spark: SparkSession, sf: str, cols: list[str] = COLS) -> DataFrame:
+    features = [FEATURES[c] for c in cols]
+    rows = table(spark, sf, "events").selectExpr("event_type", "ts", "event_id", *features, LABEL)
+    return splits.chrono_split(with_position(rows, ET, ["ts", "event_id"], keep=[*cols, "label"], unique=True))
 
 
 def scaled(spark: SparkSession, sf: str, method: str, cols: list[str] = COLS) -> DataFrame:
-    rows = feature_roles(spark, sf)
+    rows = feature_roles(spark, sf, cols)
     fit = scaling.scale_fit(rows.where("role = 'train'"), ET, cols, method)
     return scaling.scale_apply(rows, fit, ET, cols)
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from motifline.plans.blocks import attach, stage
 
-MASK_LIMIT = 2_500
+MASK_LIMIT = 3_000
+PAIR_SALTS = 64
 CODED_LENGTH = 11  # longest word that fits a bigint at five bits a letter, with its distance above
 DISTANCE_UNIT = 1 << 55
 THRESHOLD = 0.05
@@ -195,8 +196,8 @@ def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str],
     search is an equi-join on that text. Each text keeps only its first state
     before the join, so no pattern ever meets all states. Most patterns have a
     state within two edits; only the others go through the costlier levels.
-    Words too long to mask at every level are compared directly, if they are
-    still unmatched. Columns: keys, pattern, mapped_to, distance.
+    Words too long to mask at every level are compared directly if they are still
+    unmatched, each slice of a key's states in its own task. Columns: keys, pattern, mapped_to, distance.
     """
     pattern, known = _spread_distinct(patterns, keys, "pattern"), _spread_distinct(states, keys, "state")
     coded = {w: edit_masks(w)[0] for w in lengths if w <= CODED_LENGTH}
@@ -219,9 +220,12 @@ def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str],
         asked = known.join(rest.select(*keys).distinct(), list(keys), "left_semi")
         found = found.unionByName(_sharing_text(rest, asked, keys, far))
     if not whole:
+        salt = F.pmod(F.xxhash64("state"), F.lit(PAIR_SALTS)).alias("_salt")
+        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))).alias("_salt")
         direct = (
             pattern.join(found, on, "left_anti")
-            .join(known, list(keys))
+            .select("*", spread)
+            .join(known.select("*", salt), [*keys, "_salt"])
             .groupBy(*on)
             .agg(F.expr("min(struct(levenshtein(pattern, state) as distance, state as mapped_to))").alias("_best"))
         )

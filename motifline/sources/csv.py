@@ -31,8 +31,8 @@ def read_grouped_csv(
 
     Adds `source_group` (folder) and `source_file` (file name). Missing folders
     are skipped; no file at all is an error. Spark matches CSV columns by place,
-    so files are read per distinct header and then united by name. `schema` gives
-    the types of the columns by name; without it they are inferred.
+    so files are read per distinct header and then united by name; only headers and
+    file names come to the driver. `schema` gives the types of the columns by name; without it they are inferred.
     """
     pattern = f"{root.rstrip('/')}/{{{','.join(groups)}}}/*.csv"
     try:

@@ -14,8 +14,8 @@ from motifline.operators.automaton import state_set
 def write_features(df: DataFrame, path: str, parts: Sequence[str] = ("fold", "role")) -> None:
     """Series with labels and times as Parquet, one folder per fold and role.
 
-    Rows are spread over every folder's files by hash, so one big role does not
-    end in one task.
+    Rows are not regrouped first: each task writes its rows of a folder, so a big
+    role never ends in one task.
     """
     df.write.partitionBy(*parts).parquet(path)
 

@@ -33,7 +33,7 @@ def test_nearest_state_literals(spark):
     assert empty == []
 
 
-@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 6, 7, 9])
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 6, 8, 9, 12])
 def test_nearest_state_against_all_pairs(spark, length):
     rnd = random.Random(length)
 
