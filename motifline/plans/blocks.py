@@ -17,9 +17,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 65_536
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -51,10 +52,22 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Stage a lookup table, count it, and mark it for broadcast below `limit`."""
+def _measured_bytes(df: DataFrame) -> int:
+    """Size of the values of `df`: 16 bytes a field, and what strings and arrays hold."""
+    parts = [f"count(1) * {16 * len(df.columns)}"]
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType):
+            parts.append(f"sum(length(`{f.name}`))")
+        elif isinstance(f.dataType, T.ArrayType):
+            nested = isinstance(f.dataType.elementType, T.ArrayType)
+            parts.append(f"8 * sum(size({f'flatten(`{f.name}`)' if nested else f'`{f.name}`'}))")
+    return df.agg(F.expr(" + ".join(f"coalesce({p}, 0)" for p in parts)).alias("bytes")).first().bytes
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Stage a lookup table, measure it, and mark it for broadcast up to `limit` bytes."""
     staged = stage(df)
-    small = staged.count() <= limit
+    small = _measured_bytes(staged) <= limit
     return (F.broadcast(staged) if small else staged), small
 
 
@@ -178,7 +191,7 @@ def in_block(keys: Sequence[str], idx: str):
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], salt: Column, how: str = "inner") -> DataFrame:
     """Join a table with one row per `on` to many rows per `on`.
 
-    Broadcast while the counted table is small. Beyond that the join key gets
+    Broadcast while the measured table is small. Beyond that the join key gets
     `salt`, and the table is repeated only for the salts its key really has.
     """
     small, fits = if_small(table)

@@ -90,6 +90,13 @@ def test_salted_attach_equals_broadcast(spark, monkeypatch):
     assert salted.count() == df.count()
 
 
+def test_tables_are_measured(spark):
+    df = spark.createDataFrame([("ab", [1.0, 2.0], [[1.0], [2.0, 3.0]]), (None, None, None)], "s string, a array<double>, b array<array<double>>")
+    assert blocks._measured_bytes(df) >= 2 * 48 + 2 + 16 + 24 - 16
+    assert blocks._measured_bytes(df.where("false")) == 0
+    assert blocks.if_small(df, 10)[1] is False and blocks.if_small(df)[1] is True
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     class Context:
         master, applicationId = "yarn", "app"
