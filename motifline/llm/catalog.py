@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifline.llm import secrets
+from motifline.llm import bpe, secrets
 from motifline.llm.common import table
 
 
@@ -12,7 +12,13 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans,)}
+def op3_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding)}
 
 
 def _span_lists() -> str:
@@ -23,7 +29,7 @@ def _span_lists() -> str:
         counts = f"length(regexp_extract(m[i], '{p}', {r.group})) >= {r.least}"
         parts.append(
             f"select doc_id, {rank} as rank, '{r.kind}' as kind, m[i] as hit, {counts} as counts, "
-            f"list_sum(list_transform(list_slice(s, 1, i), x -> length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), x -> length(x))), 0) as begins "
+            f"list_sum(list_transform(list_slice(s, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) as begins "
             f"from (select doc_id, m, s, unnest(generate_series(1, len(m))) as i from (select doc_id, regexp_extract_all(text, '{p}') as m, string_split_regex(text, '{p}') as s from documents where regexp_matches(text, '{p}')))"
         )
     return " union all ".join(parts)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,3 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks_of(spark: SparkSession) -> int:
     """Number of shuffle partitions, which the session sizes with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_column(
+    df: DataFrame, keep: Sequence[str], column: str, make: Callable[[], Callable[[Any], tuple]], fields: str
+) -> DataFrame:
+    """The columns `keep` unchanged, and `fields` computed from the values of `column`.
+
+    `make` builds the function once in each task. Kept columns pass as Arrow arrays,
+    so nulls and large numbers stay as they are.
+    """
+    new = T.StructType.fromDDL(fields)
+    types = [to_arrow_type(f.dataType) for f in new]
+    names = [*keep, *new.names]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            rows = [f(x) for x in b.column(len(keep)).to_pylist()]
+            made = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
+
+    schema = T.StructType([*[df.schema[c] for c in keep], *new])
+    return df.selectExpr(*[f"`{c}`" for c in keep], f"`{column}` as _value").mapInArrow(task, schema)

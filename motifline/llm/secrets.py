@@ -119,7 +119,8 @@ def advance(
     per_rule = [F.when(F.array_contains("todo", r.name), spans(F.col("_text"), r)) for r in rules]
     any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
     found = stage(
-        carried.where(F.col("_text").rlike(any_rule))
+        # Bound to `todo`, so that it can't run below the join on texts that the ledger knows.
+        carried.where(F.when(F.size("todo") > 0, F.col("_text").rlike(any_rule)))
         .select("blob", F.flatten(F.array_compact(F.array(*per_rule))).alias("spans"))
         .where(F.size("spans") > 0)
         .dropDuplicates(["blob"])
