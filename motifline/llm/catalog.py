@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifline.llm import bpe, secrets
-from motifline.llm.common import table
+from motifline.llm import bpe, merkle, secrets
+from motifline.llm.common import table, tasks_of
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,11 @@ def op3_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding)}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
