@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifline.llm import bpe, merkle, secrets
+from motifline.llm import bpe, merkle, secrets, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -18,11 +18,15 @@ def op3_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op8_html_extraction, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
