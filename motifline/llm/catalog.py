@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motifline.llm import bpe, merkle, secrets, wrappers
+from motifline.llm import bpe, merkle, secrets, topk, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -22,11 +23,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op8_html_extraction, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
@@ -55,6 +60,15 @@ listed as (
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, sha256(coalesce(d.text, '')) as blob
 from documents d left join listed using (doc_id)""",
+    "op9_exact_top_k_search": """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+  from whole q join whole c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify rank <= 5""",
 }
 
 
