@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, merkle, secrets, topk, wrappers
+from motifline.llm import bagminhash, bpe, merkle, secrets, suffixes, topk, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -23,6 +23,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), 4 * tasks_of(spark))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op5_minhash_near_dedup, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op5_minhash_near_dedup, op6_suffix_array_dedup, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
