@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, merkle, secrets, suffixes, topk, wrappers
+from motifline.llm import bagminhash, bpe, merkle, raking, secrets, suffixes, topk, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -27,6 +27,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), 4 * tasks_of(spark))
 
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.report(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op5_minhash_near_dedup, op6_suffix_array_dedup, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
@@ -68,6 +72,7 @@ listed as (
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, sha256(coalesce(d.text, '')) as blob
 from documents d left join listed using (doc_id)""",
+    "op7_mixing_sources": raking.oracle(),
     "op9_exact_top_k_search": """
 with whole as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as x from embeddings
