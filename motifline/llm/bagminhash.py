@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from motifline.plans.blocks import stage
 
 WORDS, BANDS, ROWS = 5, 24, 5
+BIG = 64
 CHUNK_BYTES = 2 << 20
 # A fixed odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -131,14 +132,16 @@ def band_keys(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return key.view(np.int64)
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two packed bags."""
+def overlap(a: bytes, b: bytes) -> tuple[int, float, np.ndarray]:
+    """Of two packed bags: common weight, weighted Jaccard similarity, shingles that weigh more in the first."""
     x, y = (np.frombuffer(v, dtype="<u8").reshape(2, -1) for v in (a, b))
-    if not x.size or not y.size:
-        return 0.0
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(x[1][i], y[1][j]).sum())
-    return both / (int(x[1].sum()) + int(y[1].sum()) - both)
+    both = np.minimum(x[1][i], y[1][j])
+    over = x[1].copy()
+    over[i] -= both
+    common = int(both.sum())
+    whole = int(x[1].sum()) + int(y[1].sum()) - common
+    return common, common / whole if whole else 0.0, x[0][over > 0]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -194,29 +197,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of digests whose bags have at least the similarity `least`."""
+def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b, excess) of digests with common weight, similarity, and, if `excess` says so,
+    the shingles that weigh more in a than in b."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            like = [overlap(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            keep = pa.array([v >= least for v in like], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
+        for batch in batches:
+            common, like, over = [], [], []
+            for excess, x, y in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                c, s, o = overlap(x, y)
+                common.append(c)
+                like.append(s)
+                over.append(o.view(np.int64) if excess else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(like, pa.float64()), pa.array(over, pa.list_(pa.int64()))],
+                names=["a", "b", "common", "like", "over"],
+            )
 
     one = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("_a")), "a")
     two = one.join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("_b")), "b")
-    return two.select("a", "b", "_a", "_b").mapInArrow(task, "a string, b string")
+    return two.select("a", "b", "excess", "_a", "_b").mapInArrow(task, "a string, b string, common long, like double, over array<long>")
 
 
 def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
     """(digest, label): classes of the texts that are near another text, by links of at least `least`.
 
     Candidates share a band of registers. In each band a member is compared with the
-    band's pivot, its best connected text; then, in bands that still hold several
-    classes, each member outside the largest is compared with those of other classes.
-    So no link that could join two classes is left out, and copies or members of one
-    class are not compared with each other.
+    band's pivot, its best connected text, which gives most links. Then pairs of
+    different classes are looked at. In bands of up to BIG members each member outside
+    the pivot's class is compared with those of other classes. In larger ones a pair
+    (u, v) is left out only if it can't be near: if no shingle weighs more in both than
+    in the pivot p, then |u & v| is at most |u & p| and at most |v & p|, and a near pair
+    has |u & v| >= least / (1 + least) * (|u| + |v|). So pairs meet by such shingles, or
+    by their sizes in the few cases that this bound leaves open. No link that could
+    join two classes is lost, and members of one class are not compared.
     """
+    share = least / (1 + least)
     texts = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text).alias("_text"))
     made = stage(texts.mapInArrow(_keys_of, "digest string, size long, keys array<long>"))
     nodes = made.dropDuplicates(["digest"])
@@ -225,27 +241,46 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
     # Only members of shared bands go on.
     members = stage(rows.join(shared, ["band", "key"]))
     weight = members.groupBy("digest").agg(F.sum("n").alias("degree"))
-    ranked = stage(members.join(weight, "digest"))
+    ranked = members.join(weight, "digest")
+    best = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "size")).alias("p")).selectExpr("band", "key", "p.digest as pivot", "p.size as _size")
+    placed = stage(members.join(best, ["band", "key"]))
     bags = stage(
         texts.join(weight.select("digest").hint("shuffle_hash"), "digest").select("digest", "_text").mapInArrow(_bags_of, "digest string, bag binary").dropDuplicates(["digest"])
     )
     close = F.least("size", "_size") >= F.greatest("size", "_size") * least
-    best = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "size")).alias("p")).selectExpr("band", "key", "p.digest as _pivot", "p.size as _size")
-    star = ranked.join(best, ["band", "key"]).where(close & (F.col("digest") != F.col("_pivot"))).select(F.col("digest").alias("a"), F.col("_pivot").alias("b")).distinct()
-    links = stage(verified(star, bags, least))
-    first = components(links)
-    named = stage(ranked.join(first, ranked["digest"] == first["node"], "left").select("band", "key", "digest", "size", F.coalesce("label", "digest").alias("label")))
-    sizes = named.groupBy("band", "key", "label").agg(F.count("*").alias("m"))
-    mixed_bands = sizes.groupBy("band", "key").agg(F.count("*").alias("k"), F.max(F.struct("m", "label")).alias("top")).where("k > 1").selectExpr("band", "key", "top.label as _top")
-    open_rows = stage(named.join(mixed_bands, ["band", "key"]))
-    others = open_rows.where("label <> _top").select("band", "key", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
-    crossed = (
-        open_rows.join(others, ["band", "key"])
-        .where(close & (F.col("label") != F.col("_label")))
-        .select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b"))
-        .distinct()
+    star = (
+        placed.where((F.col("digest") != F.col("pivot")) & (close | (F.col("n") > BIG)))
+        .groupBy(F.col("digest").alias("a"), F.col("pivot").alias("b"))
+        .agg((F.max("n") > BIG).alias("excess"), F.max("size").alias("size"))
     )
-    more = stage(verified(crossed, bags, least))
+    sizes = star.select("a", "b", "size")
+    facts = stage(compared(star.select("a", "b", "excess"), bags).join(sizes, ["a", "b"]))
+    links = stage(facts.where(F.col("like") >= least).select("a", "b"))
+    first = components(links)
+
+    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
+        found = first.select(F.col("node").alias(column), F.col("label").alias("_found"))
+        return df.join(found, column, "left").withColumn(name, F.coalesce("_found", column)).drop("_found")
+
+    # Small bands: members outside the pivot's class against members of other classes.
+    small = placed.where(F.col("n") <= BIG)
+    named = stage(labelled(labelled(small, "digest", "label"), "pivot", "top").select("band", "key", "digest", "size", "label", "top"))
+    others = named.where("label <> top").select("band", "key", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
+    crossed = named.join(others, ["band", "key"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
+    # Large bands: by shingles beyond the pivot's, or by the sizes.
+    big = stage(labelled(labelled(facts.where("over is not null"), "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over"))
+    beyond = big.select("b", "digest", "size", "label", "top", F.explode("over").alias("shingle"))
+    outside = beyond.where("label <> top").select("b", "shingle", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
+    met = beyond.join(outside, ["b", "shingle"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
+    low = big.groupBy("b").agg(F.min("size").alias("_low"))
+    loose = (
+        big.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))
+        .select("b", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"), F.col("common").alias("_common"))
+    )
+    bound = F.least("common", "_common") >= share * (F.col("size") + F.col("_size"))
+    sized = big.join(loose, "b").where(close & bound & (F.col("label") != F.col("_label"))).select("digest", "_d")
+    pairs = crossed.union(met).union(sized).select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct()
+    more = stage(compared(pairs.withColumn("excess", F.lit(False)), bags).where(F.col("like") >= least).select("a", "b"))
     if more.isEmpty():
         return first.withColumnRenamed("node", "digest")
     return components(links.union(more)).withColumnRenamed("node", "digest")

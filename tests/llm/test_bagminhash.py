@@ -108,6 +108,20 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_large_bands_take_the_other_way_to_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(B, "BIG", 1)
+    rows = some_rows()
+    rnd = random.Random(8)
+    base = [f"v{i}" for i in range(120)]
+    for i in range(60):  # one group with every similarity, some edits shared, of different lengths
+        copy = list(base[: rnd.randint(105, 120)])
+        for _ in range(rnd.choice([1, 2, 3, 5])):
+            copy[rnd.randrange(100)] = rnd.choice(["x", "y", f"z{i}"])
+        rows.append((20_000 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in B.near_duplicates(df).collect()) == brute_classes(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = some_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as label")
