@@ -21,6 +21,7 @@ than one of its own.
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 from hashlib import sha256
@@ -34,7 +35,7 @@ from motifline.plans.blocks import stage
 
 LENGTH, GRAM = 50, 16
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a string may reach back
-ANCHORS_A_FLUSH, SUFFIXES_A_RUN = 2_000_000, 150_000
+ANCHORS_A_FLUSH, SUFFIXES_A_RUN = 1_000_000, 150_000
 # A key: hash, the string from the anchor on, the string before it backwards, and how long both are.
 HASH = 6
 KEY = HASH + LENGTH + BEFORE + 2
@@ -87,7 +88,19 @@ def _ranges(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _row(place: int, made: tuple) -> tuple[int, bytes]:
-    return place, pickle.dumps(made, protocol=5)
+    data = pickle.dumps(made, protocol=5)
+    return place, len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _made(blob: bytes) -> tuple:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time become Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -137,7 +150,7 @@ def _anchor_rows(ranges: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found, size = [], [], 0
-        for b in batches:
+        for b in _slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = anchors(text.encode())
                 if len(got[0]):
@@ -157,7 +170,7 @@ def _shared_places(group: pa.Table) -> pa.Table:
     """doc_id and place of the anchors of one range whose gram came from two tasks' documents, or was shared in one."""
     names, places, hashes, runs, ids, at, known = [], [], [], [], [], [], []
     for n, blob in enumerate(group["blob"].to_pylist()):
-        kind, *made = pickle.loads(blob)
+        kind, *made = _made(blob)
         if kind == "places":
             names.append(made[0])
             places.append(made[1])
@@ -243,7 +256,7 @@ def _suffix_rows(ranges: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for b in batches:
+        for b in _slices(batches):
             for doc_id, tag, text, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 data = text.encode()
                 at = np.unique(np.array(places, dtype=np.int64))
@@ -370,7 +383,7 @@ def _lost_bytes(group: pa.Table) -> pa.Table:
     """(doc_id, tag, start, end) that documents lose by the runs of one range."""
     out, runs, held = [], [], []
     for blob in group["blob"].to_pylist():
-        kind, *made = pickle.loads(blob)
+        kind, *made = _made(blob)
         if kind == "lost":
             out.append(tuple(made))
         else:
@@ -401,7 +414,7 @@ def _lost_bytes(group: pa.Table) -> pa.Table:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches):
         sizes, removed, spans, kept = [], [], [], []
         for text, lost in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             data = (text or "").encode()
@@ -432,7 +445,9 @@ def merged_spans(spans: list) -> list[tuple[int, int]]:
 
 def _free(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of finished jobs: it does when the driver collects garbage."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    gc.collect()
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def repeated_spans(docs: DataFrame, ranges: int, text: str = "text") -> DataFrame:
@@ -443,10 +458,12 @@ def repeated_spans(docs: DataFrame, ranges: int, text: str = "text") -> DataFram
     )
     sent = texts.select("doc_id", "_text").mapInArrow(_anchor_rows(ranges), "range int, blob binary")
     places = stage(sent.groupBy("range").applyInArrow(_shared_places, "doc_id long, place int"))
+    del sent
     _free(docs)
     by_doc = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     runs = texts.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "tag", "_text", "places").mapInArrow(_suffix_rows(ranges), "range int, blob binary")
     lost = stage(runs.groupBy("range").applyInArrow(_lost_bytes, "doc_id long, tag int, start int, end int"))
+    del runs
     _free(docs)
     return lost.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
 
