@@ -20,7 +20,7 @@ from motifline.plans.blocks import stage
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares: the corpus' own token shares to these powers, scaled to 1. Below 1, small groups gain.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS, STAGED_ROUNDS, BUDGET, CAP_STEPS = 12, 3, 0.6, 12
+ROUNDS, BUDGET, CAP_STEPS = 8, 0.6, 12
 WORD = r"[^ \t\n\r]+"
 
 
@@ -77,20 +77,27 @@ def targets_of(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFram
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Cells with `factor`: its token weight times the factor meets the targets' shares of all tokens.
 
-    A cell without tokens, or of a group without a target, gets the factor 0. Targets of
-    groups without cells can't be met; the others then share what is left of their own scale.
+    A cell's factor is the product of one factor for each of its groups; a step sets the
+    factors of one dimension. A cell without tokens, or of a group without a target, gets
+    the factor 0. Targets of groups without cells can't be met; the others then share
+    what is left of their own scale.
     """
-    fitted = stage(cells.withColumn("factor", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)))
-    total = fitted.agg(F.sum("tokens")).first()[0] or 0.0
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     shares = {d: stage(t) for d, t in targets.items()}
-    for done in range(1, rounds + 1):
+    factors = {d: t.select(F.col("value").alias(d), F.lit(1.0).alias(f"_f_{d}")) for d, t in shares.items()}
+
+    def weighed(dims) -> DataFrame:
+        out = cells.withColumn("factor", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
+        for d in dims:
+            out = out.join(factors[d], d, "left").withColumn("factor", F.col("factor") * F.coalesce(f"_f_{d}", F.lit(0.0))).drop(f"_f_{d}")
+        return out
+
+    for _ in range(rounds):
         for d, target in shares.items():
-            have = fitted.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
-            scale = have.join(target, "value").select(F.col("value").alias(d), F.when(F.col("have") > 0, F.col("share") * total / F.col("have")).alias("_scale"))
-            fitted = fitted.join(scale, d, "left").withColumn("factor", F.col("factor") * F.coalesce("_scale", F.lit(0.0))).select(*cells.columns, "factor")
-        if done % STAGED_ROUNDS == 0 or done == rounds:
-            fitted = stage(fitted)
-    return fitted
+            have = weighed([x for x in shares if x != d]).groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
+            scaled = target.join(have.where("have > 0"), "value")
+            factors[d] = stage(scaled.select(F.col("value").alias(d), (F.col("share") * total / F.col("have")).alias(f"_f_{d}")))
+    return weighed(shares)
 
 
 def probabilities(fitted: DataFrame, budget: float = BUDGET, steps: int = CAP_STEPS) -> DataFrame:
@@ -120,7 +127,8 @@ def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = PO
     or left together; rows without an id likewise.
     """
     cells = stage(cells_of(docs))
-    chances = stage(probabilities(rake(cells, targets or targets_of(cells, powers)), budget))
+    fitted = stage(rake(cells, targets or targets_of(cells, powers)))
+    chances = stage(probabilities(fitted, budget))
     chance = chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     joined = described(docs).join(chance, [f"_{d}" for d in DIMENSIONS])
     return joined.withColumn("_sampled", uniform(F.col("doc_id")) < F.col("_probability"))

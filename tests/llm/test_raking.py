@@ -67,7 +67,7 @@ def test_report_equals_brute_force(spark):
 def test_marginals_meet_their_targets(spark):
     docs = some_docs(spark)
     cells = R.cells_of(docs)
-    fitted = R.rake(cells, R.targets_of(cells, R.POWERS), rounds=40).collect()
+    fitted = R.rake(cells, R.targets_of(cells, R.POWERS), rounds=15).collect()
     whole = sum(r.tokens for r in fitted)
     for d, target in zip(R.DIMENSIONS, brute(docs)[3]):
         for value, share in target.items():
@@ -94,7 +94,7 @@ def test_own_targets(spark):
 
 
 def test_empty_tables(spark):
-    docs = some_docs(spark, 3)
+    docs = some_docs(spark, 20)
     assert R.report(docs.limit(0)).count() == 0 and R.sample(docs.limit(0)).columns == docs.columns
     blank = spark.createDataFrame([(1, "", "s", "en"), (2, None, None, None)], "doc_id long, text string, source string, lang string")
     assert [r.sampled for r in R.report(blank).collect()] == [False, False]
