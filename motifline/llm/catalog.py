@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, merkle, raking, secrets, suffixes, topk, wrappers
+from motifline.llm import bagminhash, bpe, merkle, raking, secrets, suffixes, topk, weaklabels, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -19,6 +19,10 @@ def op3_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabels.judged(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
