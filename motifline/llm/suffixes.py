@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from motifline.plans.blocks import stage
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a string may reach back
-ANCHORS_A_FLUSH, SUFFIXES_A_RUN = 1_000_000, 150_000
+ANCHORS_A_FLUSH, SUFFIXES_A_RUN = 500_000, 100_000
 # A key: hash, the string from the anchor on, the string before it backwards, and how long both are.
 HASH = 6
 KEY = HASH + LENGTH + BEFORE + 2
@@ -53,9 +53,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """48-bit hashes of grams given as two little-endian numbers."""
-    return _mixed(low * U(0x9E3779B97F4A7C15) ^ _mixed(high)) >> U(64 - HASH_BITS)
+def _hashed(*words: np.ndarray) -> np.ndarray:
+    """48-bit hashes of grams given as little-endian numbers of eight bytes."""
+    h = words[0]
+    for w in words[1:]:
+        h = _mixed(h * U(0x9E3779B97F4A7C15) ^ w)
+    return _mixed(h) >> U(64 - HASH_BITS)
 
 
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -74,7 +77,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, U)
     flat = np.frombuffer(data, dtype=np.uint8)
     words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(flat, (len(data) - 7, 8), (1, 1))).view("<u8").ravel()
-    h = _hashed(words[:-8], words[8:])
+    count = len(data) - GRAM + 1
+    h = _hashed(*[words[i : i + count] for i in range(0, GRAM, 8)])
     least = _slide(h, BEFORE + 1, np.minimum)
     edge = np.zeros(BEFORE, dtype=U)
     at = np.flatnonzero(h <= _slide(np.concatenate([edge, least, edge]), BEFORE + 1, np.maximum))
@@ -199,7 +203,7 @@ def keys_at(data: bytes, at: np.ndarray) -> np.ndarray:
     text = padded[at[:, None] + np.arange(BEFORE + LENGTH)[None, :]]
     out = np.empty((len(at), KEY), dtype=np.uint8)
     gram = np.ascontiguousarray(text[:, BEFORE : BEFORE + GRAM]).view("<u8")
-    out[:, :HASH] = _hashed(gram[:, 0], gram[:, 1]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH :]
+    out[:, :HASH] = _hashed(*gram.T).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH :]
     out[:, HASH : HASH + LENGTH] = text[:, BEFORE:]
     out[:, HASH + LENGTH : KEY - 2] = text[:, BEFORE - 1 :: -1] if BEFORE else text[:, :0]
     out[:, KEY - 2] = np.minimum(LENGTH, len(data) - at)

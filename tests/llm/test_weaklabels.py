@@ -21,7 +21,7 @@ def test_expectation_maximisation_finds_accuracies_of_made_labellers():
 def test_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = W.judged(docs, sample=500).join(labels, "doc_id").select("quality", labels["quality"].alias("true")).collect()
+    rows = W.judged(docs, sample=500).join(labels.withColumnRenamed("quality", "true"), "doc_id").select("quality", "true").collect()
     right = np.array([[r[0], r[1]] for r in rows])
     assert (right[:, 0] == right[:, 1]).mean() > 0.95
     assert right[right[:, 1] == 1, 0].mean() > 0.98
