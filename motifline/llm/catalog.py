@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, merkle, raking, secrets, suffixes, topk, weaklabels, wrappers
+from motifline.llm import bagminhash, bpe, lines, merkle, raking, secrets, suffixes, topk, weaklabels, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -13,6 +13,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,7 +32,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(table(spark, sf_dir, "documents"), 4 * tasks_of(spark))
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), 16 * tasks_of(spark))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_line_dedup, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
 
 
 def _span_lists() -> str:
