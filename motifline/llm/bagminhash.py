@@ -132,8 +132,8 @@ def band_keys(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return key.view(np.int64)
 
 
-def overlap(a: bytes, b: bytes) -> tuple[int, float, np.ndarray]:
-    """Of two packed bags: common weight, weighted Jaccard similarity, shingles that weigh more in the first."""
+def overlap(a: bytes, b: bytes) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Of two packed bags: common weight, weighted Jaccard similarity, the shingles that weigh more in the first, and by how much."""
     x, y = (np.frombuffer(v, dtype="<u8").reshape(2, -1) for v in (a, b))
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     both = np.minimum(x[1][i], y[1][j])
@@ -141,7 +141,7 @@ def overlap(a: bytes, b: bytes) -> tuple[int, float, np.ndarray]:
     over[i] -= both
     common = int(both.sum())
     whole = int(x[1].sum()) + int(y[1].sum()) - common
-    return common, common / whole if whole else 0.0, x[0][over > 0]
+    return common, common / whole if whole else 0.0, x[0][over > 0], over[over > 0]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -199,24 +199,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b, excess) of digests with common weight, similarity, and, if `excess` says so,
-    the shingles that weigh more in a than in b."""
+    the shingles that weigh more in a than in b, and by how much."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, like, over = [], [], []
+            common, like, over, extra = [], [], [], []
             for excess, x, y in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
-                c, s, o = overlap(x, y)
+                c, s, o, e = overlap(x, y)
                 common.append(c)
                 like.append(s)
                 over.append(o.view(np.int64) if excess else None)
+                extra.append(e.astype(np.int64) if excess else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(like, pa.float64()), pa.array(over, pa.list_(pa.int64()))],
-                names=["a", "b", "common", "like", "over"],
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(like, pa.float64()), *[pa.array(x, pa.list_(pa.int64())) for x in (over, extra)]],
+                names=["a", "b", "common", "like", "over", "extra"],
             )
 
     one = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("_a")), "a")
     two = one.join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("_b")), "b")
-    return two.select("a", "b", "excess", "_a", "_b").mapInArrow(task, "a string, b string, common long, like double, over array<long>")
+    return two.select("a", "b", "excess", "_a", "_b").mapInArrow(task, "a string, b string, common long, like double, over array<long>, extra array<long>")
 
 
 def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
@@ -226,11 +227,12 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
     band's pivot, its best connected text, which gives most links. Then pairs of
     different classes are looked at. In bands of up to BIG members each member outside
     the pivot's class is compared with those of other classes. In larger ones a pair
-    (u, v) is left out only if it can't be near: if no shingle weighs more in both than
-    in the pivot p, then |u & v| is at most |u & p| and at most |v & p|, and a near pair
-    has |u & v| >= least / (1 + least) * (|u| + |v|). So pairs meet by such shingles, or
-    by their sizes in the few cases that this bound leaves open. No link that could
-    join two classes is lost, and members of one class are not compared.
+    (u, v) is left out only if it can't be near: |u & v| is at most |u & p| and at most
+    |v & p| for the pivot p, plus what both have beyond p of the same shingles, and a
+    near pair has |u & v| >= least / (1 + least) * (|u| + |v|). So pairs meet by the
+    shingles that they have beyond p, or by their sizes in the few cases that the bound
+    leaves open without any. No link that could join two classes is lost, and members of
+    one class are not compared.
     """
     share = least / (1 + least)
     texts = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text).alias("_text"))
@@ -268,10 +270,17 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
     others = named.where("label <> top").select("band", "key", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
     crossed = named.join(others, ["band", "key"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
     # Large bands: by shingles beyond the pivot's, or by the sizes.
-    big = stage(labelled(labelled(facts.where("over is not null"), "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over"))
-    beyond = big.select("b", "digest", "size", "label", "top", F.explode("over").alias("shingle"))
-    outside = beyond.where("label <> top").select("b", "shingle", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
-    met = beyond.join(outside, ["b", "shingle"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
+    big = stage(labelled(labelled(facts.where("over is not null"), "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over", "extra"))
+    beyond = big.select("b", "digest", "size", "common", "label", "top", F.explode(F.arrays_zip("over", "extra")).alias("x")).select("*", "x.over", "x.extra").drop("x")
+    outside = beyond.where("label <> top").selectExpr("b", "over", "digest as _d", "size as _size", "common as _common", "label as _label", "extra as _extra")
+    met = (
+        beyond.join(outside, ["b", "over"])
+        .where(close & (F.col("label") != F.col("_label")))
+        .groupBy("b", "digest", "_d")
+        .agg((F.sum(F.least("extra", "_extra")) + F.min(F.least("common", "_common"))).alias("most"), F.min(F.col("size") + F.col("_size")).alias("both"))
+        .where(F.col("most") >= share * F.col("both"))
+        .select("digest", "_d")
+    )
     low = big.groupBy("b").agg(F.min("size").alias("_low"))
     loose = (
         big.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))
