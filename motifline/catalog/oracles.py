@@ -313,8 +313,8 @@ def oracle_sql() -> dict[str, str]:
             FROM events GROUP BY event_type""",
         "changepoint": W + NUMBERED + """ SELECT event_type, pos, label,
             CASE WHEN lag(label) OVER (PARTITION BY event_type ORDER BY pos) <> label THEN 1 ELSE 0 END AS changepoint FROM numbered""",
-        "features_roundtrip": W + ROLES + " SELECT event_type, pos, CAST(x AS DOUBLE) AS x, label FROM roles WHERE role = 'test'",
-        "labels_times_roundtrip": W + ROLES + " SELECT event_type, role, event_id, ts, label FROM roles WHERE role <> 'train'",
+        "features_roundtrip": W + ROLES + " SELECT event_type, role, pos, CAST(x AS DOUBLE) AS x, label FROM roles",
+        "labels_times_roundtrip": W + ROLES + " SELECT event_type, role, event_id, ts, label FROM roles",
         "automaton_tables": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + """
             SELECT event_type, s_from, count(*) AS targets, sum(cnt)::BIGINT AS cnt,
               (SELECT count(*) FROM states s WHERE s.event_type = e.event_type) AS states FROM edges e GROUP BY event_type, s_from""",
@@ -323,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
             f"{r(c + '_shift', c + '_shift')}, {r(c + '_d', c + '_span')}" for c in COLS) + " FROM fit",
         "metrics_files": W + detector() + ", " + metrics(ET) + f""" SELECT event_type, 'symbols' AS experiment, steps, {r('f1', 'f1')}, CAST(NULL AS DOUBLE) AS threshold FROM metrics
             UNION ALL SELECT event_type, 'limits', NULL, NULL, {r("quantile_cont(CAST(x AS DOUBLE), 0.95::DOUBLE)", 'threshold')} FROM numbered GROUP BY event_type""",
-        "results_files": W + detector() + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
+        "results_files": W + detector() + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS}, format FROM metrics, (VALUES ('json'), ('csv')) f(format)",
         # order and splits
         "positions": W + NUMBERED + " SELECT event_type, event_id, pos, n FROM numbered",
         "positions_one_series": """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events""",
@@ -379,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         # windows
         "sliding_windows": W + NUMBERED + """ SELECT event_type, pos AS start, w AS "window" FROM (
             SELECT event_type, pos, string_agg(CAST(x AS VARCHAR), ',') OVER q AS w, count(*) OVER q AS c FROM numbered
-            WINDOW q AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE c = 10 AND pos % 4 = 0""",
+            WINDOW q AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE c = 10""",
         "reconstruction_error": W + ERRORS + f" SELECT event_type, start, {r('score', 'score', 4)} FROM errors WHERE role = 'test'",
         "percentile_threshold": W + NUMBERED + ", " + quantile + f" SELECT event_type, {r('threshold', 'threshold')} FROM lim",
         "flag_above": W + NUMBERED + ", " + quantile + " SELECT event_type, pos, CAST(x > threshold AS INTEGER) AS pred FROM numbered JOIN lim USING (event_type)",

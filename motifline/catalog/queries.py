@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,12 +233,13 @@ def features_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark)
     rows = event_roles(spark, sf).selectExpr("0 as fold", "role", "event_type", "pos", "cast(x as double) as x", "label")
     tables.write_features(rows, path)
-    return tables.read_features(spark, path, fold=0, role="test").select("event_type", "pos", "x", "label")
+    roles = [tables.read_features(spark, path, fold=0, role=r) for r in ("train", "val", "test")]
+    return reduce(DataFrame.unionByName, roles).select("event_type", "role", "pos", "x", "label")
 
 
 def labels_times_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark)
-    rows = event_roles(spark, sf, "ts", "event_id").where("role <> 'train'")
+    rows = event_roles(spark, sf, "ts", "event_id")
     tables.write_labels_times(rows, path, ["event_type", "event_id", "ts", "label"], ["role"])
     schema = "event_type string, event_id bigint, ts timestamp_ntz, label int, role string"
     return spark.read.option("header", True).schema(schema).csv(path).select(
@@ -286,7 +288,9 @@ def results_files(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark)
     found = X.detect(event_roles(spark, sf), ET)
     tables.write_results(found, path)
-    return rounded(spark.read.schema(found.schema).json(f"{path}/json"), *X.METRICS)
+    as_json = spark.read.schema(found.schema).json(f"{path}/json").withColumn("format", F.lit("json"))
+    as_csv = spark.read.option("header", True).schema(found.schema).csv(f"{path}/csv").withColumn("format", F.lit("csv"))
+    return rounded(as_json.unionByName(as_csv), *X.METRICS)
 
 
 def positions_one_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +352,7 @@ def justification_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
-    found = windows.sliding_windows(event_series(spark, sf), ET, 10, stride=4)
+    found = windows.sliding_windows(event_series(spark, sf), ET, 10)
     text = "concat_ws(',', transform(window, v -> cast(cast(v as decimal(12,2)) as string))) as window"
     return found.selectExpr("event_type", "start", text)
 

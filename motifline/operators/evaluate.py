@@ -88,8 +88,8 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str, label: str = "lab
 
 def auc(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Trapezoid area under `roc_points`; each point knows its own step, so no ordering is needed."""
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    size = F.sum("pos") * F.sum("neg")
+    area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2))
+    size = F.sum("pos").cast("double") * F.sum("neg").cast("double")  # the product of two counts may exceed a bigint
     return points.groupBy(*keys).agg(F.when(size == 0, None).otherwise(area / size).alias("auc"))
 
 
@@ -108,7 +108,7 @@ def mcnemar_table(
 def mcnemar_test(table: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Continuity-corrected chi-square with one degree of freedom; null when A and B never differ."""
     b, c = F.col("a_only"), F.col("b_only")
-    gap = F.abs(b - c) - 1
+    gap = (F.abs(b - c) - 1).cast("double")
     return (
         table.withColumn("statistic", F.when(b + c == 0, None).otherwise(gap * gap / (b + c)))
         .withColumn("p_value", erfc(F.sqrt(F.col("statistic") / 2)))

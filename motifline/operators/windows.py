@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifline.operators.scaling import principal_axes
-from motifline.plans.blocks import BLOCK_ROWS, attach, halo, in_block, over_blocks, with_position
+from motifline.plans.blocks import BLOCK_ROWS, attach, halo, in_block, int_div, over_blocks, with_position
+
+WINDOWS_AT_ONCE = 4_096
+SUM_PARTS = 64
 
 
 def sliding_windows(
@@ -28,6 +31,7 @@ def sliding_windows(
     """
     if length < 1 or stride < 1:
         raise ValueError("length and stride must be at least 1")
+    block_rows = _wide(block_rows, length)
     frame = in_block(keys, "pos").rowsBetween(0, length - 1)
     return (
         halo(df.select(*keys, "pos", F.col("x").cast("double").alias("x")), "pos", 0, length - 1, block_rows)
@@ -53,12 +57,17 @@ def _with_keys(out: pd.DataFrame, group: pd.DataFrame, names: Sequence[str]) ->
     return pd.concat([pd.DataFrame(keys, index=out.index), out], axis=1)
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], length: int, block_rows: int) -> DataFrame:
-    return halo(df.select(*keys, "pos", F.col("x").cast("double").alias("x")), "pos", 0, length - 1, block_rows).select(
-        *keys, "_block", "_own", "pos", "x"
+def _blocks(df: DataFrame, keys: Sequence[str], length: int, block_rows: int, *more: str) -> DataFrame:
+    return halo(df.select(*keys, "pos", F.col("x").cast("double").alias("x"), *more), "pos", 0, length - 1, block_rows).select(
+        *keys, "_block", "_own", "pos", "x", *more
     )
 
 
+def _wide(block_rows: int, length: int) -> int:
+    """Blocks are long beside the windows that reach over their end."""
+    return max(block_rows, 10 * length)
+
+
 def reconstruction_fit(
     train: DataFrame, keys: Sequence[str], length: int, k: int = 1, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -69,55 +78,46 @@ def reconstruction_fit(
     """
     if not 1 <= k <= length:
         raise ValueError("k must be between 1 and length")
-    names, key_fields = list(keys), [train.schema[c] for c in keys]
+    names, key_fields, block_rows = list(keys), [train.schema[c] for c in keys], _wide(block_rows, length)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in ("prod", "total")}
+        return _with_keys(pd.DataFrame({**out, "windows": pdf["windows"].sum(), "centre": pdf["centre"].iloc[0]}), pdf, names)
 
     def moments(pdf: pd.DataFrame) -> pd.DataFrame:
         _, w = _views(pdf, length)
-        gram = w.T @ w
-        i, j = np.triu_indices(length)
-        out = pd.DataFrame(
-            {"i": i, "j": j, "prod": gram[i, j], "total": w.sum(axis=0)[i], "windows": len(w)}
-        )
-        return _with_keys(out, pdf, names)
-
-    parts = (
-        _blocks(train, keys, length, block_rows)
-        .groupBy(*keys, "_block")
-        .applyInPandas(
-            moments,
-            T.StructType(
-                [
-                    *key_fields,
-                    T.StructField("i", T.IntegerType()),
-                    T.StructField("j", T.IntegerType()),
-                    T.StructField("prod", T.DoubleType()),
-                    T.StructField("total", T.DoubleType()),
-                    T.StructField("windows", T.LongType()),
-                ]
-            ),
-        )
-    )
-    sums = parts.groupBy(*keys, "i", "j").agg(
-        F.sum("prod").alias("prod"), F.sum("total").alias("total"), F.sum("windows").alias("windows")
-    ).where("windows > 0")
+        parts = [w[i : i + WINDOWS_AT_ONCE] for i in range(0, len(w), WINDOWS_AT_ONCE)] or [w]
+        rows = [{"prod": (p.T @ p).ravel(), "total": p.sum(axis=0), "windows": len(p), "centre": pdf["_centre"].iloc[0]} for p in parts]
+        return summed(pd.concat([_with_keys(pd.DataFrame(rows), pdf, names)]))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, n = pdf["i"].to_numpy(), pdf["j"].to_numpy(), float(pdf["windows"].iloc[0])
-        mean, second = np.zeros(length), np.zeros((length, length))
-        mean[i] = pdf["total"].to_numpy() / n
-        second[i, j] = second[j, i] = pdf["prod"].to_numpy() / n
-        axes = principal_axes(second - np.outer(mean, mean), k)
+        whole = summed(pdf).iloc[0]
+        n = float(whole["windows"])
+        mean = whole["total"] / n
+        axes = principal_axes(whole["prod"].reshape(length, length) / n - np.outer(mean, mean), k)
         row = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**row, "means": [mean.tolist()], "axes": [axes.tolist()]})
+        return pd.DataFrame({**row, "means": [(mean + whole["centre"]).tolist()], "axes": [axes.tolist()]})
 
-    schema = T.StructType(
+    numbers = T.ArrayType(T.DoubleType())
+    sums = T.StructType(
         [
             *key_fields,
-            T.StructField("means", T.ArrayType(T.DoubleType())),
-            T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType()))),
+            T.StructField("prod", numbers),
+            T.StructField("total", numbers),
+            T.StructField("windows", T.LongType()),
+            T.StructField("centre", T.DoubleType()),
         ]
     )
-    return sums.groupBy(*keys).applyInPandas(solve, schema)
+    # Values are taken from the key's mean first: sums of large values' squares would lose their differences.
+    centre = train.groupBy(*keys).agg(F.avg(F.col("x").cast("double")).alias("_centre"))
+    centred = attach(train, centre, keys, int_div("pos", BLOCK_ROWS)).withColumn("x", F.col("x").cast("double") - F.col("_centre"))
+    blocks = _blocks(centred, keys, length, block_rows, "_centre")
+    parts = blocks.groupBy(*keys, "_block").applyInPandas(moments, sums).where("windows > 0")
+    # One array per block, added up in two steps.
+    few = parts.withColumn("_part", F.pmod(F.xxhash64("prod"), F.lit(SUM_PARTS))).groupBy(*keys, "_part").applyInPandas(lambda key, f: summed(f), sums)
+    return few.groupBy(*keys).applyInPandas(
+        solve, T.StructType([*key_fields, T.StructField("means", numbers), T.StructField("axes", T.ArrayType(numbers))])
+    )
 
 
 def reconstruction_error(
@@ -134,7 +134,7 @@ def reconstruction_error(
     keys, start, score.
     """
     fit_keys = list(fit_keys if fit_keys is not None else keys)
-    names = list(keys)
+    names, block_rows = list(keys), _wide(block_rows, length)
     sizes = df.groupBy(*keys).agg(F.max("n").alias("_n"))
     # Own column names: both sides may come from one frame and would be told apart by nothing else.
     model = over_blocks(sizes.join(fit, fit_keys), "_n", block_rows).select(
@@ -146,9 +146,13 @@ def reconstruction_error(
             return _with_keys(pd.DataFrame({"start": np.empty(0, dtype=np.int64), "score": np.empty(0)}), pdf, names)
         starts, w = _views(pdf, length)
         axes = np.array([np.asarray(a, dtype=float) for a in fitted["axes"].iloc[0]])
-        d = w - np.asarray(fitted["means"].iloc[0], dtype=float)
-        rest = d - (d @ axes.T) @ axes
-        out = pd.DataFrame({"start": starts, "score": np.mean(rest * rest, axis=1)})
+        means = np.asarray(fitted["means"].iloc[0], dtype=float)
+        scores = np.empty(len(w))
+        for i in range(0, len(w), WINDOWS_AT_ONCE):
+            d = w[i : i + WINDOWS_AT_ONCE] - means
+            rest = d - (d @ axes.T) @ axes
+            scores[i : i + WINDOWS_AT_ONCE] = np.mean(rest * rest, axis=1)
+        out = pd.DataFrame({"start": starts, "score": scores})
         return _with_keys(out, pdf, names)
 
     schema = T.StructType(

@@ -298,7 +298,9 @@ def _first_states(edges: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first `n` source states of each key by first appearance."""
     seen = edges.groupBy(*keys, "s_from").agg(F.min("first_seg").alias("_first"))
     order = Window.partitionBy(*keys).orderBy("_first")
-    return seen.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).drop("_first")
+    # Compared with the row number itself, so that each task keeps the first n before the shuffle.
+    top = seen.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= n)
+    return top.withColumn("rank", F.col("_row") - 1).drop("_first", "_row")
 
 
 def _among_first(edges: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

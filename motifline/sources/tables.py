@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.operators.automaton import state_set
+from motifline.plans.blocks import stage
 
 
 def write_features(df: DataFrame, path: str, parts: Sequence[str] = ("fold", "role")) -> None:
@@ -22,10 +23,11 @@ def write_features(df: DataFrame, path: str, parts: Sequence[str] = ("fold", "ro
 
 def write_labels_times(df: DataFrame, path: str, cols: Sequence[str], parts: Sequence[str] = ("fold", "role")) -> bool:
     """Label and time columns as CSV; nothing is written when there are no rows."""
-    if df.isEmpty():
+    rows = stage(df.select(*parts, *cols))
+    if rows.isEmpty():
         return False
     micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    writer = df.select(*parts, *cols).write.partitionBy(*parts)
+    writer = rows.write.partitionBy(*parts)
     writer.options(header=True, timestampFormat=micros, timestampNTZFormat=micros).csv(path)
     return True
 
