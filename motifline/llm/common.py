@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -20,6 +22,22 @@ def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver collects garbage, once listeners have let go of the plans."""
+    for _ in range(2):
+        time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def map_column(
     df: DataFrame, keep: Sequence[str], column: str, make: Callable[[], Callable[[Any], tuple]], fields: str
 ) -> DataFrame:

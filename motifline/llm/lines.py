@@ -4,30 +4,26 @@ Lines within TAU edits: the shorter one is cut into TAU + 1 segments, of which a
 one stands unchanged in the longer one. Each line puts its segments into an index by
 length and number, and looks up its substrings for the lengths up to TAU below its own.
 By the multi-match rule a substring may start only where edits left of it and right of
-it can still add up to TAU: with TAU = 2 that is 12 lookups whatever the length.
+it can still add up to TAU: with TAU = 1 that is 4 lookups whatever the length, with 2 it is 12.
 Candidates are compared from where they first to where they last differ, by a
 bit-parallel automaton over a band of 2 * TAU + 1 diagonals.
 
 A line goes if its text, or a text within TAU edits, stands in an earlier document or
 further up. What decides is the first place of each text, so there are no chains to
-follow. Equal lines are one before any join. A signature of word parities travels with
-the keys: edits change few words, so lines that only share a long segment do not meet.
+follow. Equal lines are one before any join.
 """
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifline.llm.common import drop_staged, free_shuffles
 from motifline.plans.blocks import stage
 
-TAU = 2
+TAU = 1
 #: Shorter lines are compared for equality only.
 LEAST = 40
-#: Parity bits that an edit can change: it may make one word of two, or two of one.
-BITS_AN_EDIT = 3
 LONGEST = 24  # steps of the search for the first difference: lines of up to 2 ** 24 code points
 
 
@@ -53,12 +49,6 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def signature(line: Column) -> Column:
-    """32 parities of the line's words."""
-    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1), F.pmod(F.hash(w), F.lit(32))))
-    return F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseXOR(b))
-
-
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     """First place (from 1) and length of segment i of tau + 1: the last ones are longer by one if need be."""
     parts = tau + 1
@@ -92,7 +82,7 @@ def probe_keys(line: Column, n: Column, tau: int = TAU, least: int = LEAST) -> C
             for shift in range(low, high + 1):
                 inside = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= n)
                 keys.append(F.when(inside, _key(length, i, F.substring(line, start + shift, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)
 
 
 def _given(value: Column, use) -> Column:
@@ -187,30 +177,22 @@ def near(a: Column, b: Column, tau: int = TAU) -> Column:
     return _given(_given(start, tails), heads)
 
 
-def _free(df: DataFrame) -> None:
-    """Shuffle files of finished jobs go when the driver collects garbage."""
-    gc.collect()
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def similar(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """Pairs (id, id2, at, other_at) of different lines within `tau` edits, both ways.
 
     `texts` has one row per line: id, id2, at, line.
     """
     n = F.char_length("line")
-    long_lines = texts.where(n >= least).select("id", "line", n.alias("n"), signature(F.col("line")).alias("sig"))
-    index = long_lines.select("id", "sig", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probes = long_lines.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key"))
-    few = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b")).bitwiseAND(F.lit(0xFFFFFFFF))) <= BITS_AN_EDIT * tau
-    met = index.hint("shuffle_hash").join(probes, "key").where((F.col("id") != F.col("id_b")) & few)
+    long_lines = texts.where(n >= least).select("id", "line", n.alias("n"))
+    index = long_lines.select("id", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    probes = long_lines.select(F.col("id").alias("id_b"), F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key")).where("key is not null")
+    met = index.hint("shuffle_hash").join(probes, "key").where(F.col("id") != F.col("id_b"))
     pairs = stage(met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-    _free(texts)
+    free_shuffles(texts.sparkSession)
     # Two lines of one 64-bit hash both take part here, so nothing rests on the hash.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = stage(texts.join(asked.hint("shuffle_hash"), "id").select("id", "id2", "at", "line"))
-    _free(texts)
+    free_shuffles(texts.sparkSession)
     one = held.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
     two = held.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
     both = pairs.join(one, "a").join(two, "b").where(near(F.col("line_a"), F.col("line_b"), tau))
@@ -225,18 +207,20 @@ def judged_rows(docs: DataFrame, tau: int = TAU, least: int = LEAST, text: str =
     different lines to other texts, and the places that go."""
     lines = lines_of(docs, text)
     texts = stage(lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")))
-    _free(docs)
+    free_shuffles(docs.sparkSession)
     found = similar(texts, tau, least).groupBy("id", "id2").agg(F.count("*").alias("links"), (F.min("other_at") < F.first("at")).alias("later"))
     # Staged, so that the join below is a plain one whose hot lines Spark can split.
     verdict = stage(texts.select("id", "id2", F.col("at").alias("first_at")).join(found, ["id", "id2"], "left"))
-    _free(docs)
+    drop_staged(texts)
+    free_shuffles(docs.sparkSession)
     exact = F.col("at") != F.col("first_at")
     later = F.coalesce("later", F.lit(False))
-    light = lines.select("_row", "_tag", "at", "place", "id", "id2").distinct()
-    each = light.join(verdict, ["id", "id2"]).select(
+    each = lines.select("_row", "_tag", "at", "place", "id", "id2").join(verdict, ["id", "id2"]).select(
         "_row", "_tag", "place", exact.alias("exact"), (~exact & later).alias("near"), F.when(~exact, F.coalesce("links", F.lit(0))).otherwise(0).alias("links")
     )
-    return each.groupBy("_row", "_tag").agg(
+    # Repeated rows of one id and text count once.
+    once = each.repartition("_row", "_tag").dropDuplicates(["_row", "_tag", "place"])
+    return once.groupBy("_row", "_tag").agg(
         F.count("*").alias("n_lines"),
         F.count_if("exact").alias("n_exact"),
         F.count_if("near").alias("n_near"),

@@ -21,7 +21,6 @@ than one of its own.
 
 from __future__ import annotations
 
-import gc
 import pickle
 from collections.abc import Iterator
 from hashlib import sha256
@@ -31,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifline.llm.common import free_shuffles
 from motifline.plans.blocks import stage
 
 LENGTH, GRAM = 50, 24
@@ -447,13 +447,6 @@ def merged_spans(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished jobs: it does when the driver collects garbage."""
-    gc.collect()
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, ranges: int, text: str = "text") -> DataFrame:
     """(doc_id, tag, lost): spans of each text's bytes that lie in a string of LENGTH bytes which
     also starts in a document with a smaller id. `tag` tells texts of one doc_id apart."""
@@ -463,12 +456,12 @@ def repeated_spans(docs: DataFrame, ranges: int, text: str = "text") -> DataFram
     sent = texts.select("doc_id", "_text").mapInArrow(_anchor_rows(ranges), "range int, blob binary")
     places = stage(sent.groupBy("range").applyInArrow(_shared_places, "doc_id long, place int"))
     del sent
-    _free(docs)
+    free_shuffles(docs.sparkSession)
     by_doc = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     runs = texts.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "tag", "_text", "places").mapInArrow(_suffix_rows(ranges), "range int, blob binary")
     lost = stage(runs.groupBy("range").applyInArrow(_lost_bytes, "doc_id long, tag int, start int, end int"))
     del runs
-    _free(docs)
+    free_shuffles(docs.sparkSession)
     return lost.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
 
 
