@@ -76,7 +76,7 @@ near{tag} AS (
   SELECT {", ".join("q." + c for c in mkeys)}, q.pattern, s.state, levenshtein(q.pattern, s.state) AS dist,
     row_number() OVER (PARTITION BY {", ".join("q." + c for c in mkeys)}, q.pattern
                        ORDER BY levenshtein(q.pattern, s.state), s.state) AS rk
-  FROM asked{tag} q JOIN states{tag} s ON {on}),
+  FROM asked{tag} q LEFT JOIN states{tag} s ON {on}),
 resolved{tag} AS (
   SELECT {mk}, pattern, CASE WHEN dist = 0 THEN 'seen' ELSE 'unseen' END AS status,
     CASE WHEN dist > 0 THEN state END AS mapped_to, state AS resolved, dist FROM near{tag} WHERE rk = 1),
@@ -359,6 +359,8 @@ def oracle_sql() -> dict[str, str]:
         "source_state_count": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + " SELECT event_type, count(DISTINCT s_from) AS source_states FROM edges GROUP BY event_type",
         "edit_distance": W + ROLES + ", " + symbols("roles", RKEYS, 6, 6) + " SELECT event_type, role, seg, CAST(levenshtein(prev, pattern) AS INTEGER) AS distance FROM steps WHERE prev IS NOT NULL",
         "nearest_state": W + detector(6, 4) + " SELECT event_type, pattern, mapped_to, CAST(dist AS INTEGER) AS distance FROM resolved WHERE status = 'unseen'",
+        "nearest_state_12": W + detector(6, 12) + " SELECT event_type, pattern, mapped_to, CAST(dist AS INTEGER) AS distance FROM resolved WHERE status = 'unseen'",
+        "nearest_state_no_model": W + detector(6, 4) + " SELECT DISTINCT event_type || '?' AS event_type, pattern, CAST(NULL AS VARCHAR) AS mapped_to, CAST(NULL AS INTEGER) AS distance FROM resolved",
         "nearest_state_all_unseen": W + detector(6, 6) + " SELECT event_type, pattern, mapped_to, CAST(dist AS INTEGER) AS distance FROM resolved WHERE status = 'unseen'",
         "transition_probability": W + detector(6, 4) + f""" SELECT DISTINCT t.event_type, t.prev AS s_from, t.pattern AS s_to, {r('coalesce(e.p, 0)', 'probability')}
             FROM steps t LEFT JOIN edges e ON e.event_type = t.event_type AND e.s_from = t.prev AND e.s_to = t.pattern
@@ -398,6 +400,8 @@ def oracle_sql() -> dict[str, str]:
         "mcnemar_positional": W + compared(False) + MCNEMAR,
         # experiments
         "detect": W + detector() + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
+        "detect_short_series": W + suppliers.replace("l_suppkey", "l_partkey").replace("l_linenumber, l_partkey)", "l_linenumber, l_suppkey)") + ", " + chrono() + ", " + symbols("roles", ["l_partkey", "role"], 4, 3) + ", " + model(["l_partkey"]) + ", "
+            + scoring(["l_partkey"], ["l_partkey"]) + ", " + metrics(["l_partkey"]) + f" SELECT l_partkey, steps, {METRIC_COLS} FROM metrics WHERE steps > 0",
         "detect_many_series": W + suppliers + ", " + chrono() + ", " + symbols("roles", ["l_suppkey", "role"], 4, 3) + ", " + model(["l_suppkey"]) + ", "
             + scoring(["l_suppkey"], ["l_suppkey"]) + ", " + metrics(["l_suppkey"]) + f" SELECT l_suppkey, steps, {METRIC_COLS} FROM metrics",
         "skipped_series": """SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING (CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) // 5) < 4""",

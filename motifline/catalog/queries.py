@@ -332,6 +332,22 @@ def nearest(a: int, w: int) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def nearest_without_model(spark: SparkSession, sf: str) -> DataFrame:
+    counts = event_counts(spark, sf, 6, 4)
+    states = A.state_set(A.fit_automaton(counts.where("role = 'train'"), ET), ET)
+    test = counts.where("role = 'test'").select(F.expr("event_type || '?'").alias("event_type"), A.gram_pattern().alias("pattern"))
+    return A.nearest_states(test, states, ET, [4])
+
+
+def short_series(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey",
+        "cast(l_extendedprice as decimal(12,2)) as x", "cast(l_returnflag = 'R' as int) as label",
+    )
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]
+    return with_position(rows, ["l_partkey"], order, keep=["x", "label"])
+
+
 def transition_probability(spark: SparkSession, sf: str) -> DataFrame:
     counts = event_counts(spark, sf, 6, 4)
     edges = A.fit_automaton(counts.where("role = 'train'"), ET)
@@ -504,6 +520,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "event_type", "role", "seg", F.levenshtein(A.gram_previous(), A.gram_pattern()).alias("distance")
         ),
         "nearest_state": nearest(6, 4),
+        "nearest_state_12": nearest(6, 12),
+        "nearest_state_no_model": nearest_without_model,
         "nearest_state_all_unseen": nearest(6, 6),
         "transition_probability": transition_probability,
         "evaluate_transitions": evaluate_transitions,
@@ -532,6 +550,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mcnemar_positional": mcnemar(False),
         # experiments
         "detect": lambda s, d: rounded(X.detect(event_roles(s, d), ET), *X.METRICS),
+        "detect_short_series": lambda s, d: rounded(X.detect(splits.chrono_split(short_series(s, d)), ["l_partkey"]), *X.METRICS),
         "detect_many_series": lambda s, d: rounded(
             X.detect(splits.chrono_split(supplier_series(s, d)), ["l_suppkey"]), *X.METRICS
         ),

@@ -8,15 +8,16 @@ rows get their score back through a join.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifline.plans.blocks import attach, stage
 
-MASK_LIMIT = 3_000
+MASKED_LENGTH = 8  # longest word whose masks of every level are made
+LEVELS = (1, 3, 5)  # edits up to which other words are searched by their segments
 PAIR_SALTS = 64
-CODED_LENGTH = 11  # longest word that fits a bigint at five bits a letter, with its distance above
 DISTANCE_UNIT = 1 << 55
 THRESHOLD = 0.05
 
@@ -83,24 +84,15 @@ def _cost(mask: str) -> int:
     return mask.count("_") + 2 * mask.count("-")
 
 
-def edit_masks(length: int, limit: int = MASK_LIMIT) -> tuple[list[str], bool]:
+def edit_masks(length: int) -> list[str]:
     """Ways to blank (`_`) or delete (`-`) positions, cheapest first.
 
     Two words of the same length are at most d edits apart exactly when blanking
     s and deleting i positions of each, s + 2i = d, can leave the same text. The
-    first mask keeps everything: distance 0. Distance `length` holds for any two,
-    so one all-blank mask covers it. The second value tells whether every
-    distance is covered within `limit`.
+    first mask keeps everything: distance 0. Distance `length` holds for any two
+    and needs no mask.
     """
-    masks: list[str] = []
-    if length > CODED_LENGTH:
-        return masks, False
-    for d in range(length):
-        level = list(_level(length, d))
-        if len(masks) + len(level) > limit:
-            return masks, False
-        masks += level
-    return [*masks, "_" * length], True
+    return [m for d in range(length) for m in _level(length, d)] if length <= MASKED_LENGTH else []
 
 
 def _level(length: int, cost: int) -> Iterator[str]:
@@ -189,54 +181,103 @@ def _sharing_text(
     )
 
 
+def _within_edits(asked: DataFrame, known: DataFrame, keys: Sequence[str], edits: int) -> DataFrame:
+    """Nearest state of each pattern that has one within `edits`.
+
+    One of a state's edits + 1 segments stands unchanged in such a pattern, at most
+    `edits` places away, so states and patterns meet by length, number and text of a segment.
+    """
+    parts = edits + 1
+    start, end = f"_i * _len div {parts}", f"(_i + 1) * _len div {parts}"
+    cut = f"substring({{}}, cast({start} + 1 + {{}} as int), cast({end} - {start} as int))"
+    index = known.selectExpr("*", "length(state) as _len", f"explode(sequence(0, {edits})) as _i").selectExpr(
+        *[f"`{k}`" for k in keys], "state", "_len", "_i", f"{cut.format('state', 0)} as _text"
+    )
+    places = asked.selectExpr(
+        *[f"`{k}`" for k in keys], "pattern", f"explode(sequence(greatest(0, length(pattern) - {edits}), length(pattern) + {edits})) as _len"
+    ).selectExpr("*", f"explode(sequence(0, {edits})) as _i")
+    probes = (
+        places.selectExpr("*", f"explode(sequence(-{edits}, {edits})) as _shift")
+        .where(f"{start} + _shift >= 0 and {end} + _shift <= length(pattern)")
+        .selectExpr(*[f"`{k}`" for k in keys], "pattern", "_len", "_i", f"{cut.format('pattern', '_shift')} as _text")
+        .distinct()
+    )
+    pairs = probes.join(index, [*keys, "_len", "_i", "_text"]).select(*keys, "pattern", "state").distinct()
+    near = pairs.withColumn("_d", F.levenshtein("pattern", "state")).where(F.col("_d") <= edits)
+    best = near.groupBy(*keys, "pattern").agg(F.expr("min(struct(_d as distance, state as mapped_to))").alias("_best"))
+    return best.select(*keys, "pattern", "_best.mapped_to", "_best.distance")
+
+
+def _by_levels(asked: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nearest state of patterns of any length and letters, level by level with those still without one."""
+    on = [*keys, "pattern"]
+    out, rest = [], asked
+    for edits in LEVELS:
+        out.append(stage(_within_edits(rest, known, keys, edits)))
+        rest = rest.join(out[-1], on, "left_anti")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+    # What is further away than the last level meets the states of its key in salted slices.
+    salt = F.pmod(F.xxhash64("state"), F.lit(PAIR_SALTS)).alias("_salt")
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))).alias("_salt")
+    far = (
+        rest.select("*", spread)
+        .join(known.select("*", salt), [*keys, "_salt"])
+        .groupBy(*on)
+        .agg(F.expr("min(struct(levenshtein(pattern, state) as distance, state as mapped_to))").alias("_best"))
+    )
+    return reduce(DataFrame.unionByName, [*out, far.select(*on, "_best.mapped_to", "_best.distance")])
+
+
 def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> DataFrame:
     """Nearest state of each distinct pattern: least edit distance, then first by name.
 
-    Words at distance d share a masked text of level d (see `edit_masks`), so the
-    search is an equi-join on that text. Each text keeps only its first state
-    before the join, so no pattern ever meets all states. Most patterns have a
-    state within two edits; only the others go through the costlier levels.
-    Words too long to mask at every level are compared directly if they are still
-    unmatched, each slice of a key's states in its own task. Columns: keys, pattern, mapped_to, distance.
+    Patterns as long as all states of their model, up to MASKED_LENGTH letters a to z:
+    words at distance d share a masked text of level d (see `edit_masks`), so the search
+    is an equi-join on that text, and each text keeps only its first state before the
+    join. Most patterns have a state within two edits; only the others go through the
+    costlier levels, and what shares no masked text with any state is nearest to the
+    first. All other patterns are searched by segments (`_by_levels`).
+
+    Columns: keys, pattern, mapped_to, distance; the last two are null without a model.
     """
     pattern, known = _spread_distinct(patterns, keys, "pattern"), _spread_distinct(states, keys, "state")
-    coded = {w: edit_masks(w)[0] for w in lengths if w <= CODED_LENGTH}
-    near = {w: [m for m in ms if _cost(m) <= 2 or w <= 3] for w, ms in coded.items()}
-    far = {w: [m for m in ms if _cost(m) > 2 and w > 3] for w, ms in coded.items()}
-    whole = all(edit_masks(w)[1] for w in lengths)
+    masks = {w: edit_masks(w) for w in lengths if w <= MASKED_LENGTH}
+    near = {w: [m for m in ms if _cost(m) <= 2] for w, ms in masks.items()}
+    far = {w: [m for m in ms if _cost(m) > 2] for w, ms in masks.items()}
     on = [*keys, "pattern"]
-    if coded:
-        found = _sharing_text(pattern, known, keys, near)
+    plain = "state rlike '^[a-z]+$'"
+    models = known.groupBy(*keys).agg(
+        F.expr(f"if(min(length(state)) = max(length(state)) and bool_and({plain}), min(length(state)), null)").alias("_same"),
+        F.min("state").alias("_first"),
+    )
+    fits = F.expr("_same is not null and _same = length(pattern) and pattern rlike '^[a-z]+$'") & F.col("_same").isin(list(masks))
+    asked = pattern.join(models, list(keys)).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    if masks:
+        found = stage(_sharing_text(asked.where("_fits").select(*on), known, keys, near))
     else:
         same = known.select(*keys, F.col("state").alias("pattern"), F.col("state").alias("mapped_to"))
-        found = pattern.join(same, on).withColumn("distance", F.lit(0))
-    if whole and not any(far.values()):
-        return found
-    found = stage(found)
-    rest = pattern.join(found, on, "left_anti")
+        found = stage(pattern.join(same, on).withColumn("distance", F.lit(0)))
+    rest = stage(pattern.join(found, on, "left_anti"))
     if rest.isEmpty():
         return found
-    if any(far.values()):
-        asked = known.join(rest.select(*keys).distinct(), list(keys), "left_semi")
-        found = found.unionByName(_sharing_text(rest, asked, keys, far))
-    if not whole:
-        salt = F.pmod(F.xxhash64("state"), F.lit(PAIR_SALTS)).alias("_salt")
-        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))).alias("_salt")
-        direct = (
-            pattern.join(found, on, "left_anti")
-            .select("*", spread)
-            .join(known.select("*", salt), [*keys, "_salt"])
-            .groupBy(*on)
-            .agg(F.expr("min(struct(levenshtein(pattern, state) as distance, state as mapped_to))").alias("_best"))
-        )
-        found = found.unionByName(direct.select(*on, "_best.mapped_to", "_best.distance"))
-    return found
+    left = asked.join(rest, on, "left_semi")
+    more = []
+    if masks:
+        fitting = left.where("_fits")
+        distant = _sharing_text(fitting.select(*on), known, keys, far) if any(far.values()) else found.where("false")
+        none = fitting.join(distant, on, "left_anti").selectExpr(*[f"`{c}`" for c in on], "_first as mapped_to", "length(pattern) as distance")
+        more += [distant, none]
+    other = stage(left.where("not _fits").select(*on))
+    if not other.isEmpty():
+        more.append(_by_levels(other, known, keys))
+    return rest.join(reduce(DataFrame.unionByName, more, found.where("false")), on, "left").unionByName(found)
 
 
 def resolve_patterns(
     patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]
 ) -> DataFrame:
-    """Patterns that have a model, with `status`, `mapped_to` (null when seen) and `resolved`."""
+    """Patterns with `status`, `mapped_to` (null when seen or without a model) and `resolved`."""
     return nearest_states(patterns, states, keys, lengths).selectExpr(
         *[f"`{k}`" for k in keys], "pattern", "if(distance = 0, 'seen', 'unseen') as status",
         "if(distance = 0, null, mapped_to) as mapped_to", "mapped_to as resolved",
@@ -301,8 +342,8 @@ def score_grams(
     """Score each distinct gram of `steps` against the model with the same `keys`.
 
     Columns: keys, window_size, gram, pattern, state, status, mapped_to,
-    probability, decision. The first step of a path has probability 1. Grams
-    without a model are left out.
+    probability, decision. The first step of a path has probability 1. Without a
+    model a pattern is unseen, stands for no state, and later steps have probability 0.
     """
     distinct = steps.select(
         *_and(keys, "window_size", "gram"), gram_pattern().alias("pattern"), gram_previous().alias("_previous")
@@ -331,8 +372,8 @@ def explain_paths(
 ) -> DataFrame:
     """One justification per step of `steps`: time_step plus the columns of `score_grams`.
 
-    `keys` names the model; `steps` may carry more columns. Series without a
-    model are left out.
+    `keys` names the model; `steps` may carry more columns. The steps of series
+    without a model have null states (see `score_grams`).
     """
     scores = score_grams(steps, edges, keys, lengths, threshold)
     return (

@@ -90,7 +90,7 @@ def flag_counts(
     lengths: Sequence[int],
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Add `pred` to counted steps; `keys` names the model. Steps without a model are left out."""
+    """Add `pred` to counted steps; `keys` names the model. Steps without a model count as `score_grams` says."""
     labelled = counts.where("label is not null")
     scores = score_grams(labelled, edges, keys, lengths, threshold)
     on = list(dict.fromkeys([*keys, "window_size", "gram"]))

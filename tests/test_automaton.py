@@ -30,7 +30,17 @@ def test_nearest_state_literals(spark):
         "bce": ("bcd", "unseen", "bcd"), "xyz": ("abc", "unseen", "abc"),
     }
     empty = A.resolve_patterns(asked, states.where("false"), K, [3]).collect()
-    assert empty == []
+    assert {(r.pattern, r.status, r.mapped_to, r.resolved) for r in empty} == {(p, "unseen", None, None) for p in got}
+
+
+def test_patterns_of_other_lengths_letters_and_models(spark):
+    models = {"m": ["abc", "bcd", "cde"], "mixed": ["a", "abcd", "x-1", "zzzzzzzzzzzz"], "long": ["abcdefghijkl", "mnopqrstuvwx"]}
+    asked = [(k, p) for k in [*models, "none"] for p in ("abc", "ab", "abcd", "ABC", "x1", "zzzzzzzzzz", "abcdefghijlk", "qqqqqqqqqqqq")]
+    states = spark.createDataFrame([(k, s) for k, v in models.items() for s in v], "k string, state string")
+    found = A.nearest_states(spark.createDataFrame(asked, "k string, pattern string"), states, K, [3]).collect()
+    got = {(r.k, r.pattern): (r.mapped_to, r.distance) for r in found}
+    expected = {(k, p): ((nearest(p, models[k]), edits(p, nearest(p, models[k]))) if k in models else (None, None)) for k, p in asked}
+    assert len(found) == len(asked) and got == expected
 
 
 @pytest.mark.parametrize("length", [1, 2, 3, 4, 6, 8, 9, 12])
@@ -53,9 +63,9 @@ def test_nearest_state_against_all_pairs(spark, length):
 
 def test_mask_levels_are_exact():
     for length in (2, 3, 4):
-        masks, whole = A.edit_masks(length)
-        assert whole and masks[-1] == "_" * length
-    assert not A.edit_masks(12)[1]
+        masks = A.edit_masks(length)
+        assert masks[0] == "=" * length and "_" * length not in masks
+    assert A.edit_masks(12) == []
 
 
 @pytest.fixture(scope="module")
