@@ -10,7 +10,8 @@ bit-parallel automaton over a band of 2 * TAU + 1 diagonals.
 
 A line goes if its text, or a text within TAU edits, stands in an earlier document or
 further up. What decides is the first place of each text, so there are no chains to
-follow. Equal lines are one before any join.
+follow. Equal lines are one before any join. A signature of word parities travels with
+the keys: edits change few words, so lines that only share a long segment do not meet.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from motifline.plans.blocks import stage
 TAU = 1
 #: Shorter lines are compared for equality only.
 LEAST = 40
+#: Parity bits that an edit can change: it may make one word of two, or two of one.
+BITS_AN_EDIT = 3
 LONGEST = 24  # steps of the search for the first difference: lines of up to 2 ** 24 code points
 
 
@@ -49,6 +52,12 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def signature(line: Column) -> Column:
+    """32 parities of the line's words."""
+    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1), F.pmod(F.hash(w), F.lit(32))))
+    return F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseXOR(b))
+
+
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     """First place (from 1) and length of segment i of tau + 1: the last ones are longer by one if need be."""
     parts = tau + 1
@@ -180,13 +189,14 @@ def near(a: Column, b: Column, tau: int = TAU) -> Column:
 def similar(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """Pairs (id, id2, at, other_at) of different lines within `tau` edits, both ways.
 
-    `texts` has one row per line: id, id2, at, line.
+    `texts` has one row per line: id, id2, at, line, and the signature sig of long lines.
     """
     n = F.char_length("line")
-    long_lines = texts.where(n >= least).select("id", "line", n.alias("n"))
-    index = long_lines.select("id", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probes = long_lines.select(F.col("id").alias("id_b"), F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key")).where("key is not null")
-    met = index.hint("shuffle_hash").join(probes, "key").where(F.col("id") != F.col("id_b"))
+    long_lines = texts.where(n >= least).select("id", "line", "sig", n.alias("n"))
+    index = long_lines.select("id", "sig", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    probes = long_lines.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key")).where("key is not null")
+    few = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b")).cast("long").bitwiseAND(_long(0xFFFFFFFF))) <= BITS_AN_EDIT * tau
+    met = index.hint("shuffle_hash").join(probes, "key").where((F.col("id") != F.col("id_b")) & few)
     pairs = stage(met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
     free_shuffles(texts.sparkSession)
     # Two lines of one 64-bit hash both take part here, so nothing rests on the hash.
@@ -206,7 +216,8 @@ def judged_rows(docs: DataFrame, tau: int = TAU, least: int = LEAST, text: str =
     """Per row (_row, _tag) with lines: n_lines, n_exact and n_near lines that go, n_links of its
     different lines to other texts, and the places that go."""
     lines = lines_of(docs, text)
-    texts = stage(lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")))
+    first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line"))
+    texts = stage(first.withColumn("sig", F.when(F.char_length("line") >= least, signature(F.col("line")))))
     free_shuffles(docs.sparkSession)
     found = similar(texts, tau, least).groupBy("id", "id2").agg(F.count("*").alias("links"), (F.min("other_at") < F.first("at")).alias("later"))
     # Staged, so that the join below is a plain one whose hot lines Spark can split.

@@ -45,8 +45,10 @@ def test_segments_and_substrings_miss_no_pair(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     keys = df.select(
         "a", "b", *[f(F.col(c), F.char_length(c), 2, *extra).alias(f"{c}{k}") for c in "ab" for k, f, extra in (("i", L.index_keys, ()), ("p", L.probe_keys, (1,)))],
+        *[L.signature(F.col(c)).alias(f"s{c}") for c in "ab"],
     ).collect()
     for r in keys:
+        assert distance(r.a, r.b) > 2 or bin((r.sa ^ r.sb) & 0xFFFFFFFF).count("1") <= L.BITS_AN_EDIT * 2
         assert distance(r.a, r.b) > 2 or (set(r.ai) & set(r.bp) - {None}) or (set(r.bi) & set(r.ap) - {None})
         assert len(r.ai) == 3 and len(r.ap) == 12
 
