@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from csv import reader
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +18,19 @@ TIME_COLUMNS = ("DATETIME", "datetime", "Date", "Time", "timestamp")
 GROUPED_META = ("datetime", "changepoint", "source_group", "source_file")
 
 
+def _decoded(uri: str) -> Column:
+    """The path of a file's URI; a plus sign in it is one."""
+    return F.url_decode(F.replace(F.col(uri), F.lit("+"), F.lit("%2B")))
+
+
+def _plain_path(uri: str) -> str:
+    """A file's URI as the reader takes it: not encoded, and without patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
+
+
 def _read(spark: SparkSession, paths: str | list[str], schema: T.StructType | None) -> DataFrame:
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
+    read = spark.read.option("header", True)
+    return (read.schema(schema) if schema else read.option("inferSchema", True)).csv(paths)
 
 
 def read_single_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -54,16 +67,16 @@ def read_grouped_csv(
         raise ValueError(f"no CSV files under {pattern}")
     parts = []
     for header, files in headers:
-        names = [c.strip().strip('"') for c in header.split(",")]
+        names = [c.strip() for c in next(reader([header]))]
         typed = None
         if schema:
             types = {f.name: f.dataType for f in schema}
             typed = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in names])
         parts.append(
-            _read(spark, files, typed).select(
+            _read(spark, [_plain_path(f) for f in files], typed).select(
                 "*",
-                F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("source_group"),
-                F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("source_file"),
+                F.regexp_extract(_decoded("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("source_group"),
+                F.regexp_extract(_decoded("_metadata.file_path"), "([^/]+)$", 1).alias("source_file"),
             )
         )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -1,3 +1,4 @@
+from pyspark.sql import types as T
 import json
 
 import pytest
@@ -78,3 +79,14 @@ def test_features_and_fits_come_back(spark, tmp_path):
     assert sorted(tables.load_fit(spark, str(tmp_path / "fit")).collect()) == sorted(fit.collect())
     with pytest.raises(Exception):
         tables.load_automaton(spark, str(tmp_path / "missing"))[0].count()
+
+
+def test_grouped_csv_with_odd_names_and_quoted_headers(spark, tmp_path):
+    from motifline.sources.csv import read_grouped_csv
+
+    (tmp_path / "valve1").mkdir()
+    (tmp_path / "valve1" / "a b+c%20[1].csv").write_text('"x,1",y\n1.5,2\n')
+    (tmp_path / "valve1" / "plain.csv").write_text('y,"x,1"\n4,3.5\n')
+    schema = T.StructType([T.StructField("x,1", T.DoubleType()), T.StructField("y", T.IntegerType())])
+    rows = read_grouped_csv(spark, str(tmp_path), schema=schema).select("`x,1`", "y", "source_group", "source_file").collect()
+    assert sorted(map(tuple, rows)) == [(1.5, 2, "valve1", "a b+c%20[1].csv"), (3.5, 4, "valve1", "plain.csv")]
