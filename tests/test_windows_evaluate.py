@@ -114,3 +114,30 @@ def test_mcnemar(spark):
     assert row.p_value == pytest.approx(math.erfc(math.sqrt(stat / 2)), abs=1e-6)
     same = E.mcnemar_test(E.mcnemar_table(df, K, a="pred", b="pred")).first()
     assert same.statistic is None and same.p_value is None
+
+
+def test_counts_beyond_a_bigint_product(spark):
+    from motifline.operators import evaluate as E
+
+    big = spark.createDataFrame([("m", 5_000_000_000, 1)], "k string, a_only long, b_only long")
+    row = E.mcnemar_test(big).first()
+    assert abs(row.statistic / (4_999_999_998.0**2 / 5_000_000_001) - 1) < 1e-12 and row.significant
+    points = spark.createDataFrame(
+        [("m", 0.5, 5_000_000_000, 0, 5_000_000_000, 0), ("m", 0.1, 0, 4_000_000_000, 5_000_000_000, 4_000_000_000)],
+        "k string, threshold double, pos long, neg long, tp long, fp long",
+    )
+    assert abs(E.auc(points, ["k"]).first().auc - 1.0) < 1e-12
+
+
+def test_windows_of_large_values_fit_like_shifted_ones(spark):
+    import numpy as np
+
+    from motifline.operators import windows as W
+
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=400).cumsum() * 0.1 + rnd.normal(size=400)
+    rows = [(k, i, 400, float(v + shift)) for k, shift in (("low", 0.0), ("high", 1e8)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, pos long, n long, x double")
+    fit = {r.k: r for r in W.reconstruction_fit(df, ["k"], 4).collect()}
+    assert np.allclose(fit["low"].axes, fit["high"].axes, atol=1e-5) and np.allclose(np.array(fit["high"].means) - 1e8, fit["low"].means, atol=1e-6)
+    assert W.sliding_windows(df, ["k"], 380, block_rows=50).count() == 2 * 21
