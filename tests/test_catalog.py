@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import connect, differences
+from motifline.catalog import oracles, queries
 
 SAMPLE = ["grouped_csv", "group_kfold", "fold_roles", "pca_apply", "explain_path", "path_summary", "mcnemar_aligned", "robustness"]
 
@@ -13,7 +14,7 @@ def con(sf):
 
 def test_every_oracle_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    without = set(entry_points.queries()) - set(entry_points.oracle_sql())
+    without = set(queries.queries()) - set(oracles.oracle_sql())
     assert without == {"reconstruction_error_100", "detect_windows_100", "robustness_windows", "cross_dataset_folds"}
 
 
