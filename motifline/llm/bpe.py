@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from motifline.llm.common import map_column
 
-CACHED_WORDS, CACHED_CHARS = 300_000, 48
+CACHED_WORDS, CACHED_CHARS, CACHED_PAIRS = 200_000, 48, 500_000
 
 # Fixed value: the word pattern that byte-level vocabularies of this kind are made for.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -148,6 +148,8 @@ class Vocabulary:
         cache, out = self.cache, []
         if len(cache) > CACHED_WORDS:
             cache.clear()
+        if len(self.fits) > CACHED_PAIRS:
+            self.fits.clear()
         for part in self.split.split(text) if self.split else [text]:
             if part in self.added:
                 out.append(np.uint32(self.added[part]).tobytes())

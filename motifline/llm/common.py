@@ -38,6 +38,13 @@ def free_shuffles(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time become Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_column(
     df: DataFrame, keep: Sequence[str], column: str, make: Callable[[], Callable[[Any], tuple]], fields: str
 ) -> DataFrame:
@@ -52,7 +59,7 @@ def map_column(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [f(x) for x in b.column(len(keep)).to_pylist()]
             made = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)

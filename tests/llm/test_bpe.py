@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import struct
@@ -37,11 +38,17 @@ def test_random_words_equal_the_library(vocabulary, library):
             assert ids(vocabulary, text) == library.encode(text, add_special_tokens=False).ids
 
 
+@functools.cache
+def both():
+    from tokenizers import Tokenizer
+
+    return bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text_equals_the_library_and_comes_back(text):
-    vocabulary = test_any_text_equals_the_library_and_comes_back.__dict__.setdefault("v", bpe.Vocabulary(PATH))
-    library = test_any_text_equals_the_library_and_comes_back.__dict__.setdefault("t", __import__("tokenizers").Tokenizer.from_file(PATH))
+    vocabulary, library = both()
     assert ids(vocabulary, text) == library.encode(text, add_special_tokens=False).ids
     assert vocabulary.decode(vocabulary.encode(text)).decode() == text
 
