@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifline.plans.blocks import stage
@@ -271,16 +271,15 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
     crossed = named.join(others, ["band", "key"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
     # Large bands: by shingles beyond the pivot's, or by the sizes.
     big = stage(labelled(labelled(facts.where("over is not null"), "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over", "extra"))
-    beyond = big.select("b", "digest", "size", "common", "label", "top", F.explode(F.arrays_zip("over", "extra")).alias("x")).select("*", "x.over", "x.extra").drop("x")
-    outside = beyond.where("label <> top").selectExpr("b", "over", "digest as _d", "size as _size", "common as _common", "label as _label", "extra as _extra")
-    met = (
-        beyond.join(outside, ["b", "over"])
-        .where(close & (F.col("label") != F.col("_label")))
-        .groupBy("b", "digest", "_d")
-        .agg((F.sum(F.least("extra", "_extra")) + F.min(F.least("common", "_common"))).alias("most"), F.min(F.col("size") + F.col("_size")).alias("both"))
-        .where(F.col("most") >= share * F.col("both"))
-        .select("digest", "_d")
-    )
+    every = big.select("b", "digest", "size", "label", "top", (least * F.col("size") - F.col("common")).alias("need"), F.explode(F.arrays_zip("over", "extra")).alias("x"))
+    every = every.select("*", "x.over", "x.extra").drop("x")
+    # u needs least * |u| - |u & p| of common weight beyond p. Its most frequent shingles that
+    # together weigh less can be left out: a near pair still shares one of the others.
+    often = every.groupBy("b", "over").agg(F.count("*").alias("often"))
+    rest = Window.partitionBy("b", "digest").orderBy("often", "over").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    beyond = stage(every.join(often, ["b", "over"]).withColumn("rest", F.sum("extra").over(rest)).where(F.col("rest") >= F.col("need")))
+    outside = beyond.where("label <> top").selectExpr("b", "over", "digest as _d", "size as _size", "label as _label")
+    met = beyond.join(outside, ["b", "over"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
     low = big.groupBy("b").agg(F.min("size").alias("_low"))
     loose = (
         big.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))
