@@ -405,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_many_series": W + suppliers + ", " + chrono() + ", " + symbols("roles", ["l_suppkey", "role"], 4, 3) + ", " + model(["l_suppkey"]) + ", "
             + scoring(["l_suppkey"], ["l_suppkey"]) + ", " + metrics(["l_suppkey"]) + f" SELECT l_suppkey, steps, {METRIC_COLS} FROM metrics",
         "skipped_series": """SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING (CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) // 5) < 4""",
-        "pipeline": W + PROJECTED + ", " + symbols("projected", RKEYS, 4, 3) + ", " + model(ET) + ", " + scoring(ET, ET) + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
+        "sensor_pipeline": W + PROJECTED + ", " + symbols("projected", RKEYS, 4, 3) + ", " + model(ET) + ", " + scoring(ET, ET) + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
         "fold_metrics": FOLD_METRICS + f" SELECT fold, steps, {METRIC_COLS} FROM metrics",
         "fold_mean": FOLD_METRICS + f" SELECT 'events' AS dataset, {', '.join(r(f'avg({c})', c) for c in ('accuracy', 'precision', 'recall', 'f1'))} FROM metrics",
         "run_all": W + TWO_SOURCES + ", " + symbols("roles", ["dataset", "role"], 4, 3) + ", " + model(DK) + ", " + scoring(DK, DK) + ", " + metrics(DK) + f" SELECT dataset, {METRIC_COLS} FROM metrics",

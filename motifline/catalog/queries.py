@@ -555,7 +555,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             X.detect(splits.chrono_split(supplier_series(s, d)), ["l_suppkey"]), *X.METRICS
         ),
         "skipped_series": skipped_series,
-        "pipeline": lambda s, d: rounded(X.detect(projected(s, d).withColumnRenamed("pc_1", "x"), ET), *X.METRICS),
+        "sensor_pipeline": lambda s, d: rounded(X.detect(projected(s, d).withColumnRenamed("pc_1", "x"), ET), *X.METRICS),
         "fold_metrics": lambda s, d: rounded(fold_metrics(s, d), *X.METRICS),
         "fold_mean": lambda s, d: rounded(
             X.fold_mean(fold_metrics(s, d).withColumn("dataset", F.lit("events")), ["dataset"]), *X.METRICS
