@@ -110,6 +110,15 @@ def test_report_equals_brute_force(spark):
     assert long[3004].n_near == 0 and long[3005].n_near == 1 and long[3005].n_chars_left == 1
 
 
+def test_lines_two_edits_apart_go_and_three_stay(spark):
+    line = "the quick brown fox jumps over a lazy dog"
+    changed, longer, three = "the quick brown fix jumps over a lazy dig", line + "..", "the quack brown fax jumps over a lazy dug"
+    assert [distance(line, t) for t in (changed, longer, three)] == [2, 2, 3] and distance(changed, three) == 3
+    got = L.report(frame(spark, [(1, line), (2, changed), (3, longer), (4, three)])).orderBy("doc_id").collect()
+    assert [r.n_near for r in got] == [0, 1, 1, 0] and [r.n_links for r in got] == [2, 1, 1, 0]
+    assert [r.n_chars_left for r in got] == [len(line), 0, 0, len(three)]
+
+
 def test_rows_without_lines_left_go_and_columns_stay(spark):
     df = frame(spark, some_rows())
     rows = L.without_repeats(df).collect()
