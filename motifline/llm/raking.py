@@ -2,7 +2,7 @@
 
 Token weights of the cells source x language x topic are raked by iterative
 proportional fitting: each round scales the cells so that one marginal after the
-other meets its target. A cell's factor gives its documents' probability, capped at
+other meets its target, until none is off by more than TOLERANCE. A cell's factor gives its documents' probability, capped at
 one, with a common scale that meets the token budget. A document is drawn by a hash
 of its id, so a rerun draws the same ones.
 
@@ -12,6 +12,9 @@ before the shuffle, so a source of any size is a few rows.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,11 @@ from motifline.plans.blocks import stage
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares: the corpus' own token shares to these powers, scaled to 1. Below 1, small groups gain.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS, BUDGET, CAP_STEPS = 8, 0.6, 12
+#: Raking ends when no marginal is off by this share of its target; targets that
+#: can't be met end, with a warning, after MOST_ROUNDS or when STALLED rounds have not taken a tenth off the gap.
+TOLERANCE, MOST_ROUNDS, STALLED = 1e-12, 1000, 25
+#: Rounds of the SQL, which has no test of the gap: enough for the tables it is compared on.
+ROUNDS, BUDGET, CAP_STEPS = 48, 0.6, 12
 WORD = r"[^ \t\n\r]+"
 
 
@@ -74,13 +81,14 @@ def targets_of(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFram
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells with `factor`: its token weight times the factor meets the targets' shares of all tokens.
 
     A cell's factor is the product of one factor for each of its groups; a step sets the
     factors of one dimension. A cell without tokens, or of a group without a target, gets
     the factor 0. Targets of groups without cells can't be met; the others then share
-    what is left of their own scale.
+    what is left of their own scale. A marginal's gap before a step is the change of its
+    group's factor; a round without a gap above `tolerance` is the last.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     shares = {d: stage(t) for d, t in targets.items()}
@@ -92,11 +100,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             out = out.join(factors[d], d, "left").withColumn("factor", F.col("factor") * F.coalesce(f"_f_{d}", F.lit(0.0))).drop(f"_f_{d}")
         return out
 
+    gaps = []
     for _ in range(rounds):
+        changes = []
         for d, target in shares.items():
             have = weighed([x for x in shares if x != d]).groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
             scaled = target.join(have.where("have > 0"), "value")
-            factors[d] = stage(scaled.select(F.col("value").alias(d), (F.col("share") * total / F.col("have")).alias(f"_f_{d}")))
+            new = scaled.select(F.col("value").alias(d), (F.col("share") * total / F.col("have")).alias("_new")).join(factors[d], d)
+            change = F.try_divide(F.abs(F.col("_new") - F.col(f"_f_{d}")), F.greatest("_new", f"_f_{d}"))
+            staged = stage(new.select(d, F.col("_new").alias(f"_f_{d}"), change.alias("_gap")))
+            factors[d] = staged.drop("_gap")
+            changes.append(staged.select("_gap"))
+        gaps.append(reduce(DataFrame.union, changes).agg(F.max("_gap")).first()[0] or 0.0)
+        if gaps[-1] <= tolerance or len(gaps) > STALLED and gaps[-1] > 0.9 * gaps[-1 - STALLED]:
+            break
+    if gaps and gaps[-1] > tolerance:
+        warnings.warn(f"raking ended after {len(gaps)} rounds with a marginal off by {gaps[-1]:.1e} of its target", stacklevel=2)
     return weighed(shares)
 
 

@@ -74,6 +74,18 @@ def test_marginals_meet_their_targets(spark):
             assert abs(sum(r.tokens * r.factor for r in fitted if r[d] == value) / whole - share) < 1e-3
 
 
+def test_production_setting_meets_the_targets(spark):
+    groups = [(s, lang, t) for s in "abc" for lang in ("en", "de") for t in "xy"]
+    cells = [(*g, float(n)) for g, n in zip(groups, [900, 90, 50, 30, 60, 80, 40, 50, 70, 300, 30, 20])]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    targets = R.targets_of(table, R.POWERS)
+    fitted = R.rake(table, targets).collect()
+    whole = sum(c[3] for c in cells)
+    for d in R.DIMENSIONS:
+        for value, share in targets[d].collect():
+            assert abs(sum(r.tokens * r.factor for r in fitted if r[d] == value) / whole / share - 1) < 1e-9
+
+
 def test_budget_is_met_and_sample_keeps_columns(spark):
     docs = some_docs(spark, 3000, 2)
     rows = R.report(docs).collect()
