@@ -220,6 +220,11 @@ def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return two.select("a", "b", "excess", "_a", "_b").mapInArrow(task, "a string, b string, common long, like double, over array<long>, extra array<long>")
 
 
+def common_share(least: float) -> float:
+    """Part of both sizes that a near pair has in common, a little less so that rounding leaves no exact pair out."""
+    return least / (1 + least) * (1 - 1e-9)
+
+
 def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
     """(digest, label): classes of the texts that are near another text, by links of at least `least`.
 
@@ -234,7 +239,7 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
     leaves open without any. No link that could join two classes is lost, and members of
     one class are not compared.
     """
-    share = least / (1 + least)
+    share = common_share(least)
     texts = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text).alias("_text"))
     made = stage(texts.mapInArrow(_keys_of, "digest string, size long, keys array<long>"))
     nodes = made.dropDuplicates(["digest"])

@@ -122,6 +122,12 @@ def test_large_bands_take_the_other_way_to_the_same_classes(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in B.near_duplicates(df).collect()) == brute_classes(rows)
 
 
+def test_bound_of_large_bands_keeps_pairs_at_exactly_the_threshold():
+    assert not 28 >= 0.8 / 1.8 * 63
+    assert all(4 * k >= B.common_share(0.8) * (9 * k) for k in range(1, 20_000))
+    assert not any(4 * k - 1 >= B.common_share(0.8) * (9 * k) for k in range(1, 20_000))
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = some_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as label")
