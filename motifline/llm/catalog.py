@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, lines, merkle, raking, secrets, suffixes, topk, weaklabels, wrappers
+from motifline.llm import bagminhash, bpe, lines, merkle, rankbpe, raking, secrets, suffixes, topk, weaklabels, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -51,7 +51,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_line_dedup, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints)}
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return rankbpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_line_dedup, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints, op12_byte_level_bpe)}
 
 
 def _span_lists() -> str:
