@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import bagminhash, bpe, lexical, lines, merkle, rankbpe, raking, secrets, suffixes, topk, weaklabels, wrappers
+from motifline.llm import art, bagminhash, bpe, lexical, lines, merkle, rankbpe, raking, secrets, suffixes, topk, weaklabels, wrappers
 from motifline.llm.common import table, tasks_of
 
 
@@ -51,6 +51,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"), 2 * tasks_of(spark))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return art.trie(table(spark, sf_dir, "conversations")).drop("prefix")
+
+
 def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +66,7 @@ def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_line_dedup, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints, op12_byte_level_bpe, op13_ranked_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_line_dedup, op3_bpe_encoding_and_decoding, op4_quality_classifier, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_html_extraction, op9_exact_top_k_search, op10_document_fingerprints, op11_conversation_prefix_trie, op12_byte_level_bpe, op13_ranked_lexical_search)}
 
 
 def _span_lists() -> str:
@@ -101,6 +105,7 @@ scored as (
   from whole q join whole c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from scored qualify rank <= 5""",
+    "op11_conversation_prefix_trie": art.ORACLE,
     "op13_ranked_lexical_search": lexical.ORACLE,
 }
 

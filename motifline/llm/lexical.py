@@ -31,7 +31,7 @@ from motifline.plans.blocks import stage
 
 BLOCK_DOCS, BLOCK_POSTINGS = 8192, 1 << 20
 #: Intervals of at most this many documents are scored whole.
-LEAF_DOCS = 32
+LEAF_DOCS = 16
 #: Intervals handled at once: few at first, while the best documents are not known.
 FIRST_ROUND, MOST_AT_ONCE = 8, 256
 #: Terms of the queries that are searched in one go; more queries make more goes.
