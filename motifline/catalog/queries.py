@@ -158,7 +158,7 @@ def seed_metrics(spark: SparkSession, sf: str) -> DataFrame:
     edges = stage(A.fit_automaton(X.steps_of(roles.where("role = 'train'"), ET), ET))
     steps = X.steps_of(whole_number_noise(test, "0.2D", "seed").drop("role"), [*ET, "seed"])
     counts = stage(A.count_steps(steps, [*ET, "seed"]))
-    return E.binary_metrics(X.flag_counts(counts, edges, ET, [3]), [*ET, "seed"], weight="cnt")
+    return E.binary_metrics(X.flag_counts(counts, edges, ET), [*ET, "seed"], weight="cnt")
 
 
 def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,7 +327,7 @@ def nearest(a: int, w: int) -> Callable[[SparkSession, str], DataFrame]:
         states = A.state_set(A.fit_automaton(counts.where("role = 'train'"), ET), ET)
         test = counts.where("role = 'test'").select("event_type", A.gram_pattern().alias("pattern")).distinct()
         unseen = test.join(states.withColumnRenamed("state", "pattern"), ["event_type", "pattern"], "left_anti")
-        return A.nearest_states(unseen, states, ET, [w])
+        return A.nearest_states(unseen, states, ET)
 
     return run
 
@@ -336,7 +336,7 @@ def nearest_without_model(spark: SparkSession, sf: str) -> DataFrame:
     counts = event_counts(spark, sf, 6, 4)
     states = A.state_set(A.fit_automaton(counts.where("role = 'train'"), ET), ET)
     test = counts.where("role = 'test'").select(F.expr("event_type || '?'").alias("event_type"), A.gram_pattern().alias("pattern"))
-    return A.nearest_states(test, states, ET, [4])
+    return A.nearest_states(test, states, ET)
 
 
 def short_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,7 +357,7 @@ def transition_probability(spark: SparkSession, sf: str) -> DataFrame:
 def evaluate_transitions(spark: SparkSession, sf: str) -> DataFrame:
     counts = event_counts(spark, sf, 6, 4)
     edges = stage(A.fit_automaton(counts.where("role = 'train'"), ET))
-    return rounded(A.evaluate_transitions(event_pairs(counts), edges, ET, [4]), "probability")
+    return rounded(A.evaluate_transitions(event_pairs(counts), edges, ET), "probability")
 
 
 def justification_json(spark: SparkSession, sf: str) -> DataFrame:

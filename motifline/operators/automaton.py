@@ -7,18 +7,14 @@ rows get their score back through a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifline.operators.nearest import nearest_states
 from motifline.plans.blocks import attach, stage
 
-MASKED_LENGTH = 8  # longest word whose masks of every level are made
-LEVELS = (1, 3, 5)  # edits up to which other words are searched by their segments
-PAIR_SALTS = 64
-DISTANCE_UNIT = 1 << 55
 THRESHOLD = 0.05
 
 
@@ -80,205 +76,11 @@ def source_state_count(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.groupBy(*keys).agg(F.countDistinct("s_from").alias("source_states"))
 
 
-def _cost(mask: str) -> int:
-    return mask.count("_") + 2 * mask.count("-")
-
-
-def edit_masks(length: int) -> list[str]:
-    """Ways to blank (`_`) or delete (`-`) positions, cheapest first.
-
-    Two words of the same length are at most d edits apart exactly when blanking
-    s and deleting i positions of each, s + 2i = d, can leave the same text. The
-    first mask keeps everything: distance 0. Distance `length` holds for any two
-    and needs no mask.
-    """
-    return [m for d in range(length) for m in _level(length, d)] if length <= MASKED_LENGTH else []
-
-
-def _level(length: int, cost: int) -> Iterator[str]:
-    if length == 0:
-        yield from [""] * (cost == 0)
-        return
-    for mark, price in (("=", 0), ("_", 1), ("-", 2)):
-        if price <= cost:
-            yield from (mark + rest for rest in _level(length - 1, cost - price))
-
-
-def _spread_distinct(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Distinct (keys, col) in as many partitions as a shuffle has.
-
-    A model is a small table that would be read and merged into one partition;
-    masking multiplies its rows, so they are spread first.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*keys, col).repartition(tasks, *keys, col).distinct()
-
-
-def _word_code(col: str, longest: int) -> str:
-    """A word as a number that sorts like words of its length: five bits a letter, first letter highest."""
-    code = "0L"
-    for i in range(1, longest + 1):
-        code = f"if(length({col}) >= {i}, 32, 1) * {code} + if(length({col}) >= {i}, ascii(substring({col}, {i}, 1)) - 96, 0)"
-        code = f"({code})"
-    return code
-
-
-def _word(code: str, length: str, longest: int) -> str:
-    letters = (
-        f"if({length} >= {i}, char(96 + (shiftright({code}, 5 * ({length} - {i})) & 31)), '')"
-        for i in range(1, longest + 1)
-    )
-    return f"concat({', '.join(letters)})"
-
-
-def _mask_row(mask: str, deletions: int) -> str:
-    """A mask as SQL struct: distance, bits to blank, and the bit offsets of the letters to delete."""
-    offset = [5 * (len(mask) - 1 - i) for i in range(len(mask))]
-    blank = sum(31 << offset[i] for i, m in enumerate(mask) if m == "_")
-    gone = [offset[i] for i, m in enumerate(mask) if m == "-"]
-    return f"struct({_cost(mask)}, {blank}L, {', '.join(map(str, gone + [-1] * (deletions - len(gone))))})"
-
-
-def _signatures(df: DataFrame, col: str, masks: dict[int, list[str]]) -> DataFrame:
-    """One row per mask of the word whose code is `_code`.
-
-    `_sig` is the code of the masked word (31 for a blanked letter) and `_dist`
-    the edits the mask stands for.
-    """
-    deletions = max(1, *(m.count("-") for ms in masks.values() for m in ms))
-    offsets = [f"_d{i}" for i in range(deletions)]
-    by_length = " ".join(
-        f"when {w} then array({', '.join(_mask_row(m, deletions) for m in ms)})" for w, ms in masks.items() if ms
-    )
-    out = df.select(
-        "*", F.expr(f"length({col})").alias("_len"),
-        F.expr(f"inline(case length({col}) {by_length} end)").alias("_dist", "_blank", *offsets),
-    ).withColumn("_sig", F.expr("_code | _blank"))
-    for d in offsets:
-        shorter = f"shiftleft(shiftright(_sig, {d} + 5), {d}) | (_sig & (shiftleft(1L, {d}) - 1))"
-        out = out.withColumn("_sig", F.expr(f"if({d} < 0, _sig, {shorter})"))
-    return out.select(*df.columns, "_len", "_dist", "_sig")
-
-
-def _sharing_text(
-    pattern: DataFrame, known: DataFrame, keys: Sequence[str], masks: dict[int, list[str]]
-) -> DataFrame:
-    """Best state of each pattern among those it shares a masked word with."""
-    on, longest = [*keys, "_len", "_sig"], max(masks)
-    coded = known.select("*", F.expr(_word_code("state", longest)).alias("_code"))
-    asked = pattern.select("*", F.expr(_word_code("pattern", longest)).alias("_code"))
-    offers = _signatures(coded, "state", masks).groupBy(*on).agg(F.min("_code").alias("_offer"))
-    best = (
-        _signatures(asked, "pattern", masks)
-        .join(offers, on)
-        .groupBy(*keys, "pattern")
-        .agg(F.expr(f"min(_dist * {DISTANCE_UNIT}L + _offer)").alias("_rank"))
-    )
-    return best.selectExpr(
-        *[f"`{k}`" for k in keys], "pattern",
-        f"{_word(f'(_rank % {DISTANCE_UNIT}L)', 'length(pattern)', longest)} as mapped_to",
-        f"cast(_rank div {DISTANCE_UNIT}L as int) as distance",
-    )
-
-
-def _within_edits(asked: DataFrame, known: DataFrame, keys: Sequence[str], edits: int) -> DataFrame:
-    """Nearest state of each pattern that has one within `edits`.
-
-    One of a state's edits + 1 segments stands unchanged in such a pattern, at most
-    `edits` places away, so states and patterns meet by length, number and text of a segment.
-    """
-    parts = edits + 1
-    start, end = f"_i * _len div {parts}", f"(_i + 1) * _len div {parts}"
-    cut = f"substring({{}}, cast({start} + 1 + {{}} as int), cast({end} - {start} as int))"
-    index = known.selectExpr("*", "length(state) as _len", f"explode(sequence(0, {edits})) as _i").selectExpr(
-        *[f"`{k}`" for k in keys], "state", "_len", "_i", f"{cut.format('state', 0)} as _text"
-    )
-    places = asked.selectExpr(
-        *[f"`{k}`" for k in keys], "pattern", f"explode(sequence(greatest(0, length(pattern) - {edits}), length(pattern) + {edits})) as _len"
-    ).selectExpr("*", f"explode(sequence(0, {edits})) as _i")
-    probes = (
-        places.selectExpr("*", f"explode(sequence(-{edits}, {edits})) as _shift")
-        .where(f"{start} + _shift >= 0 and {end} + _shift <= length(pattern)")
-        .selectExpr(*[f"`{k}`" for k in keys], "pattern", "_len", "_i", f"{cut.format('pattern', '_shift')} as _text")
-        .distinct()
-    )
-    pairs = probes.join(index, [*keys, "_len", "_i", "_text"]).select(*keys, "pattern", "state").distinct()
-    near = pairs.withColumn("_d", F.levenshtein("pattern", "state")).where(F.col("_d") <= edits)
-    best = near.groupBy(*keys, "pattern").agg(F.expr("min(struct(_d as distance, state as mapped_to))").alias("_best"))
-    return best.select(*keys, "pattern", "_best.mapped_to", "_best.distance")
-
-
-def _by_levels(asked: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nearest state of patterns of any length and letters, level by level with those still without one."""
-    on = [*keys, "pattern"]
-    out, rest = [], asked
-    for edits in LEVELS:
-        out.append(stage(_within_edits(rest, known, keys, edits)))
-        rest = rest.join(out[-1], on, "left_anti")
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-    # What is further away than the last level meets the states of its key in salted slices.
-    salt = F.pmod(F.xxhash64("state"), F.lit(PAIR_SALTS)).alias("_salt")
-    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))).alias("_salt")
-    far = (
-        rest.select("*", spread)
-        .join(known.select("*", salt), [*keys, "_salt"])
-        .groupBy(*on)
-        .agg(F.expr("min(struct(levenshtein(pattern, state) as distance, state as mapped_to))").alias("_best"))
-    )
-    return reduce(DataFrame.unionByName, [*out, far.select(*on, "_best.mapped_to", "_best.distance")])
-
-
-def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> DataFrame:
-    """Nearest state of each distinct pattern: least edit distance, then first by name.
-
-    Patterns as long as all states of their model, up to MASKED_LENGTH letters a to z:
-    words at distance d share a masked text of level d (see `edit_masks`), so the search
-    is an equi-join on that text, and each text keeps only its first state before the
-    join. Most patterns have a state within two edits; only the others go through the
-    costlier levels, and what shares no masked text with any state is nearest to the
-    first. All other patterns are searched by segments (`_by_levels`).
-
-    Columns: keys, pattern, mapped_to, distance; the last two are null without a model.
-    """
-    pattern, known = _spread_distinct(patterns, keys, "pattern"), _spread_distinct(states, keys, "state")
-    masks = {w: edit_masks(w) for w in lengths if w <= MASKED_LENGTH}
-    near = {w: [m for m in ms if _cost(m) <= 2] for w, ms in masks.items()}
-    far = {w: [m for m in ms if _cost(m) > 2] for w, ms in masks.items()}
-    on = [*keys, "pattern"]
-    plain = "state rlike '^[a-z]+$'"
-    models = known.groupBy(*keys).agg(
-        F.expr(f"if(min(length(state)) = max(length(state)) and bool_and({plain}), min(length(state)), null)").alias("_same"),
-        F.min("state").alias("_first"),
-    )
-    fits = F.expr("_same is not null and _same = length(pattern) and pattern rlike '^[a-z]+$'") & F.col("_same").isin(list(masks))
-    asked = pattern.join(models, list(keys)).withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    if masks:
-        found = stage(_sharing_text(asked.where("_fits").select(*on), known, keys, near))
-    else:
-        same = known.select(*keys, F.col("state").alias("pattern"), F.col("state").alias("mapped_to"))
-        found = stage(pattern.join(same, on).withColumn("distance", F.lit(0)))
-    rest = stage(pattern.join(found, on, "left_anti"))
-    if rest.isEmpty():
-        return found
-    left = asked.join(rest, on, "left_semi")
-    more = []
-    if masks:
-        fitting = left.where("_fits")
-        distant = _sharing_text(fitting.select(*on), known, keys, far) if any(far.values()) else found.where("false")
-        none = fitting.join(distant, on, "left_anti").selectExpr(*[f"`{c}`" for c in on], "_first as mapped_to", "length(pattern) as distance")
-        more += [distant, none]
-    other = stage(left.where("not _fits").select(*on))
-    if not other.isEmpty():
-        more.append(_by_levels(other, known, keys))
-    return rest.join(reduce(DataFrame.unionByName, more, found.where("false")), on, "left").unionByName(found)
-
-
 def resolve_patterns(
-    patterns: DataFrame, states: DataFrame, keys: Sequence[str], lengths: Sequence[int]
+    patterns: DataFrame, states: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Patterns with `status`, `mapped_to` (null when seen or without a model) and `resolved`."""
-    return nearest_states(patterns, states, keys, lengths).selectExpr(
+    return nearest_states(patterns, states, keys).selectExpr(
         *[f"`{k}`" for k in keys], "pattern", "if(distance = 0, 'seen', 'unseen') as status",
         "if(distance = 0, null, mapped_to) as mapped_to", "mapped_to as resolved",
     )
@@ -289,7 +91,7 @@ def _ends(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def evaluate_transitions(
-    pairs: DataFrame, edges: DataFrame, keys: Sequence[str], lengths: Sequence[int]
+    pairs: DataFrame, edges: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Status and mapped state of both ends of each (s_from, s_to), and its probability.
 
@@ -298,7 +100,7 @@ def evaluate_transitions(
     """
     wanted = pairs.select(*keys, "s_from", "s_to").distinct()
     ends = wanted.select(*keys, F.explode(F.array("s_from", "s_to")).alias("pattern"))
-    resolved = stage(resolve_patterns(ends, _ends(edges, keys), keys, lengths))
+    resolved = stage(resolve_patterns(ends, _ends(edges, keys), keys))
 
     def side(name: str) -> DataFrame:
         return resolved.select(
@@ -337,7 +139,7 @@ def decide(probability: Column, threshold: float = THRESHOLD, first: Column | No
 
 
 def score_grams(
-    steps: DataFrame, edges: DataFrame, keys: Sequence[str], lengths: Sequence[int], threshold: float = THRESHOLD
+    steps: DataFrame, edges: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD
 ) -> DataFrame:
     """Score each distinct gram of `steps` against the model with the same `keys`.
 
@@ -348,7 +150,7 @@ def score_grams(
     distinct = steps.select(
         *_and(keys, "window_size", "gram"), gram_pattern().alias("pattern"), gram_previous().alias("_previous")
     ).distinct()
-    resolved = stage(resolve_patterns(distinct, _ends(edges, keys), keys, lengths))
+    resolved = stage(resolve_patterns(distinct, _ends(edges, keys), keys))
     previous = resolved.select(*keys, F.col("pattern").alias("_previous"), F.col("resolved").alias("_from"))
     known = edges.select(*keys, F.col("s_from").alias("_from"), F.col("s_to").alias("state"), "p")
     return (
@@ -367,7 +169,6 @@ def explain_paths(
     steps: DataFrame,
     edges: DataFrame,
     keys: Sequence[str],
-    lengths: Sequence[int],
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One justification per step of `steps`: time_step plus the columns of `score_grams`.
@@ -375,7 +176,7 @@ def explain_paths(
     `keys` names the model; `steps` may carry more columns. The steps of series
     without a model have null states (see `score_grams`).
     """
-    scores = score_grams(steps, edges, keys, lengths, threshold)
+    scores = score_grams(steps, edges, keys, threshold)
     return (
         attach(steps, scores, _and(keys, "window_size", "gram"), F.col("_block"))
         .withColumnRenamed("seg", "time_step")

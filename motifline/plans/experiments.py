@@ -87,12 +87,11 @@ def flag_counts(
     counts: DataFrame,
     edges: DataFrame,
     keys: Sequence[str],
-    lengths: Sequence[int],
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Add `pred` to counted steps; `keys` names the model. Steps without a model count as `score_grams` says."""
     labelled = counts.where("label is not null")
-    scores = score_grams(labelled, edges, keys, lengths, threshold)
+    scores = score_grams(labelled, edges, keys, threshold)
     on = list(dict.fromkeys([*keys, "window_size", "gram"]))
     return labelled.join(scores.select(*on, F.expr("cast(decision = 'anomaly' as int)").alias("pred")), on)
 
@@ -101,7 +100,7 @@ def detect(series: DataFrame, keys: Sequence[str], params: Params = Params()) ->
     """Learn each key's model on its train rows and score its test rows: one row of metrics per key."""
     counts = count_roles(series, keys, params)
     edges = stage(fit_automaton(_role(counts, "train"), keys))
-    flags = flag_counts(_role(counts, "test"), edges, keys, [params.window], params.threshold)
+    flags = flag_counts(_role(counts, "test"), edges, keys, params.threshold)
     return binary_metrics(flags, keys, weight="cnt")
 
 
@@ -109,7 +108,7 @@ def explain(series: DataFrame, keys: Sequence[str], params: Params = Params()) -
     """Justification of every test step, with its label."""
     steps = stage(steps_of(series.where(F.col("role").isin("train", "test")), [*keys, "role"], params))
     edges = stage(fit_automaton(_role(steps, "train"), keys))
-    return explain_paths(_role(steps, "test"), edges, keys, [params.window], params.threshold).drop(
+    return explain_paths(_role(steps, "test"), edges, keys, params.threshold).drop(
         "alphabet_size", "window_size"
     )
 
@@ -219,7 +218,7 @@ def robustness_table(
     test = noisy_variants(_role(series, "test"), keys, stds, seed, noise)
     edges = stage(fit_automaton(steps_of(_role(series, "train"), keys, params), keys))
     counts = stage(count_steps(steps_of(test, [*keys, "std"], params), [*keys, "std"]))
-    flags = flag_counts(counts, edges, keys, [params.window], params.threshold)
+    flags = flag_counts(counts, edges, keys, params.threshold)
     table = _by_level(binary_metrics(flags, [*keys, "std"], weight="cnt"), by, stds, "automaton")
     if length is None:
         return table
@@ -257,7 +256,7 @@ def cross_dataset_matrix(
     counts = _role(steps, "test").withColumn("_m", F.explode(pairs)).select("*", "_m.*").drop("_m")
     if fold_col and source_folds == "all":
         counts = counts.where((F.col("train_dataset") != F.col(dataset_col)) | (F.col("train_fold") == F.col(fold_col)))
-    flags = flag_counts(counts, edges, model, [params.window], params.threshold)
+    flags = flag_counts(counts, edges, model, params.threshold)
     f1 = binary_metrics(flags, [*model, *keys], weight="cnt")
     return f1.groupBy("train_dataset").pivot(dataset_col, list(datasets)).agg(F.avg("f1"))
 
@@ -275,7 +274,7 @@ def grid_search(
     grid = [*keys, "window_size", "alphabet_size"]
     counts = count_roles(series, keys, params, alphabets, windows)
     edges = stage(fit_automaton(_role(counts, "train"), grid))
-    flags = flag_counts(_role(counts, "test"), edges, grid, windows, params.threshold)
+    flags = flag_counts(_role(counts, "test"), edges, grid, params.threshold)
     metrics = binary_metrics(flags, grid, weight="cnt").join(source_state_count(edges, grid), grid)
     return metrics.groupBy(*by, "window_size", "alphabet_size").agg(
         F.avg("source_states").alias("unique_states"),

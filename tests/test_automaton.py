@@ -1,11 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brute import edits, fit, letters, nearest, pattern_labels, patterns, series_rows, walk
 from motifline.operators import automaton as A
+from motifline.operators import nearest as N
 from motifline.operators.splits import chrono_split
 from motifline.plans import experiments as X
 from motifline.plans.blocks import with_position
@@ -24,12 +26,12 @@ def test_edit_distance_literals(spark):
 def test_nearest_state_literals(spark):
     states = spark.createDataFrame([("m", s) for s in ("abc", "bcd", "cde")], "k string, state string")
     asked = spark.createDataFrame([("m", p) for p in ("abc", "acc", "bce", "xyz")], "k string, pattern string")
-    got = {r.pattern: (r.resolved, r.status, r.mapped_to) for r in A.resolve_patterns(asked, states, K, [3]).collect()}
+    got = {r.pattern: (r.resolved, r.status, r.mapped_to) for r in A.resolve_patterns(asked, states, K).collect()}
     assert got == {
         "abc": ("abc", "seen", None), "acc": ("abc", "unseen", "abc"),
         "bce": ("bcd", "unseen", "bcd"), "xyz": ("abc", "unseen", "abc"),
     }
-    empty = A.resolve_patterns(asked, states.where("false"), K, [3]).collect()
+    empty = A.resolve_patterns(asked, states.where("false"), K).collect()
     assert {(r.pattern, r.status, r.mapped_to, r.resolved) for r in empty} == {(p, "unseen", None, None) for p in got}
 
 
@@ -37,7 +39,7 @@ def test_patterns_of_other_lengths_letters_and_models(spark):
     models = {"m": ["abc", "bcd", "cde"], "mixed": ["a", "abcd", "x-1", "zzzzzzzzzzzz"], "long": ["abcdefghijkl", "mnopqrstuvwx"]}
     asked = [(k, p) for k in [*models, "none"] for p in ("abc", "ab", "abcd", "ABC", "x1", "zzzzzzzzzz", "abcdefghijlk", "qqqqqqqqqqqq")]
     states = spark.createDataFrame([(k, s) for k, v in models.items() for s in v], "k string, state string")
-    found = A.nearest_states(spark.createDataFrame(asked, "k string, pattern string"), states, K, [3]).collect()
+    found = A.nearest_states(spark.createDataFrame(asked, "k string, pattern string"), states, K).collect()
     got = {(r.k, r.pattern): (r.mapped_to, r.distance) for r in found}
     expected = {(k, p): ((nearest(p, models[k]), edits(p, nearest(p, models[k]))) if k in models else (None, None)) for k, p in asked}
     assert len(found) == len(asked) and got == expected
@@ -56,16 +58,37 @@ def test_nearest_state_against_all_pairs(spark, length):
     unseen = [(k, p) for k, v in asked.items() for p in v - models[k]]
     if not unseen:
         return
-    found = A.nearest_states(spark.createDataFrame(unseen, "k string, pattern string"), states, K, [length]).collect()
+    found = A.nearest_states(spark.createDataFrame(unseen, "k string, pattern string"), states, K).collect()
     got = {(r.k, r.pattern): (r.mapped_to, r.distance) for r in found}
     assert got == {(k, p): (nearest(p, models[k]), edits(p, nearest(p, models[k]))) for k, p in unseen}
 
 
-def test_mask_levels_are_exact():
-    for length in (2, 3, 4):
-        masks = A.edit_masks(length)
-        assert masks[0] == "=" * length and "_" * length not in masks
-    assert A.edit_masks(12) == []
+@pytest.mark.parametrize("shard,asked_at_once,open_pairs", [(1, 2, 3), (6, 10, 40), (40, 65_536, 1 << 19)])
+def test_shards_of_a_model_meet_in_the_nearest_state(spark, monkeypatch, shard, asked_at_once, open_pairs):
+    monkeypatch.setattr(N, "SHARD_WORDS", shard)
+    monkeypatch.setattr(N, "ASKED_AT_ONCE", asked_at_once)
+    monkeypatch.setattr(N, "OPEN_PAIRS", open_pairs)
+    rnd = random.Random(shard)
+    words = lambda n, letters, longest: {"".join(rnd.choice(letters) for _ in range(rnd.randint(0, longest))) for _ in range(n)}
+    models = {"m": words(90, "abé", 6), "one": {"ab"}, "head": {"a" * i for i in range(9)} | {""}}
+    asked = words(60, "abcé", 7)
+    states = spark.createDataFrame([(k, s) for k, v in models.items() for s in v], "k string, state string")
+    patterns_ = spark.createDataFrame([(k, p) for k in [*models, "none"] for p in asked], "k string, pattern string")
+    got = {(r.k, r.pattern): (r.mapped_to, r.distance) for r in A.nearest_states(patterns_, states, K).collect()}
+    expected = {(k, p): ((nearest(p, models[k]), edits(p, nearest(p, models[k]))) if k in models else (None, None)) for k in [*models, "none"] for p in asked}
+    assert got == expected
+
+
+def test_trie_gives_the_first_of_the_nearest_words():
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 9))) for _ in range(400)})
+    asked = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    trie = N.Trie(words)
+    best, distance = trie.nearest(asked, np.full(len(asked), 99))
+    assert [(trie.words[b], d) for b, d in zip(best, distance)] == [(n := nearest(a, words), edits(a, n)) for a in asked]
+    near, _ = trie.nearest(asked, np.full(len(asked), 1))
+    assert [(b if d <= 1 else -1) for b, d in zip(best, distance)] == near.tolist()
+    assert N.Trie([]).nearest(["a"], np.array([9]))[0].tolist() == [-1]
 
 
 @pytest.fixture(scope="module")
@@ -111,7 +134,7 @@ def steps_from(spark, seqs):
 def test_last_train_state_is_seen_but_leads_nowhere(spark):
     train = steps_from(spark, {"m": patterns("aaabbbc", 3)})
     edges = A.fit_automaton(train, K)
-    path = A.explain_paths(steps_from(spark, {"m": patterns("bbcc", 3)}), edges, K, [3]).orderBy("time_step").collect()
+    path = A.explain_paths(steps_from(spark, {"m": patterns("bbcc", 3)}), edges, K).orderBy("time_step").collect()
     assert [(r.pattern, r.status, r.probability, r.decision) for r in path] == [
         ("bbc", "seen", 1.0, "normal"), ("bcc", "unseen", 0.0, "anomaly"),
     ]
@@ -120,7 +143,7 @@ def test_last_train_state_is_seen_but_leads_nowhere(spark):
 def test_path_summary(spark):
     train = steps_from(spark, {"m": patterns("abababb", 2), "one": ["ab", "bc"]})
     edges = A.fit_automaton(train, K)
-    found = A.explain_paths(steps_from(spark, {"m": patterns("ababa", 2), "one": ["ab"]}), edges, K, [2])
+    found = A.explain_paths(steps_from(spark, {"m": patterns("ababa", 2), "one": ["ab"]}), edges, K)
     got = {r.k: r for r in A.path_summary(found, K).collect()}
     assert got["m"].path_probability == pytest.approx((2 / 3) * 1.0 * (2 / 3))
     assert got["m"].confidence == pytest.approx((2 / 3 + 1 + 2 / 3) / 3)
@@ -129,7 +152,7 @@ def test_path_summary(spark):
 
 def test_justification_keeps_all_seven_fields(spark):
     train = steps_from(spark, {"m": patterns("abababb", 2)})
-    found = A.explain_paths(steps_from(spark, {"m": ["ab"]}), A.fit_automaton(train, K), K, [2])
+    found = A.explain_paths(steps_from(spark, {"m": ["ab"]}), A.fit_automaton(train, K), K)
     record = json.loads(A.justification_json(found, K).first().justification)
     assert record == {
         "time_step": 0, "state": "ab", "pattern": "ab", "status": "seen", "mapped_to": None, "probability": 1.0, "decision": "normal",
@@ -148,5 +171,5 @@ def test_model_json(spark):
 def test_evaluate_transition_of_an_unknown_model(spark):
     pairs = spark.createDataFrame([("x", "ab", "ba")], "k string, s_from string, s_to string")
     edges = A.fit_automaton(steps_from(spark, {"m": patterns("abababb", 2)}), K)
-    row = A.evaluate_transitions(pairs, edges, K, [2]).first()
+    row = A.evaluate_transitions(pairs, edges, K).first()
     assert (row.s_from_status, row.s_from_mapped, row.s_to_status, row.s_to_mapped, row.probability) == ("unseen", None, "unseen", None, 0.0)
