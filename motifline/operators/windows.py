@@ -2,7 +2,7 @@
 
 Windows overlap almost completely, so they are never shuffled: a task gets one
 block of a series plus the rows its last windows reach into and forms the
-windows there as views.
+windows there as views. A fit needs no windows at all, only sums over lags.
 """
 
 from __future__ import annotations
@@ -68,53 +68,77 @@ def _wide(block_rows: int, length: int) -> int:
     return max(block_rows, 10 * length)
 
 
+def lag_products(x: np.ndarray, own: int, length: int) -> np.ndarray:
+    """For each lag below `length`, the sum of x[s] * x[s + lag] over the first `own` places; what is missing counts as 0."""
+    ahead = np.zeros(own + length - 1)
+    ahead[: min(len(x), len(ahead))] = x[: len(ahead)]
+    return np.correlate(ahead, ahead[:own], "valid")
+
+
+def window_products(lags: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Sum of the outer products of all windows of a series, from its lag sums and its first and last length - 1 values.
+
+    The entry (i, i + lag) is the lag's sum without the products that start in the first i
+    places or end in the last ones that a window's place i + lag never reaches.
+    """
+    length = len(lags)
+    out = np.empty((length, length))
+    for lag in range(length):
+        n = length - 1 - lag
+        before = np.concatenate([[0.0], np.cumsum(head[:n] * head[lag:])])
+        behind = np.concatenate([np.cumsum((tail[:n] * tail[lag:])[::-1])[::-1], [0.0]])
+        at = np.arange(n + 1)
+        out[at, at + lag] = out[at + lag, at] = lags[lag] - before - behind
+    return out
+
+
 def reconstruction_fit(
     train: DataFrame, keys: Sequence[str], length: int, k: int = 1, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Mean window and first k principal axes of the training windows of each key.
 
-    Blocks add up their windows' products; the sums, length squared per key, are
-    all that is brought together.
+    Neighbouring windows share all but their ends, so the sum of their products follows
+    from one sum for each lag and the ends of the series (`window_products`). Blocks add up
+    `length` lag sums over their rows; a few blocks' sums and the ends are all that is
+    brought together. Series shorter than `length` give no fit.
     """
     if not 1 <= k <= length:
         raise ValueError("k must be between 1 and length")
     names, key_fields, block_rows = list(keys), [train.schema[c] for c in keys], _wide(block_rows, length)
 
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in ("prod", "total")}
-        return _with_keys(pd.DataFrame({**out, "windows": pdf["windows"].sum(), "centre": pdf["centre"].iloc[0]}), pdf, names)
+    def lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        x, pos, own, n = pdf["x"].to_numpy(dtype=float), pdf["pos"].to_numpy(), pdf["_own"].to_numpy(), pdf["_rows"].iloc[0]
+        mine = int(own.sum())  # copies follow the block's own rows
+        end = own & ((pos < length - 1) | (pos > n - length))
+        row = {"lags": [lag_products(x, mine, length)], "total": x[:mine].sum(), "rows": n, "centre": pdf["_centre"].iloc[0], "at": [pos[end]], "ends": [x[end]]}
+        return _with_keys(pd.DataFrame(row), pdf, names)
 
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, w = _views(pdf, length)
-        parts = [w[i : i + WINDOWS_AT_ONCE] for i in range(0, len(w), WINDOWS_AT_ONCE)] or [w]
-        rows = [{"prod": (p.T @ p).ravel(), "total": p.sum(axis=0), "windows": len(p), "centre": pdf["_centre"].iloc[0]} for p in parts]
-        return summed(pd.concat([_with_keys(pd.DataFrame(rows), pdf, names)]))
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {"lags": [np.sum(np.stack(pdf["lags"].to_numpy()), axis=0)], "total": pdf["total"].sum(), "rows": pdf["rows"].iloc[0], "centre": pdf["centre"].iloc[0]}
+        return _with_keys(pd.DataFrame({**row, **{c: [np.concatenate(pdf[c].to_numpy())] for c in ("at", "ends")}}), pdf, names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = summed(pdf).iloc[0]
-        n = float(whole["windows"])
-        mean = whole["total"] / n
-        axes = principal_axes(whole["prod"].reshape(length, length) / n - np.outer(mean, mean), k)
+        whole = added(pdf).iloc[0]
+        n, ends = int(whole["rows"]), whole["ends"][np.argsort(whole["at"])]
+        at = np.sort(whole["at"])
+        head, tail = ends[at < length - 1], ends[at > n - length]
+        windows = n - length + 1
+        # The sum of the values at place i of all windows leaves out i values at the head and the rest at the tail.
+        out = np.concatenate([[0.0], np.cumsum(head)]) + np.concatenate([np.cumsum(tail[::-1])[::-1], [0.0]])
+        mean = (whole["total"] - out) / windows
+        axes = principal_axes(window_products(whole["lags"], head, tail) / windows - np.outer(mean, mean), k)
         row = {c: [pdf[c].iloc[0]] for c in names}
         return pd.DataFrame({**row, "means": [(mean + whole["centre"]).tolist()], "axes": [axes.tolist()]})
 
     numbers = T.ArrayType(T.DoubleType())
-    sums = T.StructType(
-        [
-            *key_fields,
-            T.StructField("prod", numbers),
-            T.StructField("total", numbers),
-            T.StructField("windows", T.LongType()),
-            T.StructField("centre", T.DoubleType()),
-        ]
-    )
+    sums = T.StructType([*key_fields, *T.StructType.fromDDL("lags array<double>, total double, rows long, centre double, at array<long>, ends array<double>")])
     # Values are taken from the key's mean first: sums of large values' squares would lose their differences.
-    centre = train.groupBy(*keys).agg(F.avg(F.col("x").cast("double")).alias("_centre"))
-    centred = attach(train, centre, keys, int_div("pos", BLOCK_ROWS)).withColumn("x", F.col("x").cast("double") - F.col("_centre"))
-    blocks = _blocks(centred, keys, length, block_rows, "_centre")
-    parts = blocks.groupBy(*keys, "_block").applyInPandas(moments, sums).where("windows > 0")
-    # One array per block, added up in two steps.
-    few = parts.withColumn("_part", F.pmod(F.xxhash64("prod"), F.lit(SUM_PARTS))).groupBy(*keys, "_part").applyInPandas(lambda key, f: summed(f), sums)
+    centre = train.groupBy(*keys).agg(F.avg(F.col("x").cast("double")).alias("_centre"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= length)
+    centred = attach(train.drop("_rows"), centre, keys, int_div("pos", BLOCK_ROWS)).withColumn("x", F.col("x").cast("double") - F.col("_centre"))
+    parts = _blocks(centred, keys, length, block_rows, "_centre", "_rows").groupBy(*keys, "_block").applyInPandas(lag_sums, sums)
+    # Lag sums of one block each, added up in two steps.
+    few = parts.withColumn("_part", F.pmod(F.xxhash64("total", "at"), F.lit(SUM_PARTS))).groupBy(*keys, "_part").applyInPandas(lambda key, f: added(f), sums)
     return few.groupBy(*keys).applyInPandas(
         solve, T.StructType([*key_fields, T.StructField("means", numbers), T.StructField("axes", T.ArrayType(numbers))])
     )

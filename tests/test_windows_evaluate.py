@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,34 @@ def test_reconstruction_error(spark, series, length, k):
         np.testing.assert_allclose(mine, want, atol=1e-8)
 
 
+@pytest.mark.parametrize("n,length", [(2, 2), (9, 5), (9, 9), (40, 13), (400, 100), (120, 119), (50, 1)])
+def test_products_of_all_windows_from_lag_sums(n, length):
+    x = np.random.default_rng(n).normal(size=n)
+    w = np.lib.stride_tricks.sliding_window_view(x, length)
+    lags = windows.lag_products(x, n, length)
+    got = windows.window_products(lags, x[: length - 1], x[n - length + 1 :])
+    np.testing.assert_allclose(got, w.T @ w, rtol=0, atol=1e-9)
+    split = [windows.lag_products(x[i:], min(7, n - i), length) for i in range(0, n, 7)]
+    np.testing.assert_allclose(sum(split), lags, atol=1e-9)
+
+
+def test_fit_of_long_windows_equals_their_covariance(spark):
+    """Length 1000 over 30,000 rows: products of all windows would take a thousand times the values."""
+    rnd = np.random.default_rng(6)
+    x = np.sin(np.arange(30_000) / 40) + rnd.normal(0, 0.2, 30_000)
+    df = spark.createDataFrame([("a", i, float(v), len(x)) for i, v in enumerate(x)], "k string, pos long, x double, n long").repartition(3)
+    start = time.perf_counter()
+    fit = windows.reconstruction_fit(df, K, 1000, 2, block_rows=10_000).first()
+    took = time.perf_counter() - start
+    w = np.lib.stride_tricks.sliding_window_view(x, 1000)
+    mean = w.mean(0)
+    np.testing.assert_allclose(fit.means, mean, atol=1e-9)
+    axes, cov = np.array(fit.axes), (w.T @ w) / len(w) - np.outer(mean, mean)
+    values = np.linalg.eigvalsh(cov)[::-1][:2]
+    np.testing.assert_allclose(np.einsum("ij,jk,ik->i", axes, cov, axes), values, rtol=1e-9)
+    assert took < 60
+
+
 def test_percentile_and_flags(spark, series):
     df = numbered(spark, series).withColumnRenamed("x", "score")
     for p in (0.0, 0.5, 0.95, 1.0):
