@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from motifline.plans.blocks import attach, with_position
+from motifline.plans.blocks import BLOCK_ROWS, attach, int_div, running_totals, stage, with_position
 
 
 def chrono_split(df: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
@@ -37,52 +34,50 @@ def distinct_groups(df: DataFrame, group_col: str, keys: Sequence[str] = ()) ->
     return df.groupBy(*keys).agg(F.countDistinct(group_col).alias("groups"))
 
 
-def _taken_up_to(loads: np.ndarray, size: int, level: int) -> np.ndarray:
-    """Items each fold takes while its load is at most `level`."""
-    return np.maximum((level - loads) // size + 1, 0)
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that uses `value` several times and works it out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _level_of(loads: np.ndarray, size: int, rank: int) -> int:
-    """Smallest load level by which more than `rank` items have been taken."""
-    low, high = int(loads.min()), int(loads.min()) + size * (rank + 1)
-    while low < high:
-        mid = (low + high) // 2
-        if _taken_up_to(loads, size, mid).sum() > rank:
-            high = mid
-        else:
-            low = mid + 1
-    return low
+def _on_level(loads: str, size: str, items: str, body: str) -> str:
+    """SQL `body` over `_q` and `_order` after `items` groups of one size went to the lightest folds.
 
+    Group j of a fold is taken at load + j * size: quotient and rest by the size tell when.
+    All folds are filled below quotient `_q`, the largest level whose groups are not more
+    than there are; it is a minimum over the lightest folds, taken one by one. Those beyond
+    it go, by rest and fold number, to the folds in `_order`; `_past` is how many these are.
+    """
+    sorted_ = f"array_sort(transform({loads}, l -> l div {size}))"
+    least = f"aggregate({sorted_}, struct(0L as n, 0L as s, {(1 << 62)}L as q), (a, q) -> struct(a.n + 1 as n, a.s + q as s, least(a.q, ({items} + a.s + q) div (a.n + 1)) as q), a -> a.q)"
+    filled = f"aggregate({loads}, 0L, (a, l) -> a + greatest(_q - l div {size}, 0L))"
+    order = f"transform(array_sort(filter(transform({loads}, (l, f) -> struct(l % {size} as r, f as f, l div {size} as q)), x -> x.q <= _q)), x -> x.f)"
+    return _let(least, "_q", _let(f"{items} - {filled}", "_past", _let(order, "_order", body)))
+
+
+def _loads_after(loads: str, size: str, items: str) -> str:
+    more = f"greatest(_q - l div {size}, 0L) + if(array_position(_order, f) between 1 and _past, 1L, 0L)"
+    return _on_level(loads, size, items, f"transform({loads}, (l, f) -> l + {size} * ({more}))")
 
-def _fold_at(loads: np.ndarray, size: int, rank: int) -> int:
-    """Fold of the `rank`-th of many groups of equal size, given the loads before them."""
-    level = _level_of(loads, size, rank)
-    earlier = int(_taken_up_to(loads, size, level - 1).sum())
-    on_level = np.flatnonzero((loads <= level) & ((level - loads) % size == 0))
-    return int(on_level[rank - earlier])
 
+def _fold_of(loads: str, size: str, rank: str) -> str:
+    """Fold of a group that has `rank` others of its size before it."""
+    return _on_level(loads, size, rank, "_order[cast(_past as int)]")
 
-def _loads_after(loads: np.ndarray, size: int, items: int) -> np.ndarray:
-    level = _level_of(loads, size, items - 1)
-    taken = _taken_up_to(loads, size, level - 1)
-    on_level = np.flatnonzero((loads <= level) & ((level - loads) % size == 0))
-    taken[on_level[: items - int(taken.sum())]] += 1
-    return loads + taken * size
 
+CHUNK = 128
 
-def _assign_sizes(k: int, name: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_size", ascending=False)
-        folds = min(k, int(pdf["_groups"].sum()))
-        if folds < 2:
-            raise ValueError(f"grouped folds need at least 2 distinct values of {name}")
-        loads, before = np.zeros(folds, dtype=np.int64), []
-        for size, items in zip(pdf["_size"], pdf["_groups"]):
-            before.append(loads.tolist())
-            loads = _loads_after(loads, int(size), int(items))
-        return pdf.assign(_loads=before)
 
-    return run
+def _loads_before(classes: str, folds: str) -> str:
+    """SQL array of (size, loads before the groups of that size) for `classes` (size, groups), largest size first.
+
+    A chunk's entries are gathered first and handed on as one: no long list is copied for each class.
+    """
+    step = f"struct({_loads_after('a.loads', 'c.size', 'c.groups')} as loads, array_append(a.done, struct(c.size as size, a.loads as loads)) as done)"
+    none = "cast(array() as array<struct<size: bigint, loads: array<bigint>>>)"
+    inner = f"aggregate(slice({classes}, i, {CHUNK}), struct(o.loads as loads, {none} as done), (a, c) -> {step})"
+    lists = "cast(array() as array<array<struct<size: bigint, loads: array<bigint>>>>)"
+    outer = _let(inner, "m", "struct(m.loads as loads, array_append(o.done, m.done) as done)")
+    return f"flatten(aggregate(sequence(1, size({classes}), {CHUNK}), struct(transform(sequence(1, {folds}), x -> 0L) as loads, {lists} as done), (o, i) -> {outer}, o -> o.done))"
 
 
 def group_kfold(df: DataFrame, group_col: str, keys: Sequence[str], k: int = 5) -> DataFrame:
@@ -91,22 +86,20 @@ def group_kfold(df: DataFrame, group_col: str, keys: Sequence[str], k: int = 5)
     Equal sizes go by name, last name first; equal loads by fold number. k is
     lowered to the number of groups. Output: keys, group, rows, fold, folds.
 
-    Only the distinct sizes are walked in order: at most sqrt(2 * rows) of them
-    for any number of groups. Groups of one size find their fold from their rank.
+    Only the distinct sizes are walked in order, as column arithmetic in one row of each
+    key: at most sqrt(2 * rows) of them for any number of groups. Groups of one size find
+    their fold from their rank.
     """
     sizes = df.groupBy(*keys, group_col).agg(F.count(F.lit(1)).alias("rows"))
     ranked = with_position(sizes, [*keys, "rows"], [F.desc(group_col)], unique=True, pos="_rank", n="_same")
-    classes = ranked.groupBy(*keys, F.col("rows").alias("_size")).agg(F.count(F.lit(1)).alias("_groups"))
-    schema = T.StructType([*classes.schema.fields, T.StructField("_loads", T.ArrayType(T.LongType()))])
-    loads = classes.groupBy(*keys).applyInPandas(_assign_sizes(k, group_col), schema)
-
-    @F.pandas_udf("int")
-    def fold_of(before: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
-        return pd.Series([_fold_at(np.asarray(b), int(s), int(r)) for b, s, r in zip(before, size, rank)])
-
-    table = loads.select(*keys, F.col("_size").alias("rows"), "_loads")
-    return attach(ranked, table, [*keys, "rows"], F.pmod("_rank", F.lit(1024))).select(
-        *keys, group_col, "rows", fold_of("_loads", "rows", "_rank").alias("fold"), F.size("_loads").alias("folds")
+    counted = ranked.groupBy(*keys, F.col("rows").alias("size")).agg(F.count(F.lit(1)).alias("groups"))
+    largest_first = "transform(array_sort(collect_list(struct(-size as _s, size, groups))), c -> struct(c.size, c.groups))"
+    classes = counted.groupBy(*keys).agg(F.expr(largest_first).alias("_classes"), F.sum("groups").alias("_groups"))
+    few = f"raise_error('grouped folds need at least 2 distinct values of {group_col}')"
+    folds = classes.select(*keys, "_classes", F.expr(f"if(_groups < 2, cast({few} as int), cast(least({k}, _groups) as int))").alias("folds"))
+    loads = folds.select(*keys, "folds", F.expr(f"inline({_loads_before('_classes', 'folds')})").alias("rows", "_loads"))
+    return attach(ranked, loads, [*keys, "rows"], F.pmod("_rank", F.lit(1024))).select(
+        *keys, group_col, "rows", F.expr(_fold_of("_loads", "rows", "_rank")).alias("fold"), "folds"
     )
 
 
@@ -126,20 +119,35 @@ def fold_roles(
     `int(val * rows)` are val and the rest train; when that is 0, val is empty.
     Adds `fold`, `role` and the position `pos` and row count `n` within both;
     `keep` and `unique` are those of `with_position`.
+
+    Rows are sorted and written once, whatever the number of folds, with running counts of
+    each fold's own rows. A row's position among the others of a fold is its own less the
+    fold's rows before it, so the copies for the folds need no order and are made last.
     """
+    staged = stage(folds)
+    most = staged.agg(F.max("folds")).first()[0] or 0
     salt = F.pmod(F.xxhash64(*order), F.lit(1024))
-    test_fold = folds.select(*keys, group_col, F.col("fold").alias("_test"), "folds")
+    placed = attach(df, staged.select(*keys, group_col, F.col("fold").alias("_test")), [*keys, group_col], salt)
+    kept = [*(df.columns if keep is None else [*keys, *keep]), "_test"]
+    counts = {f"_upto{f}": F.expr(f"if(_test = {f}, 1L, 0L)") for f in range(most)}
+    counted = running_totals(placed, keys, order, {"_upto": F.lit(1).cast("long"), **counts}, kept, unique)
+    sizes = staged.groupBy(*keys, "fold", "folds").agg(F.sum("rows").alias("rows")).groupBy(*keys, "folds").agg(
+        F.expr("transform(array_sort(collect_list(struct(fold, rows))), x -> x.rows)").alias("_sizes")
+    )
     each = (
-        attach(df, test_fold, [*keys, group_col], salt)
-        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("folds") - 1)))
-        .withColumn("_held_out", F.col("fold") == F.col("_test"))
-        .drop("_test", "folds")
+        attach(counted, sizes, keys, int_div("_upto", BLOCK_ROWS))
+        .withColumn("_own", F.array(*counts))
+        .withColumn("fold", F.expr("explode(sequence(0, folds - 1))"))
+        .withColumns({"_held_out": F.col("fold") == F.col("_test"), "_mine": F.expr("_own[fold]"), "_rows": F.expr("_sizes[fold]")})
+        .withColumns({
+            "pos": F.expr("if(_held_out, _mine, _upto - _mine) - 1"),
+            "n": F.expr("if(_held_out, _rows, aggregate(_sizes, 0L, (a, s) -> a + s) - _rows)"),
+        })
     )
-    placed = with_position(each, [*keys, "fold", "_held_out"], order, keep, unique)
     train_end = F.col("n") - F.floor(F.col("n") * F.lit(val))
     in_val = F.col("pos") >= train_end
-    return placed.select(
-        *[c for c in placed.columns if c not in ("_held_out", "pos", "n")],
+    return each.select(
+        *[c for c in kept if c not in ("_test", "pos", "n", "folds")], "fold",
         F.when(F.col("_held_out"), "test").when(in_val, "val").otherwise("train").alias("role"),
         F.when(~F.col("_held_out") & in_val, F.col("pos") - train_end).otherwise(F.col("pos")).alias("pos"),
         F.when(F.col("_held_out"), F.col("n")).when(in_val, F.col("n") - train_end).otherwise(train_end).alias("n"),

@@ -144,10 +144,19 @@ def with_position(
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], totals: dict[str, str]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    totals: dict[str, str | Column],
+    keep: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums per key: `totals` maps new column -> summed column."""
-    rows = _sorted_parts(df, keys, order)
+    """Add inclusive running sums per key: `totals` maps new column -> summed column.
+
+    `keep` are the columns that stay (all without it), `unique` as in `with_position`.
+    """
+    kept = list(keep if keep is not None else df.columns)
+    rows = _sorted_parts(df, keys, order, [c for c in kept if c not in keys], unique)
     spans = rows.groupBy(*keys, "_part").agg(*[F.sum(src).alias(f"_b_{new}") for new, src in totals.items()])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(
@@ -155,7 +164,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys, "_part").orderBy("_row")
     sums = [(F.sum(src).over(inside) + F.col(f"_b_{new}")).alias(new) for new, src in totals.items()]
-    return rows.join(stage(spans), [*keys, "_part"]).select(*df.columns, *sums)
+    return rows.join(stage(spans), [*keys, "_part"]).select(*kept, *sums)
 
 
 def halo(

@@ -33,6 +33,32 @@ def test_group_kfold_is_greedy(spark, seed):
     assert {r.folds for r in folds if r.d == "few"} == {3}
 
 
+@pytest.mark.parametrize("chunk", [2, 128])
+def test_many_sizes_are_walked_in_columns(spark, monkeypatch, chunk):
+    monkeypatch.setattr(splits, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    sizes = {f"g{i:04}": rnd.choice([rnd.randint(1, 400), 7, 8]) for i in range(500)}
+    rows = spark.createDataFrame(list(sizes.items()), "g string, n int").selectExpr("'d' as d", "g", "explode(sequence(1, n))").drop("col")
+    folds = splits.group_kfold(rows, "g", ["d"], 7)
+    assert {r.g: r.fold for r in folds.collect()} == greedy(sizes, 7)
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("k", [2, 6])
+def test_folds_share_one_sort(spark, k, monkeypatch):
+    from motifline.plans import blocks
+
+    sorts = []
+    monkeypatch.setattr(blocks, "_sorted_parts", lambda *a, f=blocks._sorted_parts, **b: sorts.append(a) or f(*a, **b))
+    df = spark.range(200).selectExpr("'d' as d", "id % 9 as g", "id as t", "1 as fold", "2 as folds")
+    folds = splits.group_kfold(df, "g", ["d"], k)
+    monkeypatch.setattr(blocks, "stage", lambda x, f=blocks.stage: f(x))
+    sorts.clear()
+    got = splits.fold_roles(df.drop("fold", "folds"), folds, "g", ["d"], ["t"])
+    assert len(sorts) == 1 and got.count() == 200 * k
+
+
 def test_one_group_is_refused(spark):
     with pytest.raises(Exception, match="at least 2 distinct values"):
         splits.group_kfold(spark.createDataFrame([("d", "g")], "d string, g string"), "g", ["d"]).collect()
