@@ -181,9 +181,30 @@ def axis2(src: str, a: str, b: str, keys: str, out: str = "axis") -> str:
     FROM {out}_t))"""
 
 
-PCA = f"{FEATURES}, {scale('minmax')}, ptrain AS (SELECT * FROM scaled WHERE role = 'train'), {axis2('ptrain', 'f1', 'f4', 'event_type')}"
-PROJECTED = PCA + """, projected AS (
-  SELECT scaled.*, (f1 - ma) * wa + (f4 - mb) * wb AS x FROM scaled JOIN axis USING (event_type))"""
+def first_axis(src: str, cols: list[str], key: str, squarings: int = 45) -> str:
+    """CTE axis: means m_c and first principal axis w_c, from the covariance squared again and again.
+
+    Powers of the matrix come to the outer product of the axis with itself; the largest loading is positive.
+    """
+    cells = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    at = lambda a, b: f"a_{a}_{b}" if cols.index(a) <= cols.index(b) else f"a_{b}_{a}"
+    means = ", ".join(f"m_{c}" for c in cols)
+    out = [f"""sq0 AS (SELECT {key}, {', '.join(f'avg({c}) AS m_{c}' for c in cols)}, {', '.join(f'covar_pop({a}, {b}) AS {at(a, b)}' for a, b in cells)}
+  FROM {src} GROUP BY {key})"""]
+    for i in range(squarings):
+        square = ", ".join(f"{' + '.join(f'{at(a, c)} * {at(c, b)}' for c in cols)} AS {at(a, b)}" for a, b in cells)
+        trace = " + ".join(at(c, c) for c in cols)
+        out.append(f"sq{i + 1} AS (SELECT {key}, {means}, {', '.join(f'{at(a, b)} / ({trace}) AS {at(a, b)}' for a, b in cells)} FROM (SELECT {key}, {means}, {square} FROM sq{i}))")
+    size = {c: f"round(sqrt(greatest({at(c, c)}, 0)), 9)" for c in cols}
+    lead = " ".join(f"WHEN {size[c]} = greatest({', '.join(size.values())}) THEN {{{c}}}" for c in cols)
+    loadings = ", ".join("CASE " + lead.format(**{p: f"{at(c, p)} / sqrt({at(p, p)})" for p in cols}) + f" END AS w_{c}" for c in cols)
+    return ", ".join(out) + f", axis AS (SELECT {key}, {means}, {loadings} FROM sq{squarings})"
+
+
+PCA = f"{FEATURES}, {scale('minmax')}, ptrain AS (SELECT * FROM scaled WHERE role = 'train'), {first_axis('ptrain', COLS, 'event_type')}"
+PCA_FIT = "WITH " + PCA + " SELECT event_type, " + ", ".join(r(f"m_{c}", f"mean_{c}") + ", " + r(f"w_{c}", f"axis_{c}") for c in COLS) + " FROM axis"
+PROJECTED = PCA + f""", projected AS (
+  SELECT scaled.*, {' + '.join(f'({c} - m_{c}) * w_{c}' for c in COLS)} AS x FROM scaled JOIN axis USING (event_type))"""
 
 ERRORS = f"""{ROLES}, pairs AS (
   SELECT event_type, role, pos AS start, CAST(x AS DOUBLE) AS a, label,
@@ -339,7 +360,8 @@ def oracle_sql() -> dict[str, str]:
         "standard_fit": W + FEATURES + ", " + scale("standard") + " SELECT event_type, " + ", ".join(
             f"{r(c + '_shift', c + '_shift')}, {r(c + '_d', c + '_span')}" for c in COLS) + " FROM fit",
         "standard_apply": W + FEATURES + ", " + scale("standard") + " SELECT event_type, role, pos, " + ", ".join(r(c, c) for c in COLS) + " FROM scaled",
-        "pca_fit": W + PCA + " SELECT event_type, " + ", ".join(r(c, c) for c in ("ma", "mb", "wa", "wb")) + " FROM axis",
+        "pca_fit": PCA_FIT,
+        "pca_roundtrip": PCA_FIT,
         "pca_apply": W + PROJECTED + f" SELECT event_type, role, pos, {r('x', 'pc_1')} FROM projected",
         # symbols
         "z_normalize": W + NUMBERED + f""" SELECT event_type, pos, {r('''CASE WHEN stddev_pop(CAST(x AS DOUBLE)) OVER q = 0 THEN 0

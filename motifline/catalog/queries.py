@@ -101,9 +101,9 @@ def scaled(spark: SparkSession, sf: str, method: str, cols: list[str] = COLS) ->
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scaled(spark, sf, "minmax", ["f1", "f4"])
-    fit = scaling.pca_fit(rows.where("role = 'train'"), ET, ["f1", "f4"])
-    return scaling.pca_apply(rows, fit, ET, ["f1", "f4"])
+    rows = stage(scaled(spark, sf, "minmax"))
+    fit = scaling.pca_fit(rows.where("role = 'train'"), ET, COLS)
+    return scaling.pca_apply(rows, fit, ET, COLS)
 
 
 def sensor_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,9 +316,18 @@ def scale_apply(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def pca_fit(spark: SparkSession, sf: str) -> DataFrame:
-    fit = scaling.pca_fit(scaled(spark, sf, "minmax", ["f1", "f4"]).where("role = 'train'"), ET, ["f1", "f4"])
-    flat = fit.selectExpr("event_type", "means[0] as ma", "means[1] as mb", "axes[0][0] as wa", "axes[0][1] as wb")
-    return rounded(flat, "ma", "mb", "wa", "wb")
+    return flat_axes(scaling.pca_fit(scaled(spark, sf, "minmax").where("role = 'train'"), ET, COLS))
+
+
+def flat_axes(fit: DataFrame) -> DataFrame:
+    cells = [(f"{name}_{c}", f"{field}[{i}] as {name}_{c}") for name, field in (("mean", "means"), ("axis", "axes[0]")) for i, c in enumerate(COLS)]
+    return rounded(fit.selectExpr("event_type", *[e for _, e in cells]), *[c for c, _ in cells])
+
+
+def pca_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = stage_path(spark)
+    tables.save_fit(scaling.pca_fit(scaled(spark, sf, "minmax").where("role = 'train'"), ET, COLS, k=2), path)
+    return flat_axes(tables.load_fit(spark, path))
 
 
 def nearest(a: int, w: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -486,6 +495,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "automaton_tables": automaton_tables,
         "automaton_json": automaton_json,
         "fit_roundtrip": fit_roundtrip,
+        "pca_roundtrip": pca_roundtrip,
         "metrics_files": metrics_files,
         "results_files": results_files,
         # order and splits

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motifline.plans.blocks import BLOCK_ROWS, attach, int_div
 
-WIDE_COLUMNS = 16
+#: Values of the states that a task holds before it hands them on, and parts in which states of a key meet.
+STATE_VALUES, STATE_PARTS = 1 << 22, 64
 
 
 def _double(c: str):
@@ -53,52 +57,80 @@ def principal_axes(cov: np.ndarray, k: int) -> np.ndarray:
     return axes * np.where(axes[np.arange(len(axes)), lead] < 0, -1.0, 1.0)[:, None]
 
 
-def _covariances(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Rows (keys, i, j, mean, cov) for i <= j; `mean` is that of column i."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if len(cols) <= WIDE_COLUMNS:
-        # One aggregate per pair keeps everything in a single pass without copying rows.
-        wide = df.groupBy(*keys).agg(
-            *[F.avg(_double(c)).alias(f"_m{i}") for i, c in enumerate(cols)],
-            *[F.covar_pop(_double(cols[i]), _double(cols[j])).alias(f"_s{i}_{j}") for i, j in pairs],
-        )
-        cells = [
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}_{j}").alias("cov"))
-            for i, j in pairs
-        ]
-        return wide.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
-    values = df.select(*keys, F.array(*[_double(c) for c in cols]).alias("_v"))
-    left = values.select(*keys, "_v", F.posexplode("_v").alias("i", "_a"))
-    both = left.select(*keys, "i", "_a", F.posexplode("_v").alias("j", "_b")).where("i <= j")
-    return both.groupBy(*keys, "i", "j").agg(F.avg("_a").alias("mean"), F.covar_pop("_a", "_b").alias("cov"))
+Moments = tuple[int, np.ndarray, np.ndarray]
+
+
+def moments_of(x: np.ndarray) -> Moments:
+    """Rows, means and centred products of the columns of `x`."""
+    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
+    d = x - mean
+    return len(x), mean, d.T @ d
+
+
+def merged(a: Moments, b: Moments) -> Moments:
+    """Moments of both sets of rows together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return b if b[0] else a
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def _moment_fields(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in keys], *T.StructType.fromDDL("n long, means array<double>, products array<double>")])
+
+
+def _co_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Moments of each key: one state a task and key, met in two steps. Any number of columns; rows with a null take no part."""
+    m, schema = len(cols), _moment_fields(df, keys)
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def rows_of(states: dict) -> pa.RecordBatch:
+        columns = [*zip(*states), *zip(*[(n, mean, products.ravel()) for n, mean, products in states.values()])]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, Moments] = {}
+        for b in batches:
+            names = pa.table(b.columns[: len(keys)], names=list(keys)) if keys else None
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[len(keys) :]])
+            group = names.to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(x), dtype=int)
+            order = np.argsort(group, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                key = tuple(names.column(i)[int(rows[0])].as_py() for i in range(len(keys)))
+                part = moments_of(x[rows])
+                states[key] = merged(states[key], part) if key in states else part
+            if len(states) * m * m > STATE_VALUES:
+                yield rows_of(states)
+                states = {}
+        if states:
+            yield rows_of(states)
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, products = reduce(merged, [(a, np.asarray(b), np.asarray(c).reshape(m, m)) for a, b, c in zip(pdf["n"], pdf["means"], pdf["products"])])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "n": [n], "means": [mean], "products": [products.ravel()]})
+
+    values = df.select(*keys, *[_double(c).alias(f"_x{i}") for i, c in enumerate(cols)]).dropna(subset=[f"_x{i}" for i in range(m)])
+    parts = values.mapInArrow(task, schema)
+    few = parts.withColumn("_part", F.pmod(F.xxhash64("n", "means"), F.lit(STATE_PARTS))).groupBy(*keys, "_part")
+    return few.applyInPandas(lambda key, f: together(f), schema).groupBy(*keys).applyInPandas(together, schema)
 
 
 def pca_fit(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 1) -> DataFrame:
     """Means and first k principal axes per key.
 
-    The covariance is a plain aggregate; only its square of the number of
-    columns reaches a task, for the eigenvectors. Output: keys, means, axes.
+    One pass: each task keeps count, means and centred products of its rows, and these
+    are merged in pairs. Output: keys, means, axes.
     """
     if not 1 <= k <= len(cols):
         raise ValueError("k must be between 1 and the number of columns")
-    m, names = len(cols), list(keys)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cov, means = np.zeros((m, m)), np.zeros(m)
-        i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
-        cov[i, j] = cov[j, i] = pdf["cov"].to_numpy()
-        means[i] = pdf["mean"].to_numpy()
-        row = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**row, "means": [means.tolist()], "axes": [principal_axes(cov, k).tolist()]})
-
-    schema = T.StructType(
-        [
-            *[df.schema[c] for c in keys],
-            T.StructField("means", T.ArrayType(T.DoubleType())),
-            T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        ]
-    )
-    return _covariances(df, keys, cols).groupBy(*keys).applyInPandas(solve, schema)
+    m = len(cols)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def axes(n: pd.Series, products: pd.Series) -> pd.Series:
+        return pd.Series([principal_axes(np.asarray(p).reshape(m, m) / rows, k).tolist() for rows, p in zip(n, products)])
+
+    return _co_moments(df, keys, cols).select(*keys, "means", axes("n", "products").alias("axes"))
 
 
 def pca_apply(
