@@ -11,15 +11,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifline.operators.scaling import principal_axes
-from motifline.plans.blocks import BLOCK_ROWS, attach, halo, in_block, int_div, over_blocks, with_position
+from motifline.plans.blocks import BLOCK_ROWS, attach, halo, in_block, int_div, over_blocks, stage
 
 WINDOWS_AT_ONCE = 4_096
 SUM_PARTS = 64
+#: Scores that are put in order to find a rank among them, and cuts of a range that holds more.
+BAND_ROWS, CUTS = 65_536, 128
 
 
 def sliding_windows(
@@ -194,22 +196,56 @@ def reconstruction_error(
     )
 
 
+def _in_band(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values between `lo` and `hi` of each target, with its number `which`."""
+    bands = targets.groupBy(*keys).agg(F.collect_list(F.struct("which", "lo", "hi")).alias("_bands"))
+    met = attach(values, bands, keys, F.pmod(F.xxhash64("_x"), F.lit(1024)))
+    return met.select(*keys, "_x", F.expr("inline(filter(_bands, b -> _x between b.lo and b.hi))")).select(*keys, "which", "_x")
+
+
+def _narrowed(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Targets with the part of their band that holds their rank.
+
+    Quantiles cut the band; a cell is the values between two cuts or those equal to one.
+    The cuts may be rough: counts of the cells say where the rank lies.
+    """
+    on = [*keys, "which"]
+    inside = _in_band(values, targets, keys)
+    grid = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
+    cuts = inside.groupBy(*on).agg(F.array_distinct(F.percentile_approx("_x", grid, 8 * CUTS)).alias("_cuts"))
+    cell = "2 * size(filter(_cuts, c -> c < _x)) + if(array_contains(_cuts, _x), 1, 0)"
+    met = attach(inside, cuts, on, F.pmod(F.xxhash64("_x"), F.lit(1024))).groupBy(*on, F.expr(cell).alias("_cell"))
+    cells = met.agg(F.count(F.lit(1)).alias("rows"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    upto = F.sum("rows").over(Window.partitionBy(*on).orderBy("_cell"))  # at most 2 * CUTS + 3 cells
+    placed = cells.withColumn("_before", upto - F.col("rows")).join(targets.select(*on, "rank"), on)
+    return placed.where("rank >= _before and rank < _before + rows").select(*on, F.expr("rank - _before").alias("rank"), "lo", "hi", "rows")
+
+
 def percentile_threshold(scores: DataFrame, keys: Sequence[str], p: float = 0.95, score: str = "score") -> DataFrame:
     """Percentile of the scores per key, interpolated linearly between ranks.
 
-    Exact for any number of scores: they are ranked by a range sort and only the
-    two neighbouring ranks are kept.
+    Exact selection without a sort of the scores: the range that holds a rank is narrowed
+    by counts until it has at most BAND_ROWS scores or a single value, and only what is in
+    it is ordered. Null scores take no part.
     """
     if not 0 <= p <= 1:
         raise ValueError("p must be between 0 and 1")
-    ranked = with_position(scores.select(*keys, score), keys, [score], keep=[score])
-    rank = (F.col("n") - 1) * F.lit(p)
-    low = F.floor(rank)
-    near = ranked.where((F.col("pos") == low) | (F.col("pos") == low + 1))
-    at_low = F.max(F.when(F.col("pos") == low, F.col(score)))
-    at_next = F.coalesce(F.max(F.when(F.col("pos") == low + 1, F.col(score))), at_low)
-    share = F.max(rank - low)
-    return near.groupBy(*keys).agg((at_low + (at_next - at_low) * share).alias("threshold"))
+    on = [*keys, "which"]
+    values = scores.select(*keys, F.col(score).cast("double").alias("_x")).where("_x is not null")
+    whole = stage(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+    rank = (F.col("rows") - 1) * F.lit(p)
+    # The two neighbouring ranks are looked for side by side.
+    targets = whole.withColumn("which", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        *on, F.least(F.floor(rank) + F.col("which"), F.col("rows") - 1).alias("rank"), "lo", "hi", "rows"
+    )
+    wide = F.expr(f"rows > {BAND_ROWS} and lo < hi")
+    while not targets.where(wide).isEmpty():
+        targets = stage(_narrowed(values, targets.where(wide), keys).unionByName(targets.where(~wide)))
+    counted = _in_band(values, targets, keys).groupBy(*on, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*on).orderBy("_x"))
+    found = counted.withColumn("_upto", upto).join(targets.select(*on, "rank"), on).where("rank < _upto and rank >= _upto - _n")
+    two = found.groupBy(*keys).agg(F.max(F.expr("if(which = 0, _x, null)")).alias("_low"), F.max(F.expr("if(which = 1, _x, null)")).alias("_next"))
+    return two.join(whole, list(keys)).select(*keys, (F.col("_low") + (F.col("_next") - F.col("_low")) * (rank - F.floor(rank))).alias("threshold"))
 
 
 def flag_above(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:

@@ -90,6 +90,25 @@ def test_percentile_and_flags(spark, series):
     assert flagged.where("pred = 1").count() == 0
 
 
+@pytest.mark.parametrize("band,cuts", [(1, 2), (3, 4), (20, 8)])
+def test_percentile_of_narrowed_ranges(spark, monkeypatch, band, cuts):
+    monkeypatch.setattr(windows, "BAND_ROWS", band)
+    monkeypatch.setattr(windows, "CUTS", cuts)
+    rnd = np.random.default_rng(band)
+    made = {"ties": rnd.integers(0, 4, 300).astype(float), "same": np.full(90, 2.5), "one": np.array([-3.0]), "wide": rnd.normal(size=400) ** 9 * 1e200, "two": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in made.items() for v in x] + [("one", None)]
+    df = spark.createDataFrame(rows, "k string, score double").repartition(4)
+    for p in (0.0, 0.31, 0.95, 1.0):
+        got = {r.k: r.threshold for r in windows.percentile_threshold(df, K, p).collect()}
+        assert got == pytest.approx({k: float(np.percentile(x, 100 * p)) for k, x in made.items()})
+
+
+def test_percentile_sorts_no_scores(spark, series):
+    df = numbered(spark, series).withColumnRenamed("x", "score")
+    plan = windows.percentile_threshold(df, K)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
 def test_detect_windows_labels_the_last_row(spark, series):
     roles = chrono_split(numbered(spark, series))
     got = X.detect_windows(roles, K, 30, k=2, p=0.9, block_rows=1000).where("k = 'a'").orderBy("end").collect()
