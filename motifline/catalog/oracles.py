@@ -19,10 +19,10 @@ NUMBERED = EVENTS + """, numbered AS (
     count(*) OVER (PARTITION BY event_type) AS n FROM ev)"""
 
 
-def chrono(src: str = "numbered", out: str = "roles") -> str:
+def chrono(src: str = "numbered", out: str = "roles", train: float = 0.6, val: float = 0.2) -> str:
     return f"""{src}_ends AS (
-  SELECT *, CAST(floor(n * 0.6::DOUBLE) AS BIGINT) AS te,
-    CAST(floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) AS BIGINT) AS ve FROM {src}),
+  SELECT *, CAST(floor(n * {train}::DOUBLE) AS BIGINT) AS te,
+    CAST(floor(n * {train}::DOUBLE) + floor(n * {val}::DOUBLE) AS BIGINT) AS ve FROM {src}),
 {out} AS (
   SELECT * EXCLUDE (pos, n, te, ve),
     CASE WHEN pos < te THEN 'train' WHEN pos < ve THEN 'val' ELSE 'test' END AS role,
@@ -258,8 +258,16 @@ roc AS (
     CASE WHEN nn = 0 THEN 0 ELSE fp::DOUBLE / nn END AS fpr, CASE WHEN np = 0 THEN 0 ELSE tp::DOUBLE / np END AS tpr FROM curve
   UNION ALL SELECT DISTINCT event_type, NULL, 0, 0, 0.0, 0.0 FROM curve)"""
 
-# The whole-number noise that both engines can compute alike.
-NOISE = "CAST(CAST(x AS DOUBLE) + std * 10 * ((pos * 7919 + seed * 104729) % 2001 - 1000) / 1000 AS DECIMAL(18,6))"
+def uniform(parts: list[str], draw: int = 0) -> str:
+    """52 bits of the MD5 digest of the values, as a number in (0, 1)."""
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"((CAST('0x' || substr(md5({text}), {1 + 13 * draw}, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+
+
+def normal(parts: list[str]) -> str:
+    return f"sqrt(-2 * ln({uniform(parts)})) * cos(2 * pi() * {uniform(parts, 1)})"
+
+
 LEVELS = (0.0, 0.05, 0.1, 0.2, 0.5)
 SEEDS = (42, 123, 2026, 7, 999)
 
@@ -268,11 +276,12 @@ def noisy(col: str, values: tuple, std: str, seed: str) -> str:
     """Train rows as they are, test rows once per noise variant."""
     listed = ", ".join(f"({v})" for v in values)
     cast = "DOUBLE" if col == "std" else "BIGINT"
-    return f"""{ROLES}, variants AS (
+    return f"""{ROLES}, hundreds AS (SELECT * REPLACE (CAST(x / 100 AS DECIMAL(14,4)) AS x) FROM roles),
+variants AS (
   SELECT event_type, 'test' AS role, v.{col}, pos, n, label,
-    {NOISE.replace('std', std).replace('seed', seed)} AS x
-  FROM roles, (SELECT CAST(c AS {cast}) AS {col} FROM (VALUES {listed}) t(c)) v WHERE role = 'test'),
-base AS (SELECT * FROM roles WHERE role = 'train'),
+    CAST(x AS DOUBLE) + {std} * {normal(['event_type', 'pos', seed])} AS x
+  FROM hundreds, (SELECT CAST(c AS {cast}) AS {col} FROM (VALUES {listed}) t(c)) v WHERE role = 'test'),
+base AS (SELECT * FROM hundreds WHERE role = 'train'),
 {symbols('base', RKEYS, 4, 3)}, {model(ET)}, {symbols('variants', ['event_type', 'role', col], 4, 3, tag='_v')},
 {scoring(ET, ['event_type', col], tag='', src='steps_v')}, {metrics(['event_type', col])}"""
 
@@ -329,17 +338,19 @@ def oracle_sql() -> dict[str, str]:
         "column_roles": """SELECT event_id, ts AS datetime, CAST(value >= 150 AS INTEGER) AS label, value AS sensor_0,
             CAST(user_id AS DOUBLE) AS sensor_1 FROM events""",
         "column_roles_unlabelled": """SELECT event_id, ts AS datetime, 0 AS label, value AS sensor_0 FROM events""",
-        "synthetic_series": """SELECT event_type, count(*) AS rows, count(*) - 1 AS last_pos,
-            TIMESTAMP '2026-05-01' + to_minutes(count(*) - 1) AS last_ts, true AS near_wave, true AS noise_ok, true AS labels_ok
-            FROM events GROUP BY event_type""",
+        "synthetic_series": f"""WITH made AS (SELECT event_type, n, unnest(range(n)) AS pos FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)),
+            waves AS (SELECT *, sin(pos * 20::DOUBLE / greatest(n - 1, 1)) AS wave FROM made)
+            SELECT event_type, pos, TIMESTAMP '2026-05-01' + to_minutes(pos) AS ts,
+              {r(f"wave + 0.1::DOUBLE * {normal(['event_type', 'pos', '0', '42'])}", 'sensor_0')}, {r(f"wave + 0.1::DOUBLE * {normal(['event_type', 'pos', '1', '42'])}", 'sensor_1')},
+              CAST({uniform(['event_type', 'pos', "'label'", '42'])} < 0.05 AS INTEGER) AS label FROM waves""",
         "changepoint": W + NUMBERED + """ SELECT event_type, pos, label,
             CASE WHEN lag(label) OVER (PARTITION BY event_type ORDER BY pos) <> label THEN 1 ELSE 0 END AS changepoint FROM numbered""",
         "features_roundtrip": W + ROLES + " SELECT event_type, role, pos, CAST(x AS DOUBLE) AS x, label FROM roles",
         "labels_times_roundtrip": W + ROLES + " SELECT event_type, role, event_id, ts, label FROM roles",
         "automaton_tables": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + """
-            SELECT event_type, s_from, count(*) AS targets, sum(cnt)::BIGINT AS cnt,
-              (SELECT count(*) FROM states s WHERE s.event_type = e.event_type) AS states FROM edges e GROUP BY event_type, s_from""",
-        "automaton_json": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + f" SELECT event_type, s_from, s_to, {r('p', 'p')} FROM edges",
+            SELECT event_type, s_from, s_to, cnt, first_seg, """ + r("p", "p") + """,
+              (SELECT count(*) FROM states s WHERE s.event_type = e.event_type) AS states FROM edges e""",
+        "automaton_json": W + ROLES + ", " + symbols("roles", RKEYS, 4, 3) + ", " + model(ET) + f" SELECT s.event_type, s.state AS s_from, s_to, {r('p', 'p')} FROM states s LEFT JOIN edges e ON e.event_type = s.event_type AND e.s_from = s.state",
         "fit_roundtrip": W + FEATURES + ", " + scale("standard") + " SELECT event_type, " + ", ".join(
             f"{r(c + '_shift', c + '_shift')}, {r(c + '_d', c + '_span')}" for c in COLS) + " FROM fit",
         "metrics_files": W + detector() + ", " + metrics(ET) + f""" SELECT event_type, 'symbols' AS experiment, steps, {r('f1', 'f1')}, CAST(NULL AS DOUBLE) AS threshold FROM metrics
@@ -422,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "mcnemar_positional": W + compared(False) + MCNEMAR,
         # experiments
         "detect": W + detector() + ", " + metrics(ET) + f" SELECT event_type, steps, {METRIC_COLS} FROM metrics",
-        "detect_short_series": W + suppliers.replace("l_suppkey", "l_partkey").replace("l_linenumber, l_partkey)", "l_linenumber, l_suppkey)") + ", " + chrono() + ", " + symbols("roles", ["l_partkey", "role"], 4, 3) + ", " + model(["l_partkey"]) + ", "
+        "detect_short_series": W + suppliers.replace("l_suppkey", "l_partkey").replace("l_linenumber, l_partkey)", "l_linenumber, l_suppkey)") + ", " + chrono(train=0.5, val=0.0) + ", " + symbols("roles", ["l_partkey", "role"], 4, 3) + ", " + model(["l_partkey"]) + ", "
             + scoring(["l_partkey"], ["l_partkey"]) + ", " + metrics(["l_partkey"]) + f" SELECT l_partkey, steps, {METRIC_COLS} FROM metrics WHERE steps > 0",
         "detect_many_series": W + suppliers + ", " + chrono() + ", " + symbols("roles", ["l_suppkey", "role"], 4, 3) + ", " + model(["l_suppkey"]) + ", "
             + scoring(["l_suppkey"], ["l_suppkey"]) + ", " + metrics(["l_suppkey"]) + f" SELECT l_suppkey, steps, {METRIC_COLS} FROM metrics",
@@ -433,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "run_all": W + TWO_SOURCES + ", " + symbols("roles", ["dataset", "role"], 4, 3) + ", " + model(DK) + ", " + scoring(DK, DK) + ", " + metrics(DK) + f" SELECT dataset, {METRIC_COLS} FROM metrics",
         "seed_summary": W + noisy("seed", SEEDS, "0.2::DOUBLE", "v.seed") + " SELECT event_type, " + ", ".join(
             f"{r(f'avg({c})', c + '_mean')}, {r(f'stddev_samp({c})', c + '_std')}" for c in ("accuracy", "precision", "recall", "f1")) + " FROM metrics GROUP BY event_type",
-        "gaussian_noise": "SELECT event_type, count(*) AS rows, true AS mean_ok, true AS std_ok FROM events GROUP BY event_type",
+        "gaussian_noise": W + NUMBERED + f" SELECT event_type, pos, {r(f'CAST(x AS DOUBLE) + {normal(["event_type", "pos", "7"])}', 'x')} FROM numbered",
         "robustness": W + noisy("std", LEVELS, "v.std", "42") + " SELECT event_type, " + ", ".join(
             r(f"avg(f1) FILTER (std = {s})", "automaton_" + ("original_f1" if s == 0 else f"noise_{s}_f1".replace(".", "_"))) for s in LEVELS) + " FROM metrics GROUP BY event_type",
         "cross_dataset": W + TWO_SOURCES + ", " + symbols("roles", ["dataset", "role"], 4, 3) + ", " + model(DK)

@@ -32,17 +32,21 @@ def letter(z: str, alphabet_size: int) -> Column:
     return F.expr(letter_sql(z, alphabet_size))
 
 
-def uniform(parts: Sequence[Column], draw: int) -> Column:
-    """Number in (0, 1) that depends on the row's values, never on its partition."""
-    bits = F.shiftrightunsigned(F.xxhash64(*parts, F.lit(draw)), 11)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+def uniform(parts: Sequence[Column], draw: int = 0) -> Column:
+    """Number in (0, 1) that depends on the row's values, never on its partition.
+
+    52 bits of the MD5 digest of the values as text, joined by bars: any SQL engine can
+    repeat it. `draw` 0 and 1 take two independent stretches of one digest.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1 + 13 * draw, 13)
+    return (F.conv(digits, 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def standard_normal(parts: Sequence[Column], seed: int | Column) -> Column:
-    """Box-Muller draw from two hashed uniforms."""
+    """Box-Muller draw from the two uniforms of one digest."""
     seeded = [*parts, seed if isinstance(seed, Column) else F.lit(seed)]
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(seeded, 1)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(seeded, 2))
+    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(seeded, 0)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(seeded, 1))
 
 
 # The rational approximation 7.1.26 of Abramowitz and Stegun.

@@ -7,7 +7,7 @@ number of different patterns, not with the length of the series.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -176,16 +176,13 @@ def gaussian_noise(
     return df.withColumn(col, F.col(col).cast("double") + F.lit(mean) + std * draw)
 
 
-Noise = Callable[[DataFrame, Column], DataFrame]
-
-
 def noisy_variants(
-    test: DataFrame, keys: Sequence[str], stds: Sequence[float], seed: int = 42, noise: Noise | None = None
+    test: DataFrame, keys: Sequence[str], stds: Sequence[float], seed: int = 42
 ) -> DataFrame:
     """Test series once per noise level in column `std`; level 0 is the original."""
     levels = F.array(*[F.lit(float(s)) for s in [0.0, *stds]])
     variants = test.withColumn("std", F.explode(levels))
-    return noise(variants, F.col("std")) if noise else gaussian_noise(variants, keys, F.col("std"), seed)
+    return gaussian_noise(variants, keys, F.col("std"), seed)
 
 
 def _level_name(std: float) -> str:
@@ -205,7 +202,6 @@ def robustness_table(
     by: Sequence[str] | None = None,
     params: Params = Params(),
     seed: int = 42,
-    noise: Noise | None = None,
     length: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -215,7 +211,7 @@ def robustness_table(
     detector's columns are added.
     """
     by = list(by or keys)
-    test = noisy_variants(_role(series, "test"), keys, stds, seed, noise)
+    test = noisy_variants(_role(series, "test"), keys, stds, seed)
     edges = stage(fit_automaton(steps_of(_role(series, "train"), keys, params), keys))
     counts = stage(count_steps(steps_of(test, [*keys, "std"], params), [*keys, "std"]))
     flags = flag_counts(counts, edges, keys, params.threshold)

@@ -45,7 +45,7 @@ def synthetic_series(
             (wave + F.lit(noise) * standard_normal([*ident, F.lit(i)], seed)).alias(f"sensor_{i}")
             for i in range(n_features)
         ],
-        (uniform([*ident, F.lit(seed)], 3) < label_rate).cast("int").alias("label"),
+        (uniform([*ident, F.lit("label"), F.lit(seed)]) < label_rate).cast("int").alias("label"),
     )
 
 

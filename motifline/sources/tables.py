@@ -52,27 +52,32 @@ def load_automaton(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return spark.read.parquet(f"{path}/states"), spark.read.parquet(f"{path}/edges")
 
 
+MODEL = "states array<string>, transition_matrix map<string, map<string, double>>"
+
+
 def automaton_json(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One JSON document per model: `states` and the nested `transition_matrix`.
+    """Models as JSON: a document of `states` and the nested `transition_matrix` for each state.
 
-    A model has at most alphabet^(window+1) edges however long its series is.
+    All documents of a model, put together, are the model; none grows with it, as a state
+    has at most as many targets as there are letters. A state without a target has no
+    entry in the matrix.
     """
-    rows = edges.groupBy(*keys, "s_from").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("s_to", "p")))).alias("targets")
-    )
-    matrix = rows.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("s_from", "targets"))).alias("transition_matrix")
-    )
-    states = state_set(edges, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("state")).alias("states"))
-    return matrix.join(states, list(keys)).select(
-        *keys, F.to_json(F.struct("states", "transition_matrix")).alias("model")
+    leaving = edges.groupBy(*keys, F.col("s_from").alias("state")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("s_to", "p")))).alias("_targets")
     )
+    matrix = F.when(F.col("_targets").isNull(), F.expr("map()").cast("map<string, map<string, double>>")).otherwise(F.create_map("state", "_targets"))
+    parts = state_set(edges, keys).join(leaving, [*keys, "state"], "left")
+    return parts.select(*keys, F.to_json(F.struct(F.array("state").alias("states"), matrix.alias("transition_matrix"))).alias("model"))
+
+
+def states_from_json(models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States (keys, state) of JSON models in any number of documents."""
+    return models.select(*keys, F.explode(F.from_json("model", MODEL)["states"]).alias("state")).distinct()
 
 
 def edges_from_json(models: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edge table (keys, s_from, s_to, p) of JSON models."""
-    parsed = F.from_json("model", "states array<string>, transition_matrix map<string, map<string, double>>")
-    rows = models.select(*keys, F.explode(parsed["transition_matrix"]).alias("s_from", "_targets"))
+    """Edge table (keys, s_from, s_to, p) of JSON models in any number of documents."""
+    rows = models.select(*keys, F.explode(F.from_json("model", MODEL)["transition_matrix"]).alias("s_from", "_targets"))
     return rows.select(*keys, "s_from", F.explode("_targets").alias("s_to", "p"))
 
 

@@ -160,12 +160,17 @@ def test_justification_keeps_all_seven_fields(spark):
 
 
 def test_model_json(spark):
-    train = steps_from(spark, {"m": patterns("abababb", 2)})
+    train = steps_from(spark, {"m": patterns("abababbc", 2)})
     edges = A.fit_automaton(train, K)
-    model = json.loads(tables.automaton_json(edges, K).first().model)
-    assert model["states"] == ["ab", "ba", "bb"]
-    assert model["transition_matrix"]["ab"] == {"ba": 2 / 3, "bb": 1 / 3}
-    assert model["transition_matrix"]["ba"] == {"ab": 1.0}
+    documents = tables.automaton_json(edges, K)
+    parts = [json.loads(r.model) for r in documents.collect()]
+    assert sorted(s for p in parts for s in p["states"]) == ["ab", "ba", "bb", "bc"]
+    matrix = {k: v for p in parts for k, v in p["transition_matrix"].items()}
+    assert matrix == {"ab": {"ba": 2 / 3, "bb": 1 / 3}, "ba": {"ab": 1.0}, "bb": {"bc": 1.0}}
+    whole = spark.createDataFrame([("m", json.dumps({"states": ["ab", "ba", "bb", "bc"], "transition_matrix": matrix}))], "k string, model string")
+    for models in (documents, whole):
+        assert {(r.s_from, r.s_to): r.p for r in tables.edges_from_json(models, K).collect()} == {(a, b): p for a, t in matrix.items() for b, p in t.items()}
+        assert {r.state for r in tables.states_from_json(models, K).collect()} == {"ab", "ba", "bb", "bc"}
 
 
 def test_evaluate_transition_of_an_unknown_model(spark):
