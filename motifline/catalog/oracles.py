@@ -331,8 +331,8 @@ def oracle_sql() -> dict[str, str]:
         count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)"""
     return {
         # sources and sinks
-        "grouped_csv": """SELECT event_id, 'valve' || (user_id % 2 + 1) AS source_group, value AS sensor_0,
-            CAST(user_id AS DOUBLE) AS sensor_1, CAST(value >= 150 AS INTEGER) AS label FROM events""",
+        "grouped_csv": """SELECT event_id, 'valve' || (user_id % 2 + 1) AS source_group, CAST(user_id // 2 % 4 AS INTEGER) AS source_file,
+            value AS sensor_0, CAST(user_id AS DOUBLE) AS sensor_1, CAST(value >= 150 AS INTEGER) AS label FROM events""",
         "single_csv": """SELECT event_id, ts AS "DATETIME", value AS sensor_0, CAST(user_id AS DOUBLE) AS sensor_1,
             CAST(value >= 150 AS INTEGER) AS label FROM events""",
         "column_roles": """SELECT event_id, ts AS datetime, CAST(value >= 150 AS INTEGER) AS label, value AS sensor_0,

@@ -176,13 +176,18 @@ CSV_SCHEMA = T.StructType(
 
 
 def grouped_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Events through two folders of files with their columns in other orders; a file's number is in its name."""
     rows, root = csv_rows(spark, sf), stage_path(spark)
-    out = lambda part, cols, name: part.select(*cols).write.option("header", True).csv(f"{root}/{name}")
-    out(rows.where("user_id % 2 = 0"), ["event_id", "sensor_0", "sensor_1", "anomaly"], "valve1")
-    out(rows.where("user_id % 2 = 1"), ["anomaly", "sensor_1", "event_id", "sensor_0"], "valve2")
+
+    def out(odd: int, cols: list[str]) -> None:
+        part = rows.where(f"user_id % 2 = {odd}").repartitionById(4, F.expr("cast(user_id div 2 % 4 as int)"))
+        part.select(*cols).write.option("header", True).csv(f"{root}/valve{odd + 1}")
+
+    out(0, ["event_id", "sensor_0", "sensor_1", "anomaly"])
+    out(1, ["anomaly", "sensor_1", "event_id", "sensor_0"])
     read = csv.read_grouped_csv(spark, root, schema=CSV_SCHEMA)
     return csv.split_roles(read, csv.GROUPED_META, "anomaly", ["event_id"])[0].select(
-        "event_id", "source_group", "source_file", "sensor_0", "sensor_1", "label"
+        "event_id", "source_group", F.regexp_extract("source_file", r"^part-(\d+)-.*\.csv$", 1).cast("int").alias("source_file"), "sensor_0", "sensor_1", "label"
     )
 
 

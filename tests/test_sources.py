@@ -90,3 +90,26 @@ def test_grouped_csv_with_odd_names_and_quoted_headers(spark, tmp_path):
     schema = T.StructType([T.StructField("x,1", T.DoubleType()), T.StructField("y", T.IntegerType())])
     rows = read_grouped_csv(spark, str(tmp_path), schema=schema).select("`x,1`", "y", "source_group", "source_file").collect()
     assert sorted(map(tuple, rows)) == [(1.5, 2, "valve1", "a b+c%20[1].csv"), (3.5, 4, "valve1", "plain.csv")]
+
+
+def test_grouped_csv_types_nulls_and_files_without_rows(spark, tmp_path):
+    for folder, name, text in (
+        ("valve1", "a.csv", "t,x,y,z\n2024-01-01 00:00:01,1,a,\n2024-01-01 00:00:02,,\"b, c\",1\n"),
+        ("valve1", "b.csv", "t,x,y,z\n2024-01-02 00:00:00,2.5,7,2\n"),
+        ("valve2", "head.csv", "x,only\n"),
+        ("valve2", "none.csv", ""),
+        ("valve2", "notes.txt", "x\n9\n"),
+    ):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    read = csv.read_grouped_csv(spark, f"file://{tmp_path}")
+    assert dict(read.dtypes) == {"t": "timestamp_ntz", "x": "double", "y": "string", "z": "bigint", "only": "string", "source_group": "string", "source_file": "string"}
+    assert read.columns[:5] == ["t", "x", "y", "z", "only"]
+    rows = sorted(((r.x, r.y, r.z, r.only, r.source_file) for r in read.collect()), key=str)
+    assert rows == [(1.0, "a", None, None, "a.csv"), (2.5, "7", 2, None, "b.csv"), (None, "b, c", 1, None, "a.csv")]
+    plan = read._jdf.queryExecution().toString()
+    assert "FileScan" not in plan
+    typed = csv.read_grouped_csv(spark, str(tmp_path), schema=T.StructType.fromDDL("t timestamp, x double, z string"))
+    assert sorted((str(r.t), r.z) for r in typed.collect())[-1] == ("2024-01-02 00:00:00", "2")
+    with pytest.raises(Exception, match="CSV conversion error"):
+        csv.read_grouped_csv(spark, str(tmp_path), schema=T.StructType.fromDDL("y int")).collect()
