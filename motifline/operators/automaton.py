@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifline.operators.nearest import nearest_states
-from motifline.plans.blocks import attach, stage
+from motifline.plans.blocks import attach
 
 THRESHOLD = 0.05
 
@@ -100,7 +100,7 @@ def evaluate_transitions(
     """
     wanted = pairs.select(*keys, "s_from", "s_to").distinct()
     ends = wanted.select(*keys, F.explode(F.array("s_from", "s_to")).alias("pattern"))
-    resolved = stage(resolve_patterns(ends, _ends(edges, keys), keys))
+    resolved = resolve_patterns(ends, _ends(edges, keys), keys)
 
     def side(name: str) -> DataFrame:
         return resolved.select(
@@ -150,7 +150,7 @@ def score_grams(
     distinct = steps.select(
         *_and(keys, "window_size", "gram"), gram_pattern().alias("pattern"), gram_previous().alias("_previous")
     ).distinct()
-    resolved = stage(resolve_patterns(distinct, _ends(edges, keys), keys))
+    resolved = resolve_patterns(distinct, _ends(edges, keys), keys)
     previous = resolved.select(*keys, F.col("pattern").alias("_previous"), F.col("resolved").alias("_from"))
     known = edges.select(*keys, F.col("s_from").alias("_from"), F.col("s_to").alias("state"), "p")
     return (

@@ -167,7 +167,8 @@ def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str])
     """Nearest state of each distinct pattern: least edit distance, then first by name.
 
     Words of any length and any letters. Columns: keys, pattern, mapped_to, distance; the
-    last two are null without a model.
+    last two are null without a model. What is found is written, so the result can be read
+    more than once.
     """
     on = [*keys, "pattern"]
     pattern, known = _spread_distinct(patterns, keys, "pattern"), _spread_distinct(states, keys, "state")
@@ -187,9 +188,10 @@ def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str])
         .join(prefixes, [*keys, "prefix"])
         .select(*on, "prefix", F.lit(None).cast("int").alias("upto"))
     )
-    found = stage(_search(home, shards, keys))
+    found = _search(home, shards, keys)
     far = prefixes.where("prefix <> ''")
     if not far.isEmpty():
+        found = stage(found)
         # The edits from a prefix to the nearest beginning of the word: no word of the shard is nearer.
         least = "array_min(transform(sequence(0, length(pattern)), n -> levenshtein(trim(trailing '\\0' from prefix), left(pattern, n))))"
         others = (
@@ -199,4 +201,4 @@ def nearest_states(patterns: DataFrame, states: DataFrame, keys: Sequence[str])
         )
         more = _search(others.select(*on, "prefix", "upto"), shards, keys)
         found = found.unionByName(more).groupBy(*on).agg(F.expr("min(struct(distance, mapped_to))").alias("_b")).select(*on, "_b.mapped_to", "_b.distance")
-    return seen.unionByName(unseen.join(found, on, "left"))
+    return seen.unionByName(stage(unseen.join(found, on, "left")))

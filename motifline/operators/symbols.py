@@ -8,17 +8,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motifline.functions.columns import breakpoints, letter, letter_sql, z_score
 from motifline.plans.blocks import BLOCK_ROWS, attach, halo, in_block, int_div, over_blocks
 
 
+def ordered_stats(df: DataFrame, keys: Sequence[str], col: str, idx: str, *more: Column) -> DataFrame:
+    """Mean and population deviation of each key, the same to the last bit on every run.
+
+    Sums of doubles depend on their order, so a block of rows is added up in the order of
+    `idx` and the blocks' results in theirs, however the rows are dealt. `more` are further
+    aggregates of a block; of each, the largest is kept.
+    """
+    add = (
+        "aggregate(array_sort(collect_list(struct(`{0}` as i, cast(`{1}` as double) as v))), struct(0L as n, 0D as mean, 0D as m2), (a, r) ->"
+        " struct(a.n + 1 as n, a.mean + (r.v - a.mean) / (a.n + 1) as mean,"
+        " a.m2 + (r.v - a.mean) * (r.v - (a.mean + (r.v - a.mean) / (a.n + 1))) as m2))"
+    )
+    meet = (
+        "aggregate(array_sort(collect_list(struct(_part as i, _sums as s))), struct(0L as n, 0D as mean, 0D as m2), (a, r) -> if(a.n = 0, r.s,"
+        " struct(a.n + r.s.n as n, a.mean + (r.s.mean - a.mean) * r.s.n / (a.n + r.s.n) as mean,"
+        " a.m2 + r.s.m2 + (r.s.mean - a.mean) * (r.s.mean - a.mean) * a.n * r.s.n / (a.n + r.s.n) as m2)))"
+    )
+    parts = df.where(F.col(col).isNotNull()).groupBy(*keys, int_div(idx, BLOCK_ROWS).alias("_part")).agg(F.expr(add.format(idx, col)).alias("_sums"), *[c.alias(f"_more{i}") for i, c in enumerate(more)])
+    whole = parts.groupBy(*keys).agg(F.expr(meet).alias("_all"), *[F.max(f"_more{i}").alias(f"_more{i}") for i in range(len(more))])
+    return whole.select(*keys, F.col("_all.mean").alias("_mean"), F.expr("sqrt(_all.m2 / _all.n)").alias("_std"), *[f"_more{i}" for i in range(len(more))])
+
+
 def z_normalize(df: DataFrame, keys: Sequence[str], col: str = "x", out: str = "z", idx: str = "pos") -> DataFrame:
     """Population z-score per key; a constant series becomes all 0."""
-    value = F.col(col).cast("double")
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    stats = ordered_stats(df, keys, col, idx)
     return attach(df, stats, keys, int_div(idx, BLOCK_ROWS)).select(*df.columns, z_score(col).alias(out))
 
 
@@ -27,15 +49,18 @@ def paa(df: DataFrame, keys: Sequence[str], segment_size: int) -> DataFrame:
 
     The remainder is dropped; a series shorter than one block gives its mean.
     `seg_label` is 1 when any label in the block equals 1, and null for a series
-    shorter than one block.
+    shorter than one block. Doubles are added up in the order of their size, so that a mean
+    does not depend on how the rows are dealt; sums of other types are exact anyway.
     """
     size = max(segment_size, 1)
     label = "coalesce(label, 0)" if "label" in df.columns else "0"
+    rough = isinstance(df.schema["x"].dataType, (T.DoubleType, T.FloatType))
+    total = "aggregate(array_sort(collect_list(cast(x as double))), 0D, (a, v) -> a + v)" if rough and size > 1 else "cast(sum(x) as double)"
     return (
         df.where(f"n < {size} or pos < n - n % {size}")
         .groupBy(*keys, F.expr(f"pos div {size}").alias("seg"))
         .agg(
-            F.expr("cast(sum(x) as double) / count(x)").alias("paa"),
+            F.expr(f"if(count(x) = 0, null, {total} / count(x))").alias("paa"),
             F.expr(f"max(if(n >= {size}, cast({label} = 1 as int), null))").alias("seg_label"),
             F.expr(f"max(greatest(n div {size}, 1))").alias("n_seg"),
         )
@@ -43,9 +68,7 @@ def paa(df: DataFrame, keys: Sequence[str], segment_size: int) -> DataFrame:
 
 
 def _paa_stats(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return segments.groupBy(*keys).agg(
-        F.avg("paa").alias("_mean"), F.stddev_pop("paa").alias("_std"), F.max("n_seg").alias("_n")
-    )
+    return ordered_stats(segments, keys, "paa", "seg", F.max("n_seg")).withColumnRenamed("_more0", "_n")
 
 
 def sax_letters(

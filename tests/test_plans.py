@@ -101,6 +101,22 @@ def test_result_does_not_depend_on_partitions(spark, sf, parts):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_letters_of_doubles_do_not_depend_on_partitions(spark, roles):
+    rk, old = ["event_type", "role"], spark.conf.get("spark.sql.shuffle.partitions")
+    rows = blocks.stage(roles.withColumn("x", F.expr("cast(x as double) / 3 + 1e6")))
+    found = []
+    try:
+        for parts in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            dealt = rows.repartition(parts, F.rand(parts))
+            letters = symbols.sax_letters(symbols.paa(dealt, rk, 7), rk, 5, block_rows=200)
+            z = symbols.z_normalize(dealt, rk)
+            found.append((sorted(letters.select(*rk, "seg", "paa", "z", "letter").collect()), sorted(z.select(*rk, "pos", "z").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found[0] == found[1] == found[2]
+
+
 def test_noise_levels_share_the_model(spark, roles):
     table = X.robustness_table(roles, ["event_type"], stds=(0.1,)).collect()
     assert set(table[0].asDict()) == {"event_type", "automaton_original_f1", "automaton_noise_0_1_f1"}
