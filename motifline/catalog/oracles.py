@@ -70,7 +70,7 @@ def scoring(mkeys: list[str], keys: list[str], tag: str = "", src: str | None =
     mk, k = ", ".join(mkeys), ", ".join(keys)
     src = src or f"(SELECT * FROM steps{tag} WHERE role = 'test')"
     on = " AND ".join(f"q.{c} = s.{c}" for c in mkeys)
-    same = " AND ".join(f"t.{c} = {{}}.{c}" for c in mkeys)
+    same = " AND ".join(f"t.{c} = {{0}}.{c}" for c in mkeys)
     return f"""asked{tag} AS (SELECT DISTINCT {mk}, pattern FROM {src}),
 near{tag} AS (
   SELECT {", ".join("q." + c for c in mkeys)}, q.pattern, s.state, levenshtein(q.pattern, s.state) AS dist,
@@ -321,6 +321,37 @@ numbered AS (
 DK = ["dataset"]
 
 
+DF = ["dataset", "fold"]
+BOTH = FOLDED + ", " + TWO_SOURCES + """, both_ AS (
+  SELECT 'events' AS dataset, fold, x, label, role, pos, n FROM folded
+  UNION ALL SELECT dataset, 0, x, label, role, pos, n FROM roles WHERE dataset = 'orders')"""
+
+
+def cross_folds(first_only: bool) -> str:
+    """Models of every fold, or of the first ones, on the test rows of both datasets."""
+    met = "m.fold = 0" if first_only else "(m.dataset <> t.dataset OR m.fold = t.fold)"
+    scored = scoring(["train_dataset", "train_fold"], ["train_dataset", "train_fold", *DF], src="pairs")
+    return f"""WITH RECURSIVE {BOTH}, {symbols('both_', [*DF, 'role'], 4, 3)}, {model(DF)},
+named AS (SELECT dataset AS train_dataset, fold AS train_fold, * EXCLUDE (dataset, fold) FROM edges),
+nstates AS (SELECT dataset AS train_dataset, fold AS train_fold, state FROM states),
+pairs AS (SELECT m.dataset AS train_dataset, m.fold AS train_fold, t.* FROM steps t, (SELECT DISTINCT dataset, fold FROM edges) m WHERE t.role = 'test' AND {met}),
+{scored.replace("JOIN states s", "JOIN nstates s").replace("JOIN edges e", "JOIN named e")}, {metrics(["train_dataset", "train_fold", *DF])}
+SELECT train_dataset, {r("avg(f1) FILTER (dataset = 'events')", 'events')}, {r("avg(f1) FILTER (dataset = 'orders')", 'orders')} FROM metrics GROUP BY train_dataset"""
+
+
+def grid_folds() -> str:
+    parts, tables = [BOTH], []
+    for w in (3, 5):
+        for a in (3, 4):
+            t = f"_{w}{a}"
+            parts += [symbols("both_", [*DF, "role"], a, w, tag=t), model(DF, tag=t), scoring(DF, DF, tag=t), metrics(DF, src="scored" + t, out="metrics" + t)]
+            tables.append(
+                f"SELECT dataset, {w} AS window_size, {a} AS alphabet_size, {r('avg(u.c)', 'unique_states')}, {r('avg(f1)', 'f1_score')}, {r('avg(accuracy)', 'accuracy')}"
+                f" FROM metrics{t} JOIN (SELECT dataset, fold, count(DISTINCT s_from) AS c FROM edges{t} GROUP BY dataset, fold) u USING (dataset, fold) GROUP BY dataset"
+            )
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + " UNION ALL ".join(tables)
+
+
 def oracle_sql() -> dict[str, str]:
     W = "WITH "
     scored_cols = "event_type, time_step, state, pattern, status, mapped_to, " + r("probability", "probability") + ", decision"
@@ -453,6 +484,11 @@ def oracle_sql() -> dict[str, str]:
             + scoring(["train_dataset"], ["train_dataset", "dataset"], src="pairs").replace("JOIN states s", "JOIN nstates s").replace("JOIN edges e", "JOIN named e")
             + ", " + metrics(["train_dataset", "dataset"])
             + f" SELECT train_dataset, {r(chr(39).join(['max(f1) FILTER (dataset = ', 'events', ')']), 'events')}, {r(chr(39).join(['max(f1) FILTER (dataset = ', 'orders', ')']), 'orders')} FROM metrics GROUP BY train_dataset",
+        "cross_dataset_folds": cross_folds(False),
+        "cross_dataset_first_fold": cross_folds(True),
+        "run_all_folds": f"WITH RECURSIVE {BOTH}, {symbols('both_', [*DF, 'role'], 4, 3)}, {model(DF)}, {scoring(DF, DF)}, {metrics(DF)}"
+            + f" SELECT dataset, {', '.join(r(f'avg({c})', c) for c in ('accuracy', 'precision', 'recall', 'f1'))} FROM metrics GROUP BY dataset",
+        "grid_search_folds": grid_folds(),
         "grid_search": W + grid() + f" SELECT event_type, {GRID_COLS} FROM grid",
         "report_rows": W + grid() + f" SELECT event_type, {GRID_COLS} FROM (SELECT * FROM grid ORDER BY event_type, window_size, alphabet_size LIMIT 10)",
         "parameter_sensitivity": W + grid() + f" SELECT event_type, alphabet_size, window_size, {r('f1_score', 'f1_score')} FROM grid",

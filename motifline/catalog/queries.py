@@ -453,11 +453,29 @@ def cross_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, "events", "orders")
 
 
-def cross_dataset_folds(spark: SparkSession, sf: str) -> DataFrame:
+def folds_and_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouped dataset in five folds beside one that is split once."""
     folds = folded(spark, sf).withColumn("dataset", F.lit("events"))
     cols = ["dataset", "fold", "x", "label", "role", "pos", "n"]
     orders = two_sources(spark, sf).where("dataset = 'orders'").withColumn("fold", F.lit(0)).select(*cols)
-    return X.cross_dataset_matrix(folds.select(*cols).union(orders), "dataset", ["events", "orders"], "fold", range(5))
+    return folds.select(*cols).union(orders)
+
+
+def cross_dataset_folds(source_folds: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = X.cross_dataset_matrix(folds_and_orders(spark, sf), "dataset", ["events", "orders"], "fold", range(5), source_folds)
+        return rounded(found, "events", "orders")
+
+    return run
+
+
+def run_all_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(X.fold_mean(X.detect(folds_and_orders(spark, sf), ["dataset", "fold"]), ["dataset"]), *X.METRICS)
+
+
+def grid_search_folds(spark: SparkSession, sf: str) -> DataFrame:
+    found = X.grid_search(folds_and_orders(spark, sf), ["dataset", "fold"], ["dataset"], (3, 5), (3, 4))
+    return rounded(found, "unique_states", "f1_score", "accuracy")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -559,6 +577,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             X.fold_mean(fold_metrics(s, d).withColumn("dataset", F.lit("events")), ["dataset"]), *X.METRICS
         ),
         "run_all": lambda s, d: rounded(X.fold_mean(X.detect(two_sources(s, d), ["dataset"]), ["dataset"]), *X.METRICS),
+        "run_all_folds": run_all_folds,
         "seed_summary": lambda s, d: rounded(
             X.seed_summary(seed_metrics(s, d), ET), *[f"{c}_{k}" for c in X.METRICS for k in ("mean", "std")]
         ),
@@ -566,8 +585,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "robustness": robustness,
         "robustness_windows": robustness_windows,
         "cross_dataset": cross_dataset,
-        "cross_dataset_folds": cross_dataset_folds,
+        "cross_dataset_folds": cross_dataset_folds("all"),
+        "cross_dataset_first_fold": cross_dataset_folds("fold0"),
         "grid_search": grid,
+        "grid_search_folds": grid_search_folds,
         "report_rows": lambda s, d: X.report_rows(grid(s, d), ET),
         "parameter_sensitivity": lambda s, d: X.parameter_sensitivity(grid(s, d), ET),
         "transition_heatmap": lambda s, d: rounded(

@@ -235,7 +235,8 @@ def cross_dataset_matrix(
 
     One row per `train_dataset`, one column per tested one. With folds, "all"
     averages every source and target fold, matching folds on the diagonal;
-    "fold0" takes the models of the first fold only.
+    "fold0" takes the models of the first fold only, for all folds of the target. A
+    dataset without folds counts with the one fold it has.
     """
     if source_folds not in ("all", "fold0"):
         raise ValueError("source_folds must be 'all' or 'fold0'")
@@ -249,7 +250,8 @@ def cross_dataset_matrix(
     )
     sources = [(d, f) for d in datasets for f in (folds if source_folds == "all" else [folds[0]])]
     pairs = F.array(*[F.struct(F.lit(d).alias("train_dataset"), F.lit(f).alias("train_fold")) for d, f in sources])
-    counts = _role(steps, "test").withColumn("_m", F.explode(pairs)).select("*", "_m.*").drop("_m")
+    trained = _role(steps, "train").select(F.col(dataset_col).alias("train_dataset"), (F.col(fold_col).cast("int") if fold_col else F.lit(0)).alias("train_fold")).distinct()
+    counts = _role(steps, "test").withColumn("_m", F.explode(pairs)).select("*", "_m.*").drop("_m").join(trained, model, "left_semi")
     if fold_col and source_folds == "all":
         counts = counts.where((F.col("train_dataset") != F.col(dataset_col)) | (F.col("train_fold") == F.col(fold_col)))
     flags = flag_counts(counts, edges, model, params.threshold)

@@ -15,7 +15,7 @@ def con(sf):
 def test_every_oracle_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     without = set(queries.queries()) - set(oracles.oracle_sql())
-    assert without == {"reconstruction_error_100", "detect_windows_100", "robustness_windows", "cross_dataset_folds"}
+    assert without == {"reconstruction_error_100", "detect_windows_100", "robustness_windows"}
 
 
 def test_entry(spark):
