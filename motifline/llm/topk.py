@@ -40,29 +40,39 @@ def segments(x: np.ndarray, shift: int = SHIFT) -> list[tuple[int, int, int, np.
     return sorted(out, key=lambda s: (-s[0], s[1], s[2]))
 
 
+def _long_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of rows of large numbers; what no 64-bit number can hold becomes the nearest one."""
+    exact = x.astype(object) @ q.astype(object)
+    return np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in exact], dtype=np.int64)
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best rows of the block, ties to smaller ids; own ids excluded."""
     width = max(x.shape[1], q.shape[1])  # shorter vectors end in zeros
     x, q = (np.pad(a, ((0, 0), (0, width - a.shape[1]))).astype(np.int64) for a in (x, q))
+    # Where sums stay below 2**53 doubles are exact; else the bounds are widened by the error of doubles.
+    sure = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * width < 2**53
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     parts = segments(x)
     open_rows, total = x.size, max(x.size, 1)
-    # Impacts are whole numbers and sums stay below 2**53: doubles are exact.
     acc = np.zeros((len(ids), len(q)))
     weights, norms = q.astype(np.float64), np.sqrt((q.astype(np.float64) ** 2).sum(1))
     rest = (x.astype(np.float64) ** 2).sum(1)
+    unsure = (0.0 if sure else 1e-6) * np.sqrt(rest)
     alive = np.arange(len(q))
     tries = [t for t in TRIED_AT]
 
     def members(some: np.ndarray) -> np.ndarray:
         """For the open queries at the places `some`, one line each: rows that may be among the k best."""
         asked = query_ids[alive[some]]
-        bound = norms[alive[some]][:, None] * (np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9))[None, :] + 1e-6
+        bound = norms[alive[some]][:, None] * (np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9) + unsure)[None, :] + 1e-6
         high = np.ascontiguousarray(acc[:, some].T)
         low = high - bound
         high += bound
+        if not sure:  # scores end at 64 bits, and what ends there ties
+            low, high = np.clip(low, -(2.0**63), 2.0**63), np.clip(high, -(2.0**63), 2.0**63)
         for j, (i, e) in enumerate(zip(np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right"), strict=True)):
             low[j, i:e] = high[j, i:e] = -np.inf
         least = np.partition(low, len(ids) - k, axis=1)[:, [len(ids) - k]] if len(ids) > k else -np.inf
@@ -78,7 +88,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         done = possible.sum(1) <= few
         for j in np.flatnonzero(done):
             rows = np.flatnonzero(possible[j])
-            scores = x[rows] @ q[alive[j]]
+            scores = x[rows] @ q[alive[j]] if sure else _long_products(x[rows], q[alive[j]])
             best = np.lexsort((ids[rows], -scores))[:k]
             found.append((np.full(len(best), query_ids[alive[j]]), ids[rows[best]], scores[best]))
         acc, alive = acc[:, ~done], alive[~done]
@@ -100,9 +110,14 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
 
 
 def whole_numbers(vector: Column) -> Column:
-    """floor(256 * x) of each component, null if the vector or a component is null or not finite."""
+    """floor(256 * x) of each component, null if the vector or a component is null or not finite.
+
+    Beyond 2**62 either way it is that number.
+    """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("int")))
+    most = F.lit(float(1 << 62))
+    whole = F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * 256, -most), most)).cast("long"))
+    return F.when(vector.isNotNull() & ~bad, whole)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -122,7 +137,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", v
 
     Candidates are all rows but those with the query's own id. A vector that is null or
     holds a null or non-finite component takes no part, nor does a null id; shorter
-    vectors count as ending in zeros. Ties go to the smaller id. A repeated candidate
+    vectors count as ending in zeros. Components may be of any finite size: those whose
+    256-fold is beyond 2**62 count as that, and a score beyond 64 bits as the largest or
+    smallest one. Ties go to the smaller id. A repeated candidate
     row counts as often as it is there, a repeated query once.
     """
     valid = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), whole_numbers(F.col(vector)).alias("x"), is_query.alias("_query")).where("x is not null")

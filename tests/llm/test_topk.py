@@ -10,7 +10,7 @@ def brute(rows, k=5):
     valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in {(i, tuple(v)) for i, v in valid if i % 50 == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in valid if j != i)[:k]
+        scored = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -(2**63)), 2**63 - 1), j) for j, v in valid if j != i)[:k]
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
@@ -64,3 +64,14 @@ def test_blocks_and_batches(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 90)
     monkeypatch.setattr(topk, "BATCH_ROWS", 30)
     assert got(spark, rows) == brute(rows)
+
+
+def test_large_components_are_exact(spark):
+    """Beyond 32 bits a component, beyond 2**53 a sum, beyond 64 bits a score."""
+    rnd = np.random.default_rng(7)
+    for size in (2e6, 1e7, 1e12):
+        rows = [(i, [float(v) for v in rnd.normal(size=6) * size]) for i in range(200)]
+        rows += [(200 + i, [rows[0][1][0] + i / 256, *rows[0][1][1:]]) for i in range(40)]  # near ties
+        assert got(spark, rows) == brute(rows)
+    found = got(spark, [(0, [1e300, -1e300]), (1, [1e300, 1.0]), (2, [-1e300, 1e300]), (3, [0.0, 0.0])])
+    assert found == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 0), (0, 3, 2, -(2**63))]
