@@ -43,6 +43,9 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 
+#: Matches of a text whose spans are gathered at a time.
+CHUNK = 256
+
 SCANNED = "blob string, rules array<string>"
 FINDINGS = "blob string, kind string, version int, start int, end int"
 
@@ -64,6 +67,8 @@ def spans(text: Column, rule: Rule) -> Column:
     found = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("piece"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match")
     )
+    none = F.expr("cast(array() as array<struct<kind:string,version:int,start:int,end:int>>)")
+    lists = F.expr("cast(array() as array<array<struct<kind:string,version:int,start:int,end:int>>>)")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.char_length(x["piece"])
@@ -76,9 +81,17 @@ def spans(text: Column, rule: Rule) -> Column:
         )
         return F.struct(end.alias("at"), F.when(counts, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    none = F.expr("cast(array() as array<struct<kind:string,version:int,start:int,end:int>>)")
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, first, step, lambda s: s["spans"])).otherwise(none)
+    def chunk(state: Column, i: Column, matches: Column) -> Column:
+        # Appending copies a list: spans go to the list of their chunk, and only chunks to the long one.
+        part = F.aggregate(F.slice(matches, i, CHUNK), F.struct(state["at"].alias("at"), none.alias("spans")), step)
+        return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.array_append(state["lists"], p["spans"]).alias("lists")))[0]
+
+    def all_spans(matches: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), lists.alias("lists"))
+        starts = F.sequence(F.lit(1), F.size(matches), F.lit(CHUNK))
+        return F.aggregate(starts, first, lambda s, i: chunk(s, i, matches), lambda s: F.flatten(s["lists"]))
+
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(found), all_spans)[0]).otherwise(none)
 
 
 def unseen(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
@@ -106,16 +119,14 @@ def advance(
     """Scan what the ledger lacks; return the rows to append to `scanned` and `findings`.
 
     Both are written to the shared folder. `findings` of older rule versions stay in
-    the ledger. A null text is an empty one, null keys can carry no blob's text but
-    their blobs are addressed by the other rows; only-null keys raise no error and
-    are scanned through a null-safe join.
+    the ledger. A null text is an empty one. A blob's text is taken from the row with its
+    least key, null where no row has one; key and blob are joined together, so rows
+    without a key don't meet each other's blobs.
     """
     del findings  # append-only: what was found before is never read to scan
     todo = stage(unseen(versions, scanned, rules, key, text))
-    texts = versions.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    carried = texts.join(todo.hint("shuffle_hash"), texts["_key"].eqNullSafe(todo["_carrier"])).where(
-        blob_of(F.col("_text")) == F.col("blob")
-    )
+    texts = versions.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.unhex(blob_of(F.col(text))).alias("_blob"))
+    carried = texts.join(todo.hint("shuffle_hash"), texts["_key"].eqNullSafe(todo["_carrier"]) & (texts["_blob"] == F.unhex(todo["blob"])))
     per_rule = [F.when(F.array_contains("todo", r.name), spans(F.col("_text"), r)) for r in rules]
     any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
     found = stage(

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from motifline.llm import secrets
 
@@ -52,3 +53,14 @@ def test_empty_table(spark, docs):
 def test_plan_has_no_python(spark, docs, capsys):
     secrets.scan_documents(spark, docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_a_text_of_many_matches_and_rows_without_ids(spark):
+    """Two texts of 50,000 matches each, in time that follows their number; null ids don't multiply rows."""
+    text = "token=abcdefgh1 x " * 50_000
+    rows = [(1, text), (2, "é " + text), *[(None, f"secret: {'k' * i}aaaaaaaa") for i in range(1, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.perf_counter()
+    found = secrets.scan_documents(spark, df).collect()
+    assert time.perf_counter() - start < 60 and len(found) == len(rows)
+    assert sorted((r.doc_id or 0, r.spans) for r in found) == sorted((i or 0, brute(t)) for i, t in rows)
