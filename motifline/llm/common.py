@@ -22,6 +22,15 @@ def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(docs: DataFrame, used: Sequence[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `run` makes of `docs`, with columns that it doesn't use out of reach of its own names.
+
+    `run` returns the columns it was given, in their order.
+    """
+    hidden = docs.toDF(*[c if c in used else f"_other_{i}" for i, c in enumerate(docs.columns)])
+    return run(hidden).toDF(*docs.columns)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any more."""
     spark = df.sparkSession

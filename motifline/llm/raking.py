@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifline.llm.common import apart
 from motifline.plans.blocks import stage
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -36,38 +37,32 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def topic(text: Column) -> Column:
-    """Kind of a text by what it holds."""
-    n = tokens(text)
-    return (
-        F.when(n == 0, "empty")
+def described(docs: DataFrame) -> DataFrame:
+    """`docs` with _n, its words, and its cell _source, _lang, _topic; a null source or language is the group ''.
+
+    The text is searched for words and bars once each; the topic is what it holds.
+    """
+    text = F.coalesce("text", F.lit(""))
+    counted = docs.withColumns({"_n": tokens(text), "_bars": F.regexp_count(text, F.lit(r"\|"))})
+    topic = (
+        F.when(F.col("_n") == 0, "empty")
         .when(text.contains("Licensed under") | text.contains("is licensed under"), "licensed")
-        .when(F.regexp_count(text, F.lit(r"\|")) * 5 > n, "table")
+        .when(F.col("_bars") * 5 > F.col("_n"), "table")
         .when(text.contains("@") | text.contains("http"), "contact")
-        .when(n < 100, "note")
-        .when(n < 1000, "article")
+        .when(F.col("_n") < 100, "note")
+        .when(F.col("_n") < 1000, "article")
         .otherwise("long")
     )
+    cell = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic}
+    return counted.withColumns(cell).drop("_bars")
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """`docs` with the columns _source, _lang, _topic: its cell; a null source or language is the group ''."""
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "_topic": topic(F.coalesce("text", F.lit(""))),
-        }
-    )
+def cells_of(docs: DataFrame) -> DataFrame:
+    return _summed(described(docs))
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    return (
-        described(docs)
-        .groupBy(*[f"_{d}" for d in DIMENSIONS])
-        .agg(F.sum(tokens(F.col("text"))).cast("double").alias("tokens"))
-        .toDF(*DIMENSIONS, "tokens")
-    )
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*[f"_{d}" for d in DIMENSIONS]).agg(F.sum("_n").cast("double").alias("tokens")).toDF(*DIMENSIONS, "tokens")
 
 
 def targets_of(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
@@ -139,29 +134,39 @@ def uniform(key: Column, seed: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """`docs` with _source, _lang, _topic, probability and sampled.
-
-    A blank text has no tokens and the probability 0. Repeated rows of one id are drawn
-    or left together; rows without an id likewise.
-    """
-    cells = stage(cells_of(docs))
+def _chances(rows: DataFrame, budget: float, powers: dict[str, float], targets: dict[str, DataFrame] | None) -> DataFrame:
+    """`rows` of `described` with _probability and _sampled."""
+    cells = stage(_summed(rows))
     fitted = stage(rake(cells, targets or targets_of(cells, powers)))
     chances = stage(probabilities(fitted, budget))
     chance = chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
-    joined = described(docs).join(chance, [f"_{d}" for d in DIMENSIONS])
-    return joined.withColumn("_sampled", uniform(F.col("doc_id")) < F.col("_probability"))
+    return rows.join(chance, [f"_{d}" for d in DIMENSIONS]).withColumn("_sampled", uniform(F.col("doc_id")) < F.col("_probability"))
+
+
+def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """doc_id, _n, _source, _lang, _topic, _probability and _sampled of every row.
+
+    A null or blank text has no tokens and the probability 0. Repeated rows of one id are
+    drawn or left together; rows without an id likewise. Texts are read once: what is known
+    of them is written without them. An empty table gives an empty one; other columns don't matter.
+    """
+    used = docs.select("doc_id", "text", "source", "lang")
+    return _chances(stage(described(used).drop("text", "source", "lang")), budget, powers, targets)
 
 
 def sample(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The drawn rows, with the columns of `docs`."""
-    return drawn(docs, budget).where("_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The drawn rows, with the columns of `docs`, whatever the names of those that aren't used.
+
+    Nulls, blank texts and repeated rows as in `drawn`. Texts are read twice, as writing
+    them again would cost more disk than the input has.
+    """
+    run = lambda rows: _chances(described(rows), budget, POWERS, None).where("_sampled").select(*rows.columns)
+    return apart(docs, ("doc_id", "text", "source", "lang"), run)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return drawn(docs).select(
-        "doc_id", F.col("_topic").alias("topic"), tokens(F.col("text")).alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled")
-    )
+    """doc_id, topic, n_tokens, probability (to six places) and sampled of every row of `drawn`."""
+    return drawn(docs).select("doc_id", F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 
 def oracle(rounds: int = ROUNDS, steps: int = CAP_STEPS, budget: float = BUDGET) -> str:
