@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifline.llm.common import apart
 from motifline.plans.blocks import stage
 
 WORDS, BANDS, ROWS = 5, 24, 5
@@ -314,7 +315,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
 
 
 def keep_first(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of `docs` with one document of each class: that with the least doc_id, of repeated rows one."""
+    """The rows of `docs` with one document of each class: that with the least doc_id, of repeated rows one.
+
+    Null ids come last, null texts count as empty ones, and of rows with one id the text
+    with the smaller digest stays. Other columns pass, whatever their names.
+    """
+    return apart(docs, ("doc_id", "text"), lambda rows: _first_rows(rows, least))
+
+
+def _first_rows(docs: DataFrame, least: float) -> DataFrame:
     found = classes(docs, least)
     light = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
     named = light.join(found.withColumnRenamed("digest", "_digest"), "_digest", "left").select("doc_id", "_digest", F.coalesce("label", "_digest").alias("_label"))

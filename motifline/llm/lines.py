@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.common import drop_staged, free_shuffles
+from motifline.llm.common import apart, drop_staged, free_shuffles
 from motifline.plans.blocks import stage
 
 TAU = 2
@@ -266,7 +266,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, their texts without repeated lines; a row of which no line is left goes."""
-    rows = deduped(docs).where((F.col("_n_lines") == 0) | (F.col("_n_exact") + F.col("_n_near") < F.col("_n_lines")))
-    changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in docs.columns else {})
-    return rows.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    """The rows of `docs`, their texts without repeated lines; a row of which no line is left goes.
+
+    n_chars, if there, follows the text. Nulls, blank texts and repeated rows as in
+    `deduped`; of equal lines the first place by doc_id and line stays. Other columns pass,
+    whatever their names. An empty table stays empty.
+    """
+
+    def run(docs: DataFrame) -> DataFrame:
+        rows = deduped(docs).where((F.col("_n_lines") == 0) | (F.col("_n_exact") + F.col("_n_near") < F.col("_n_lines")))
+        changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in docs.columns else {})
+        return rows.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+
+    return apart(docs, ("doc_id", "text", "n_chars"), run)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.common import map_column
+from motifline.llm.common import apart, map_column
 
 GOOD, BAD, NONE = 1, 0, 2
 #: Texts that the scorer is trained on, about; those with the smallest hashes of their ids.
@@ -221,9 +221,17 @@ def judged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows judged good, with the columns of `docs`."""
-    made = fit(docs, sample)
-    if made is None:
-        return docs
-    whole = docs.withColumn("_judged", F.col("text"))
-    return made.judge(whole, docs.columns, "_judged").where("_quality = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows judged good, with the columns of `docs`.
+
+    A null or blank text is bad, rows of equal texts are judged alike, and null ids pass
+    like others. Other columns pass, whatever their names. An empty table stays empty.
+    """
+
+    def run(docs: DataFrame) -> DataFrame:
+        made = fit(docs, sample)
+        if made is None:
+            return docs
+        whole = docs.withColumn("_judged", F.col("text"))
+        return made.judge(whole, docs.columns, "_judged").where("_quality = 1").select(*docs.columns)
+
+    return apart(docs, ("doc_id", "text"), run)

@@ -3,8 +3,10 @@ import test_bagminhash
 import test_lines
 import test_raking
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from motifline.llm import bpe
+from motifline.llm import bagminhash, bpe, lines, raking, weaklabels
 
 
 def test_each_stage_does_its_part(spark, sf):
@@ -43,3 +45,14 @@ def test_empty_documents(spark, sf, tmp_path):
 def test_names_and_order():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "line dedup", "near dedup", "mixture", "encoding"] and P.ORACLE_SQL is None
     assert test_raking
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, docs):
+    names = ["_row", "_new", "_score", "_own", "_topic", "_source", "_lang", "_n", "_judged", "_label", "_other_0", "quality", "tokens"]
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(n), F.coalesce("text", F.lit("?"))).alias(n) for n in names])
+    for step in (weaklabels.keep_good, lines.without_repeats, bagminhash.keep_first, raking.sample):
+        kept = step(wide)
+        assert kept.columns == wide.columns
+        rows = kept.collect()
+        assert all(r[n] is not None and r[n].startswith(n) for r in rows for n in names)
+        assert rows and all(r["_n"] == "_n" + r["_own"][4:] for r in rows)
