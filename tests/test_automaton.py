@@ -16,6 +16,7 @@ from motifline.sources import tables
 K = ["k"]
 
 
+# Words and distances that results must equal.
 def test_edit_distance_literals(spark):
     cases = [("abc", "abc", 0), ("abc", "acc", 1), ("abc", "abd", 1), ("abc", "xyz", 3), ("abc", "ab", 1), ("abc", "abcd", 1), ("", "abc", 3)]
     df = spark.createDataFrame(cases, "a string, b string, d int")
