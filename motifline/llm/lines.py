@@ -10,8 +10,13 @@ bit-parallel automaton over a band of 2 * TAU + 1 diagonals.
 
 A line goes if its text, or a text within TAU edits, stands in an earlier document or
 further up. What decides is the first place of each text, so there are no chains to
-follow. Equal lines are one before any join. A signature of word parities travels with
-the keys: edits change few words, so lines that only share a long segment do not meet.
+follow. Equal lines are one before any join.
+
+Keys are counted first, and only lines that share one go on. Those get two signatures,
+parities of their words and of their pairs of letters: edits change few of them, so lines
+that only share a long segment do not meet. Lines that are a change of one line of their
+key by up to TAU / 2 edits call it home. Lines of one home are all linked to each other,
+which is counted and not joined; pairs are formed between lines of different homes.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ TAU = 2
 LEAST = 40
 #: Parity bits that an edit can change: it may make one word of two, or two of one.
 BITS_AN_EDIT = 3
+#: Pairs of neighbouring letters that an edit can change: a replaced letter stood in two and stands in two.
+PAIRS_AN_EDIT = 4
 LONGEST = 24  # steps of the search for the first difference: lines of up to 2 ** 24 code points
 
 
@@ -53,9 +60,20 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def signature(line: Column) -> Column:
-    """32 parities of the line's words."""
-    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1), F.pmod(F.hash(w), F.lit(32))))
-    return F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    """64 parities of the line's words."""
+    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", _long(1), F.pmod(F.hash(w), F.lit(64))))
+    return F.aggregate(bits, _long(0), lambda a, b: a.bitwiseXOR(b))
+
+
+def letter_signature(line: Column) -> Column:
+    """64 parities of the line's pairs of neighbouring letters; the last letter stands alone."""
+
+    def parities(letters: Column) -> Column:
+        after = F.slice(letters, 2, F.size(letters))
+        bits = F.zip_with(letters, after, lambda a, b: F.call_function("shiftleft", _long(1), F.pmod(F.hash(a, b), F.lit(64))))
+        return F.aggregate(bits, _long(0), lambda a, b: a.bitwiseXOR(b))
+
+    return _given(F.split(line, ""), parities)
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -94,6 +112,11 @@ def probe_keys(line: Column, n: Column, tau: int = TAU, least: int = LEAST) -> C
     return F.array(*keys)
 
 
+def own_places(tau: int = TAU) -> list[int]:
+    """Where `probe_keys` holds the keys of `index_keys`: those of the line's own length, unshifted."""
+    return [i + sum(2 * min(k, tau - k) for k in range(i)) + min(i, tau - i) for i in range(tau + 1)]
+
+
 def _given(value: Column, use) -> Column:
     """`use` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -186,42 +209,98 @@ def near(a: Column, b: Column, tau: int = TAU) -> Column:
     return _given(_given(start, tails), heads)
 
 
+def _apart_in(a: str, b: str) -> Column:
+    """Number of bits in which two signatures differ."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def members_of(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(key, id, own): the lines that meet another under a key of their index; own says that the key is a segment of the line.
+
+    A key is only counted here, so this grows with the lines and not with what they share.
+    """
+    long_lines = texts.where(F.col("n") >= least).select("id", "line", "n")
+    rows = long_lines.select("id", F.posexplode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("pos", "key")).where("key is not null")
+    rows = rows.select("key", "id", F.col("pos").isin(own_places(tau)).alias("own")).repartition("key")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("any_own"))
+    shared = shared.where("low <> high and any_own").select("key")
+    return rows.join(shared.hint("shuffle_hash"), "key").distinct()
+
+
+def homes_of(members: DataFrame, held: DataFrame, tau: int = TAU) -> DataFrame:
+    """(id, home): the lines that are within tau / 2 edits of a line that meets them, the most frequent one of its key.
+
+    Lines of one home are within tau edits of each other, so their links need no join.
+    A line that many call home and that has none itself is its own home.
+    """
+    half = tau // 2
+    frequent = members.join(held.select("id", "times"), "id").groupBy("key").agg(F.max(F.struct("times", "id")).alias("top"))
+    asked = members.join(frequent, "key").select("id", F.col("top.id").alias("home")).where("id <> home").distinct()
+    signs = held.select("id", "words", "letters", "line")
+    there = signs.toDF("home", "words_h", "letters_h", "line_h")
+    few = (_apart_in("words", "words_h") <= BITS_AN_EDIT * half) & (_apart_in("letters", "letters_h") <= PAIRS_AN_EDIT * half)
+    met = asked.join(signs, "id").join(there, "home").where(few & near(F.col("line"), F.col("line_h"), half))
+    # Of several homes the most frequent; lines of one hash are told apart later, so they have none.
+    best = met.join(held.select(F.col("id").alias("home"), "times"), "home").groupBy("id").agg(F.max(F.struct("times", "home")).alias("top"))
+    return best.select("id", F.col("top.home").alias("home"))
+
+
+def candidates(members: DataFrame, held: DataFrame, tau: int = TAU) -> DataFrame:
+    """Pairs (a, b) of ids of different homes that share a key and whose signatures are near enough.
+
+    `held` has id, home, words and letters.
+    """
+    seen = members.join(held.select("id", "home", "words", "letters"), "id")
+    mixed = seen.groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("key")
+    seen = seen.join(mixed.hint("shuffle_hash"), "key")
+    index = seen.where("own").drop("own")
+    probes = seen.drop("own").withColumnsRenamed({c: f"{c}_b" for c in ("id", "home", "words", "letters")})
+    few = (_apart_in("words", "words_b") <= BITS_AN_EDIT * tau) & (_apart_in("letters", "letters_b") <= PAIRS_AN_EDIT * tau)
+    met = index.join(probes, "key").where((F.col("home") != F.col("home_b")) & few)
+    return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
 def similar(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """Pairs (id, id2, at, other_at) of different lines within `tau` edits, both ways.
+    """Per line with others within `tau` edits: id, id2, the number of these links, and first, the earliest place of those lines and its own.
 
-    `texts` has one row per line: id, id2, at, line, and the signature sig of long lines.
+    `texts` has one row per line: id, id2, at, times, line and its length n.
     """
-    n = F.char_length("line")
-    long_lines = texts.where(n >= least).select("id", "line", "sig", n.alias("n"))
-    index = long_lines.select("id", "sig", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probes = long_lines.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key")).where("key is not null")
-    few = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b")).cast("long").bitwiseAND(_long(0xFFFFFFFF))) <= BITS_AN_EDIT * tau
-    met = index.hint("shuffle_hash").join(probes, "key").where((F.col("id") != F.col("id_b")) & few)
-    pairs = stage(met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-    free_shuffles(texts.sparkSession)
+    spark = texts.sparkSession
+    members = stage(members_of(texts, tau, least))
+    free_shuffles(spark)
     # Two lines of one 64-bit hash both take part here, so nothing rests on the hash.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = stage(texts.join(asked.hint("shuffle_hash"), "id").select("id", "id2", "at", "line"))
-    free_shuffles(texts.sparkSession)
+    asked = members.select("id").distinct()
+    signed = texts.join(asked.hint("shuffle_hash"), "id").select("id", "id2", "at", "times", "line")
+    held = stage(signed.withColumns({"words": signature(F.col("line")), "letters": letter_signature(F.col("line"))}))
+    free_shuffles(spark)
+    alone = held.groupBy("id").agg(F.count("*").alias("lines")).where("lines = 1").select("id")
+    found = homes_of(members, held, tau).join(alone, "id").join(alone.withColumnRenamed("id", "home"), "home").select("id", "home")
+    homes = stage(found)
+    named = held.join(homes, "id", "left").withColumn("home", F.coalesce("home", "id"))
+    pairs = stage(candidates(members, named, tau))
     one = held.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
     two = held.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
     both = pairs.join(one, "a").join(two, "b").where(near(F.col("line_a"), F.col("line_b"), tau))
     links = stage(both.select("a", "a2", "at_a", "b", "b2", "at_b"))
-    ways = [("a", "a2", "at_a", "at_b"), ("b", "b2", "at_b", "at_a")]
-    there, back = (links.select(*[F.col(c).alias(k) for c, k in zip(w, ("id", "id2", "at", "other_at"), strict=True)]) for w in ways)
-    return there.union(back)
+    there = links.select(F.col("a").alias("id"), F.col("a2").alias("id2"), F.lit(1).cast("long").alias("links"), F.least("at_a", "at_b").alias("first"))
+    back = links.select(F.col("b").alias("id"), F.col("b2").alias("id2"), F.lit(1).cast("long").alias("links"), F.least("at_a", "at_b").alias("first"))
+    groups = named.groupBy("home").agg((F.count("*") - 1).alias("links"), F.min("at").alias("first"), F.min("id").alias("low"), F.max("id").alias("high"))
+    groups = groups.where("low <> high").select("home", "links", "first")
+    inside = named.select("id", "id2", "home").join(groups, "home").select("id", "id2", "links", "first")
+    return there.union(back).union(inside).groupBy("id", "id2").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
 
 
 def judged_rows(docs: DataFrame, tau: int = TAU, least: int = LEAST, text: str = "text") -> DataFrame:
     """Per row (_row, _tag) with lines: n_lines, n_exact and n_near lines that go, n_links of its
     different lines to other texts, and the places that go."""
     lines = lines_of(docs, text)
-    first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line"))
-    texts = stage(first.withColumn("sig", F.when(F.char_length("line") >= least, signature(F.col("line")))))
+    first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.first("line").alias("line"))
+    texts = stage(first.withColumn("n", F.char_length("line")))
     free_shuffles(docs.sparkSession)
-    found = similar(texts, tau, least).groupBy("id", "id2").agg(F.count("*").alias("links"), (F.min("other_at") < F.first("at")).alias("later"))
+    found = similar(texts, tau, least)
     # Staged, so that the join below is a plain one whose hot lines Spark can split.
-    verdict = stage(texts.select("id", "id2", F.col("at").alias("first_at")).join(found, ["id", "id2"], "left"))
+    places = texts.select("id", "id2", F.col("at").alias("first_at")).join(found, ["id", "id2"], "left")
+    verdict = stage(places.select("id", "id2", "first_at", "links", (F.col("first") < F.col("first_at")).alias("later")))
     drop_staged(texts)
     free_shuffles(docs.sparkSession)
     exact = F.col("at") != F.col("first_at")

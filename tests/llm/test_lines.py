@@ -45,12 +45,13 @@ def test_segments_and_substrings_miss_no_pair(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     keys = df.select(
         "a", "b", *[f(F.col(c), F.char_length(c), 2, *extra).alias(f"{c}{k}") for c in "ab" for k, f, extra in (("i", L.index_keys, ()), ("p", L.probe_keys, (1,)))],
-        *[L.signature(F.col(c)).alias(f"s{c}") for c in "ab"],
+        *[L.signature(F.col(c)).alias(f"s{c}") for c in "ab"], *[L.letter_signature(F.col(c)).alias(f"l{c}") for c in "ab"],
     ).collect()
     for r in keys:
-        assert distance(r.a, r.b) > 2 or bin((r.sa ^ r.sb) & 0xFFFFFFFF).count("1") <= L.BITS_AN_EDIT * 2
+        assert distance(r.a, r.b) > 2 or bin((r.sa ^ r.sb) & 0xFFFFFFFFFFFFFFFF).count("1") <= L.BITS_AN_EDIT * 2
+        assert distance(r.a, r.b) > 2 or bin((r.la ^ r.lb) & 0xFFFFFFFFFFFFFFFF).count("1") <= L.PAIRS_AN_EDIT * 2
         assert distance(r.a, r.b) > 2 or (set(r.ai) & set(r.bp) - {None}) or (set(r.bi) & set(r.ap) - {None})
-        assert len(r.ai) == 3 and len(r.ap) == 12
+        assert len(r.ai) == 3 and len(r.ap) == 12 and [r.ap[i] for i in L.own_places()] == r.ai
 
 
 def brute(rows):
@@ -128,6 +129,52 @@ def test_rows_without_lines_left_go_and_columns_stay(spark):
     assert L.without_repeats(df.limit(0)).count() == 0 and L.report(df.limit(0)).count() == 0
 
 
+def changes_of_one_line(n):
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("abcdefghij ") for _ in range(60))
+    lines = {base: None}
+    while len(lines) < n:
+        lines[edited(rnd, base, 1).strip()] = None
+    return list(lines)
+
+
+def test_homes_equal_brute_force(spark):
+    lines = changes_of_one_line(50)
+    rows = [(i, line) for i, line in enumerate(lines)] + [(1000, lines[0]), (1001, lines[0] + "xy"), (1002, lines[0] + "xyz")]
+    got = L.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_exact, r.n_near, r.n_links, r.n_chars_left, r.text_sha256) for r in got) == brute(rows)
+
+
+def test_changes_of_one_line_are_linked_without_forming_their_pairs(spark):
+    for n in (200, 400):
+        lines = changes_of_one_line(n)
+        rows = [(i, line) for i, line in enumerate(lines)] + [(1000, lines[0])]
+        got = {r.doc_id: r for r in L.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[i].n_links == n - 1 for i in range(n)) and sum(r.n_near for r in got.values()) == n - 1
+        texts = spark.createDataFrame([(hash(t), t, len(t), 1 + (t == lines[0])) for t in lines], "id long, line string, n int, times long")
+        held = texts.select("id", "times", "line", L.signature(F.col("line")).alias("words"), L.letter_signature(F.col("line")).alias("letters"))
+        members = L.members_of(texts)
+        assert members.count() < 20 * n
+        named = held.join(L.homes_of(members, held), "id", "left").withColumn("home", F.coalesce("home", "id"))
+        assert L.candidates(members, named).count() < 20 * n
+
+
+def test_lines_that_differ_in_a_few_words_do_not_meet(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    base = rnd.choices(words, k=20)
+    lines = set()
+    for _ in range(120):
+        line = list(base)
+        for i in rnd.sample(range(10, 20), 2):
+            line[i] = rnd.choice(words)
+        lines.add(" ".join(line))
+    texts = spark.createDataFrame([(hash(t), t, len(t), 1) for t in lines], "id long, line string, n int, times long")
+    held = texts.select("id", F.col("id").alias("home"), L.signature(F.col("line")).alias("words"), L.letter_signature(F.col("line")).alias("letters"))
+    near = sum(a < b and abs(len(a) - len(b)) <= L.TAU and distance(a, b) <= L.TAU for a in lines for b in lines)
+    assert near <= L.candidates(L.members_of(texts), held).count() < 3 * len(lines)
+
+
 def test_plan_has_no_python(spark, capsys):
     L.report(frame(spark, some_rows())).explain()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", capsys.readouterr().out)
