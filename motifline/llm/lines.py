@@ -76,45 +76,33 @@ def letter_signature(line: Column) -> Column:
     return _given(F.split(line, ""), parities)
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
     """First place (from 1) and length of segment i of tau + 1: the last ones are longer by one if need be."""
     parts = tau + 1
     short = F.floor(length / parts).cast("int")
     longer = (length % parts).cast("int")
-    before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    size = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+    before = F.greatest(F.lit(0), i - (F.lit(parts) - longer))
+    size = short + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)
     return short * i + before + 1, size
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+def keys_of(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(key, id, own): the substrings of each line (id, line, n) that can equal a segment of a line up to `tau` shorter.
 
-
-def index_keys(line: Column, n: Column, tau: int = TAU) -> Column:
-    keys = []
-    for i in range(tau + 1):
-        start, size = _segment(n, i, tau)
-        keys.append(_key(n, i, F.substring(line, start, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, n: Column, tau: int = TAU, least: int = LEAST) -> Column:
-    """Keys of the substrings that can equal a segment of a line up to `tau` shorter."""
-    keys = []
+    own says that the substring is a segment of the line itself.
+    """
+    places = []
     for gap in range(tau + 1):
-        length = n - gap
         for i in range(tau + 1):
-            start, size = _segment(length, i, tau)
             low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
-            for shift in range(low, high + 1):
-                inside = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= n)
-                keys.append(F.when(inside, _key(length, i, F.substring(line, start + shift, size))))
-    return F.array(*keys)
-
-
-def own_places(tau: int = TAU) -> list[int]:
-    """Where `probe_keys` holds the keys of `index_keys`: those of the line's own length, unshifted."""
-    return [i + sum(2 * min(k, tau - k) for k in range(i)) + min(i, tau - i) for i in range(tau + 1)]
+            places += [(gap, i, shift) for shift in range(low, high + 1)]
+    # Places first: short expressions over plain columns are compiled, one long one for each place is not.
+    table = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for g, i, s in places])
+    rows = texts.select("id", "line", "n", F.inline(table)).withColumn("length", F.col("n") - F.col("gap"))
+    start, size = _segment(F.col("length"), F.col("i"), tau)
+    rows = rows.select("id", "line", "n", "length", "i", (start + F.col("shift")).alias("start"), size.alias("size"), ((F.col("gap") == 0) & (F.col("shift") == 0)).alias("own"))
+    inside = rows.where((F.col("length") >= least) & (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    return inside.select(F.xxhash64("length", "i", F.substring("line", F.col("start"), F.col("size"))).alias("key"), "id", "own")
 
 
 def _given(value: Column, use) -> Column:
@@ -219,9 +207,7 @@ def members_of(texts: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFram
 
     A key is only counted here, so this grows with the lines and not with what they share.
     """
-    long_lines = texts.where(F.col("n") >= least).select("id", "line", "n")
-    rows = long_lines.select("id", F.posexplode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("pos", "key")).where("key is not null")
-    rows = rows.select("key", "id", F.col("pos").isin(own_places(tau)).alias("own")).repartition("key")
+    rows = keys_of(texts.where(F.col("n") >= least), tau, least).repartition("key")
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("any_own"))
     shared = shared.where("low <> high and any_own").select("key")
     return rows.join(shared.hint("shuffle_hash"), "key").distinct()

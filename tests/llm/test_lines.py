@@ -42,16 +42,23 @@ def test_segments_and_substrings_miss_no_pair(spark):
     for _ in range(600):
         a = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(6, 30)))
         rows.append((a, edited(rnd, a, rnd.randint(0, 2))))
-    df = spark.createDataFrame(rows, "a string, b string")
-    keys = df.select(
-        "a", "b", *[f(F.col(c), F.char_length(c), 2, *extra).alias(f"{c}{k}") for c in "ab" for k, f, extra in (("i", L.index_keys, ()), ("p", L.probe_keys, (1,)))],
-        *[L.signature(F.col(c)).alias(f"s{c}") for c in "ab"], *[L.letter_signature(F.col(c)).alias(f"l{c}") for c in "ab"],
-    ).collect()
-    for r in keys:
-        assert distance(r.a, r.b) > 2 or bin((r.sa ^ r.sb) & 0xFFFFFFFFFFFFFFFF).count("1") <= L.BITS_AN_EDIT * 2
-        assert distance(r.a, r.b) > 2 or bin((r.la ^ r.lb) & 0xFFFFFFFFFFFFFFFF).count("1") <= L.PAIRS_AN_EDIT * 2
-        assert distance(r.a, r.b) > 2 or (set(r.ai) & set(r.bp) - {None}) or (set(r.bi) & set(r.ap) - {None})
-        assert len(r.ai) == 3 and len(r.ap) == 12 and [r.ap[i] for i in L.own_places()] == r.ai
+    lines = [line for pair in rows for line in pair]
+    texts = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(lines)], "id long, line string, n int")
+    own, all_keys = ([set() for _ in lines] for _ in range(2))
+    for r in L.keys_of(texts, 2, 1).collect():
+        all_keys[r.id].add(r.key)
+        if r.own:
+            own[r.id].add(r.key)
+    signs = {r.id: r for r in texts.select("id", L.signature(F.col("line")).alias("words"), L.letter_signature(F.col("line")).alias("letters")).collect()}
+    near = 0
+    for k in range(0, len(lines), 2):
+        if distance(lines[k], lines[k + 1]) <= 2:
+            near += 1
+            assert own[k] & all_keys[k + 1] or own[k + 1] & all_keys[k]
+            for name, bits in (("words", L.BITS_AN_EDIT), ("letters", L.PAIRS_AN_EDIT)):
+                assert ((signs[k][name] ^ signs[k + 1][name]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 2 * bits
+        assert len(own[k]) <= 3 and len(all_keys[k]) <= 12
+    assert near > 500
 
 
 def brute(rows):
