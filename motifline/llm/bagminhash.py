@@ -23,7 +23,6 @@ from motifline.llm.common import apart
 from motifline.plans.blocks import stage
 
 WORDS, BANDS, ROWS = 5, 24, 5
-BIG = 64
 CHUNK_BYTES = 2 << 20
 # A fixed odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -133,16 +132,16 @@ def band_keys(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return key.view(np.int64)
 
 
-def overlap(a: bytes, b: bytes) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """Of two packed bags: common weight, weighted Jaccard similarity, the shingles that weigh more in the first, and by how much."""
+def overlap(a: bytes, b: bytes) -> tuple[int, int, float, np.ndarray, np.ndarray]:
+    """Of two packed bags: weight of the first, common weight, weighted Jaccard similarity, the shingles that weigh more in the first, and by how much."""
     x, y = (np.frombuffer(v, dtype="<u8").reshape(2, -1) for v in (a, b))
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     both = np.minimum(x[1][i], y[1][j])
     over = x[1].copy()
     over[i] -= both
-    common = int(both.sum())
-    whole = int(x[1].sum()) + int(y[1].sum()) - common
-    return common, common / whole if whole else 0.0, x[0][over > 0], over[over > 0]
+    common, size = int(both.sum()), int(x[1].sum())
+    whole = size + int(y[1].sum()) - common
+    return size, common, common / whole if whole else 0.0, x[0][over > 0], over[over > 0]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -167,7 +166,7 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(signatures(len(texts), doc, shingle, weight, BANDS * ROWS))
         # A text without words has no keys.
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(keys[size > 0].reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), lists], names=["digest", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["digest", "keys"])
 
 
 def _bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,27 +197,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b, excess) of digests with common weight, similarity, and, if `excess` says so,
+def compared(pairs: DataFrame, bags: DataFrame, excess: bool) -> DataFrame:
+    """The pairs (a, b) of digests with the weight of a, common weight, similarity, and, if `excess` says so,
     the shingles that weigh more in a than in b, and by how much."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, like, over, extra = [], [], [], []
-            for excess, x, y in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
-                c, s, o, e = overlap(x, y)
+            sizes, common, like, over, extra = [], [], [], [], []
+            for x, y in zip(*[batch.column(i).to_pylist() for i in (2, 3)], strict=True):
+                z, c, s, o, e = overlap(x, y)
+                sizes.append(z)
                 common.append(c)
                 like.append(s)
                 over.append(o.view(np.int64) if excess else None)
                 extra.append(e.astype(np.int64) if excess else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(like, pa.float64()), *[pa.array(x, pa.list_(pa.int64())) for x in (over, extra)]],
-                names=["a", "b", "common", "like", "over", "extra"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(like, pa.float64()), *[pa.array(x, pa.list_(pa.int64())) for x in (over, extra)]],
+                names=["a", "b", "size", "common", "like", "over", "extra"],
             )
 
     one = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("_a")), "a")
     two = one.join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("_b")), "b")
-    return two.select("a", "b", "excess", "_a", "_b").mapInArrow(task, "a string, b string, common long, like double, over array<long>, extra array<long>")
+    return two.select("a", "b", "_a", "_b").mapInArrow(task, "a binary, b binary, size long, common long, like double, over array<long>, extra array<long>")
 
 
 def common_share(least: float) -> float:
@@ -226,43 +226,86 @@ def common_share(least: float) -> float:
     return least / (1 + least) * (1 - 1e-9)
 
 
+def digest_of(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def unmet(stars: DataFrame, least: float) -> DataFrame:
+    """Pairs (digest, _d) of different classes around one pivot that may still be near.
+
+    `stars` has a row for each member of a pivot b: digest, label, top (the label of b),
+    size, common (weight in common with b), over and extra (the shingles that it has
+    beyond b, and how much of each). A near pair has |u & v| >= least * |u|, the same of
+    v, and |u & v| >= least / (1 + least) * (|u| + |v|). What u and v share is at most
+    min(|u & b|, |v & b|) and what both have beyond b of the same shingles. So a pair
+    either shares such shingles of enough weight or is near enough by its sizes alone.
+    """
+    share = common_share(least)
+    close = F.least("size", "_size") >= F.greatest("size", "_size") * least
+    # Each pair once: members of the pivot's class meet those outside, and these each other.
+    apart_ = close & (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("top")) | (F.col("digest") < F.col("_d")))
+    mixed = stars.where("label <> top").select("b").distinct()
+    rows = stage(stars.join(mixed, "b", "left_semi"))
+    every = rows.select("b", "digest", "size", "common", "label", "top", F.explode(F.arrays_zip("over", "extra")).alias("x"))
+    every = every.select("*", "x.over", "x.extra", (least * F.col("size") - F.col("common")).alias("need")).drop("x")
+    # u needs least * |u| - |u & b| of common weight beyond b. Its most frequent shingles that
+    # together weigh less can be left out: a near pair still shares one of the others. Frequency
+    # orders the shingles of all members alike, so what two members leave out in common weighs
+    # at most the greater of what each leaves out.
+    often = every.groupBy("b", "over").agg(F.count("*").alias("often"))
+    member = Window.partitionBy("b", "digest")
+    rest = member.orderBy("often", "over").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # A shingle that one member alone has meets nothing, but counts in the weights above.
+    ranked = every.join(often, ["b", "over"]).withColumn("rest", F.sum("extra").over(rest))
+    left = F.coalesce(F.max(F.when(F.col("rest") < F.col("need"), F.col("rest"))).over(member), F.lit(0))
+    beyond = stage(ranked.withColumn("left", left).where((F.col("rest") >= F.col("need")) & (F.col("often") > 1)).drop("rest", "need", "often"))
+    there = ["digest", "size", "common", "label", "extra", "left"]
+    outside = beyond.where("label <> top").select("b", "over", *[F.col(c).alias("_d" if c == "digest" else f"_{c}") for c in there])
+    shared = (
+        beyond.join(outside, ["b", "over"]).where(apart_)
+        .groupBy("b", "digest", "_d")
+        .agg(
+            F.sum(F.least("extra", "_extra")).alias("beyond"),
+            F.max(F.greatest("left", "_left") + F.least("common", "_common")).alias("most"),
+            F.max(F.col("size") + F.col("_size")).alias("sizes"),
+        )
+    )
+    met = shared.where(F.col("beyond") + F.col("most") >= share * F.col("sizes")).select("digest", "_d")
+    low = rows.groupBy("b").agg(F.min("size").alias("_low"))
+    loose = (
+        rows.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))
+        .select("b", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"), F.col("common").alias("_common"))
+    )
+    bound = F.least("common", "_common") >= share * (F.col("size") + F.col("_size"))
+    # A member outside is loose itself if it can be near another of these.
+    sized = rows.join(loose, "b").where(apart_ & bound).select("digest", "_d")
+    return met.union(sized)
+
+
 def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
     """(digest, label): classes of the texts that are near another text, by links of at least `least`.
 
     Candidates share a band of registers. In each band a member is compared with the
-    band's pivot, its best connected text, which gives most links. Then pairs of
-    different classes are looked at. In bands of up to BIG members each member outside
-    the pivot's class is compared with those of other classes. In larger ones a pair
-    (u, v) is left out only if it can't be near: |u & v| is at most |u & p| and at most
-    |v & p| for the pivot p, plus what both have beyond p of the same shingles, and a
-    near pair has |u & v| >= least / (1 + least) * (|u| + |v|). So pairs meet by the
-    shingles that they have beyond p, or by their sizes in the few cases that the bound
-    leaves open without any. No link that could join two classes is lost, and members of
-    one class are not compared.
+    band's pivot, its best connected text, which gives most links. Pairs of different
+    classes in a band are then looked at, as far as their facts about the pivot leave
+    open whether they are near. No link that could join two classes is lost, and
+    members of one class are not compared.
     """
-    share = common_share(least)
-    texts = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text).alias("_text"))
-    made = stage(texts.mapInArrow(_keys_of, "digest string, size long, keys array<long>"))
-    nodes = made.dropDuplicates(["digest"])
-    rows = nodes.select("digest", "size", F.posexplode("keys").alias("band", "key"))
-    shared = stage(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    texts = docs.select(digest_of(text).alias("digest"), F.col(text).alias("_text"))
+    made = stage(texts.mapInArrow(_keys_of, "digest binary, keys array<long>"))
+    # Registers of different bands hardly ever give one key; if they do, texts are compared in vain.
+    rows = made.dropDuplicates(["digest"]).select("digest", F.explode("keys").alias("key"))
+    shared = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # Only members of shared bands go on.
-    members = stage(rows.join(shared, ["band", "key"]))
+    members = stage(rows.join(shared, "key"))
     weight = members.groupBy("digest").agg(F.sum("n").alias("degree"))
     ranked = members.join(weight, "digest")
-    best = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "size")).alias("p")).selectExpr("band", "key", "p.digest as pivot", "p.size as _size")
-    placed = stage(members.join(best, ["band", "key"]))
+    best = ranked.groupBy("key").agg(F.max(F.struct("degree", "digest")).alias("p")).select("key", F.col("p.digest").alias("pivot"))
     bags = stage(
-        texts.join(weight.select("digest").hint("shuffle_hash"), "digest").select("digest", "_text").mapInArrow(_bags_of, "digest string, bag binary").dropDuplicates(["digest"])
-    )
-    close = F.least("size", "_size") >= F.greatest("size", "_size") * least
-    star = (
-        placed.where((F.col("digest") != F.col("pivot")) & (close | (F.col("n") > BIG)))
-        .groupBy(F.col("digest").alias("a"), F.col("pivot").alias("b"))
-        .agg((F.max("n") > BIG).alias("excess"), F.max("size").alias("size"))
+        texts.join(weight.select("digest").hint("shuffle_hash"), "digest").select("digest", "_text").mapInArrow(_bags_of, "digest binary, bag binary").dropDuplicates(["digest"])
     )
-    sizes = star.select("a", "b", "size")
-    facts = stage(compared(star.select("a", "b", "excess"), bags).join(sizes, ["a", "b"]))
+    star = members.join(best, "key").where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()
+    facts = stage(compared(star, bags, excess=True))
     links = stage(facts.where(F.col("like") >= least).select("a", "b"))
     first = components(links)
 
@@ -270,31 +313,9 @@ def classes(docs: DataFrame, least: float = 0.8, text: str = "text") -> DataFram
         found = first.select(F.col("node").alias(column), F.col("label").alias("_found"))
         return df.join(found, column, "left").withColumn(name, F.coalesce("_found", column)).drop("_found")
 
-    # Small bands: members outside the pivot's class against members of other classes.
-    small = placed.where(F.col("n") <= BIG)
-    named = stage(labelled(labelled(small, "digest", "label"), "pivot", "top").select("band", "key", "digest", "size", "label", "top"))
-    others = named.where("label <> top").select("band", "key", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"))
-    crossed = named.join(others, ["band", "key"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
-    # Large bands: by shingles beyond the pivot's, or by the sizes.
-    big = stage(labelled(labelled(facts.where("over is not null"), "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over", "extra"))
-    every = big.select("b", "digest", "size", "label", "top", (least * F.col("size") - F.col("common")).alias("need"), F.explode(F.arrays_zip("over", "extra")).alias("x"))
-    every = every.select("*", "x.over", "x.extra").drop("x")
-    # u needs least * |u| - |u & p| of common weight beyond p. Its most frequent shingles that
-    # together weigh less can be left out: a near pair still shares one of the others.
-    often = every.groupBy("b", "over").agg(F.count("*").alias("often"))
-    rest = Window.partitionBy("b", "digest").orderBy("often", "over").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    beyond = stage(every.join(often, ["b", "over"]).withColumn("rest", F.sum("extra").over(rest)).where(F.col("rest") >= F.col("need")))
-    outside = beyond.where("label <> top").selectExpr("b", "over", "digest as _d", "size as _size", "label as _label")
-    met = beyond.join(outside, ["b", "over"]).where(close & (F.col("label") != F.col("_label"))).select("digest", "_d")
-    low = big.groupBy("b").agg(F.min("size").alias("_low"))
-    loose = (
-        big.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))
-        .select("b", F.col("digest").alias("_d"), F.col("size").alias("_size"), F.col("label").alias("_label"), F.col("common").alias("_common"))
-    )
-    bound = F.least("common", "_common") >= share * (F.col("size") + F.col("_size"))
-    sized = big.join(loose, "b").where(close & bound & (F.col("label") != F.col("_label"))).select("digest", "_d")
-    pairs = crossed.union(met).union(sized).select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct()
-    more = stage(compared(pairs.withColumn("excess", F.lit(False)), bags).where(F.col("like") >= least).select("a", "b"))
+    stars = labelled(labelled(facts, "a", "label"), "b", "top").select("b", F.col("a").alias("digest"), "size", "common", "label", "top", "over", "extra")
+    pairs = unmet(stars, least).select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct()
+    more = stage(compared(pairs, bags, excess=False).where(F.col("like") >= least).select("a", "b"))
     if more.isEmpty():
         return first.withColumnRenamed("node", "digest")
     return components(links.union(more)).withColumnRenamed("node", "digest")
@@ -308,7 +329,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     same words. A class without any doc_id has none. Other columns don't matter.
     """
     found = classes(docs, least, text)
-    light = docs.select(F.col(key).alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
+    light = docs.select(F.col(key).alias("doc_id"), digest_of(text).alias("digest"))
     named = light.join(found, "digest", "left").select("doc_id", F.coalesce("label", "digest").alias("label"))
     firsts = stage(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return named.join(firsts, "label").select("doc_id", "class_id", "class_size")
@@ -325,14 +346,14 @@ def keep_first(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def _first_rows(docs: DataFrame, least: float) -> DataFrame:
     found = classes(docs, least)
-    light = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    light = docs.select("doc_id", digest_of("text").alias("_digest"))
     named = light.join(found.withColumnRenamed("digest", "_digest"), "_digest", "left").select("doc_id", "_digest", F.coalesce("label", "_digest").alias("_label"))
     # Nulls are last; of equal ids the smaller digest stays.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_digest"))
     kept = stage(named.groupBy("_label").agg(first.alias("f")).selectExpr("f.doc_id as _kept", "f._digest as _digest"))
     again = light.groupBy("doc_id", "_digest").agg(F.count("*").alias("_rows"))
     kept = kept.join(again, kept["_kept"].eqNullSafe(again["doc_id"]) & (kept["_digest"] == again["_digest"])).select(kept["_kept"], kept["_digest"], "_rows")
-    whole = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit(""))))
+    whole = docs.withColumn("_own", digest_of("text"))
     stay = whole.join(kept.hint("shuffle_hash"), whole["doc_id"].eqNullSafe(kept["_kept"]) & (whole["_own"] == kept["_digest"])).select(*docs.columns, "_own", "_rows")
     once, repeated = stay.where("_rows = 1").select(docs.columns), stay.where("_rows > 1").dropDuplicates(["_own"]).select(docs.columns)
     return once.union(repeated)

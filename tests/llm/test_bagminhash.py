@@ -108,8 +108,7 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
-def test_large_bands_take_the_other_way_to_the_same_classes(spark, monkeypatch):
-    monkeypatch.setattr(B, "BIG", 1)
+def test_crowded_bands_give_the_same_classes(spark):
     rows = some_rows()
     rnd = random.Random(8)
     base = [f"v{i}" for i in range(120)]
@@ -128,6 +127,30 @@ def test_bound_of_large_bands_keeps_pairs_at_exactly_the_threshold():
     assert not any(4 * k - 1 >= B.common_share(0.8) * (9 * k) for k in range(1, 20_000))
 
 
+def test_compared_pairs_of_a_group_of_far_copies_grow_with_its_members(spark, monkeypatch):
+    """Copies with about 0.75 in common with a base and less with each other: every pair is a likely candidate."""
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 241):
+        copy = list(base)
+        for place in rnd.sample(range(5, 145), 5):
+            copy[place] = rnd.choice([f"n{i}-{place}", "one", "two", "three"])
+        rows.append((i, " ".join(copy)))
+    asked, whole = [], B.compared
+
+    def counted(pairs, bags, excess):
+        asked.append(pairs.count())
+        return whole(pairs, bags, excess)
+
+    monkeypatch.setattr(B, "compared", counted)
+    for n in (121, 241):
+        got = B.near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()
+        assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute_classes(rows[:n])
+    star, beyond, star2, beyond2 = asked
+    assert star2 < 3 * star and beyond < 4 * 120 and beyond2 < 4 * 240
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = some_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as label")
