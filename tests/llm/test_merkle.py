@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from hashlib import sha256
 
 from motifline.llm import merkle
@@ -44,6 +45,38 @@ def test_edits_are_located_and_cost_little():
         assert rebuilt + text[end:] == changed
 
 
+def plain_likeness(a, b):
+    """From the printed fingerprints alone: counted sections, then paragraphs, then leaves in common."""
+    length = lambda part: sum(int(leaf[8:], 16) for p in part.split(":")[-1].split(",") for leaf in p.rpartition("-")[2].split("."))
+    x, y = (Counter(filter(None, f.partition("|")[2].split(";"))) for f in (a, b))
+    whole = sum(length(p) * n for c in (x, y) for p, n in c.items())
+    if a.partition("|")[0] == b.partition("|")[0]:
+        return 1.0
+    common = 0
+    for parts in (lambda s: s.partition(":")[2].split(","), lambda p: p.partition("-")[2].split("."), None):
+        common += sum(length(p) * n for p, n in (x & y).items())
+        x, y = x - y, y - x
+        if parts:
+            x, y = (sum((Counter({q: k * n for q, k in Counter(parts(p)).items()}) for p, n in c.items()), Counter()) for c in (x, y))
+    return min(2 * common / whole, 1 - 1e-9)
+
+
+def test_likeness_equals_a_plain_count_over_fingerprints():
+    rnd = random.Random(9)
+    seen = set()
+    for _ in range(60):
+        text = some_text(rnd, rnd.randint(0, 12))
+        lines = text.split("\n") + some_text(rnd, rnd.randint(0, 4)).split("\n")
+        rnd.shuffle(lines)
+        at = rnd.randint(0, len(text))
+        for other in (text, "\n".join(lines), text[:at] + "new " + text[at:], text + "\n" + text, some_text(rnd, 5), ""):
+            a, b = Tree.of(text), Tree.of(other)
+            got = merkle.likeness(a, b)
+            assert got == merkle.likeness(b, a) == plain_likeness(str(a), str(b)) and 0 <= got <= 1
+            seen.add(round(got, 1))
+    assert len(seen) > 6
+
+
 def brute(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     out = []
