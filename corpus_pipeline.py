@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
-documents.
+documents. A stage first lets go of what the driver still holds of the one before: plans,
+broadcast tables and shuffles.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motifline.llm import bagminhash, bpe, lines, raking, weaklabels
-from motifline.llm.common import table
+from motifline.llm.common import free_shuffles, table
 from motifline.plans.blocks import stage
 
 #: Expected share of the tokens that the mixture keeps.
@@ -24,16 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has, up to two edits, go; so do documents left without a line."""
+    free_shuffles(spark)
     return lines.without_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    free_shuffles(spark)
     return bagminhash.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics come near their target shares."""
+    free_shuffles(spark)
     return raking.sample(docs, KEPT_TOKENS)
 
 
@@ -41,6 +45,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the tokens of each text and their number."""
     import public_tokenizers
 
+    free_shuffles(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source", "lang"))
 
 

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.common import apart
+from motifline.llm.common import apart, free_shuffles
 from motifline.plans.blocks import stage
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -27,6 +27,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Raking ends when no marginal is off by this share of its target; targets that
 #: can't be met end, with a warning, after MOST_ROUNDS or when STALLED rounds have not taken a tenth off the gap.
 TOLERANCE, MOST_ROUNDS, STALLED = 1e-12, 1000, 25
+#: Rounds after which the driver lets go of what earlier ones left in its memory.
+FREED_EVERY = 8
 #: Rounds of the SQL, which has no test of the gap: enough for the tables it is compared on.
 ROUNDS, BUDGET, CAP_STEPS = 48, 0.6, 12
 WORD = r"[^ \t\n\r]+"
@@ -109,6 +111,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROU
         gaps.append(reduce(DataFrame.union, changes).agg(F.max("_gap")).first()[0] or 0.0)
         if gaps[-1] <= tolerance or len(gaps) > STALLED and gaps[-1] > 0.9 * gaps[-1 - STALLED]:
             break
+        if len(gaps) % FREED_EVERY == 0:
+            free_shuffles(cells.sparkSession)
     if gaps and gaps[-1] > tolerance:
         warnings.warn(f"raking ended after {len(gaps)} rounds with a marginal off by {gaps[-1]:.1e} of its target", stacklevel=2)
     return weighed(shares)

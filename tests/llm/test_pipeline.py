@@ -56,3 +56,15 @@ def test_stages_leave_columns_of_any_name_alone(spark, docs):
         rows = kept.collect()
         assert all(r[n] is not None and r[n].startswith(n) for r in rows for n in names)
         assert rows and all(r["_n"] == "_n" + r["_own"][4:] for r in rows)
+
+
+def test_stages_let_go_of_what_the_driver_holds(spark, sf, monkeypatch):
+    """Plans and broadcast tables of all stages together took more than the driver has."""
+    calls = []
+    monkeypatch.setattr(P, "free_shuffles", lambda s: calls.append("freed"))
+    for module, name in ((weaklabels, "keep_good"), (lines, "without_repeats"), (bagminhash, "keep_first"), (raking, "sample"), (bpe, "encode")):
+        monkeypatch.setattr(module, name, lambda docs, *_, n=name, **__: calls.append(n) or docs)
+    docs = spark.range(1)
+    for _, step in P.STAGES:
+        docs = step(spark, docs, sf)
+    assert calls == ["keep_good", "freed", "without_repeats", "freed", "keep_first", "freed", "sample", "freed", "encode"]
