@@ -12,6 +12,7 @@ register's, so a process stops after few of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from motifline.plans.blocks import stage
 
 WORDS, BANDS, ROWS = 5, 24, 5
 CHUNK_BYTES = 2 << 20
+#: Ratio of the sizes that a band of sizes holds.
+SIZE_BAND = 1.1
 # A fixed odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -230,6 +233,36 @@ def digest_of(text: str) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def size_band(size: F.Column) -> F.Column:
+    return F.floor(F.log(size) / math.log(SIZE_BAND))
+
+
+def shared_beyond(beyond: DataFrame, least: float) -> DataFrame:
+    """Pairs (digest, _d) around one pivot b and one shingle that both have beyond it, which a near pair may share first.
+
+    `beyond` has a row for each such shingle of a member, and as `rest` what the member
+    has beyond b of this shingle and all more frequent ones. Of a pair, digest is the
+    smaller. A near pair needs so much common weight beyond b, by the sizes and what both
+    share with b, that the first shingle it shares leaves that much in either member. So
+    the smaller is met by what it needs with a member of its own size, and the larger, for
+    each band of sizes below its own, by what it needs with the least size of the band.
+    """
+    share = common_share(least)
+    small = beyond.where(F.col("rest") >= 2 * share * F.col("size") - F.col("common")).withColumn("band", size_band(F.col("size")))
+    large, smallest = None, least * (1 - 1e-9)
+    lowest = size_band(F.col("_size") * smallest)
+    renamed = beyond.select("b", "over", *[F.col(c).alias("_d" if c == "digest" else f"_{c}") for c in beyond.columns if c not in ("b", "over")])
+    for below in range(int(-math.log(smallest) / math.log(SIZE_BAND)) + 2):
+        banded = renamed.withColumn("band", size_band(F.col("_size")) - below)
+        from_size = F.greatest(F.col("_size") * smallest, F.pow(F.lit(SIZE_BAND), "band") * (1 - 1e-9))
+        banded = banded.where((F.col("band") >= lowest) & (F.col("_rest") >= share * (F.col("_size") + from_size) - F.col("_common")))
+        large = banded if large is None else large.union(banded)
+    ordered = (F.col("size") < F.col("_size")) | ((F.col("size") == F.col("_size")) & (F.col("digest") < F.col("_d")))
+    needed = share * (F.col("size") + F.col("_size")) - F.least("common", "_common")
+    meet = ordered & (F.col("label") != F.col("_label")) & (F.col("size") >= F.col("_size") * smallest) & (F.least("rest", "_rest") >= needed)
+    return small.join(large, ["b", "over", "band"]).where(meet).withColumn("needed", needed)
+
+
 def unmet(stars: DataFrame, least: float) -> DataFrame:
     """Pairs (digest, _d) of different classes around one pivot that may still be near.
 
@@ -246,31 +279,24 @@ def unmet(stars: DataFrame, least: float) -> DataFrame:
     apart_ = close & (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("top")) | (F.col("digest") < F.col("_d")))
     mixed = stars.where("label <> top").select("b").distinct()
     rows = stage(stars.join(mixed, "b", "left_semi"))
-    every = rows.select("b", "digest", "size", "common", "label", "top", F.explode(F.arrays_zip("over", "extra")).alias("x"))
-    every = every.select("*", "x.over", "x.extra", (least * F.col("size") - F.col("common")).alias("need")).drop("x")
-    # u needs least * |u| - |u & b| of common weight beyond b. Its most frequent shingles that
-    # together weigh less can be left out: a near pair still shares one of the others. Frequency
-    # orders the shingles of all members alike, so what two members leave out in common weighs
-    # at most the greater of what each leaves out.
+    every = rows.select("b", "digest", "size", "common", "label", F.explode(F.arrays_zip("over", "extra")).alias("x"))
+    every = every.select("*", "x.over", "x.extra").drop("x")
+    # Frequency orders the shingles of all members alike. Of u's shingles from the first that it
+    # shares with v on, both must have what they need beyond b, least * |u| - |u & b| at the least.
     often = every.groupBy("b", "over").agg(F.count("*").alias("often"))
-    member = Window.partitionBy("b", "digest")
-    rest = member.orderBy("often", "over").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = Window.partitionBy("b", "digest").orderBy("often", "over").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # A shingle that one member alone has meets nothing, but counts in the weights above.
     ranked = every.join(often, ["b", "over"]).withColumn("rest", F.sum("extra").over(rest))
-    left = F.coalesce(F.max(F.when(F.col("rest") < F.col("need"), F.col("rest"))).over(member), F.lit(0))
-    beyond = stage(ranked.withColumn("left", left).where((F.col("rest") >= F.col("need")) & (F.col("often") > 1)).drop("rest", "need", "often"))
-    there = ["digest", "size", "common", "label", "extra", "left"]
-    outside = beyond.where("label <> top").select("b", "over", *[F.col(c).alias("_d" if c == "digest" else f"_{c}") for c in there])
-    shared = (
-        beyond.join(outside, ["b", "over"]).where(apart_)
+    beyond = stage(ranked.where((F.col("rest") >= least * (1 - 1e-9) * F.col("size") - F.col("common")) & (F.col("often") > 1)).drop("often"))
+    # Behind the last of these shingles both can share no more than either has left.
+    after = F.least(F.col("rest") - F.col("extra"), F.col("_rest") - F.col("_extra"))
+    met = (
+        shared_beyond(beyond, least)
         .groupBy("b", "digest", "_d")
-        .agg(
-            F.sum(F.least("extra", "_extra")).alias("beyond"),
-            F.max(F.greatest("left", "_left") + F.least("common", "_common")).alias("most"),
-            F.max(F.col("size") + F.col("_size")).alias("sizes"),
-        )
-    )
-    met = shared.where(F.col("beyond") + F.col("most") >= share * F.col("sizes")).select("digest", "_d")
+        .agg((F.sum(F.least("extra", "_extra")) + F.min(after)).alias("most"), F.max("needed").alias("needed"))
+        .where("most >= needed")
+        .select("digest", "_d")
+    )
     low = rows.groupBy("b").agg(F.min("size").alias("_low"))
     loose = (
         rows.where("label <> top").join(low, "b").where(F.col("common") >= share * (F.col("size") + F.col("_low")))

@@ -151,6 +151,29 @@ def test_compared_pairs_of_a_group_of_far_copies_grow_with_its_members(spark, mo
     assert star2 < 3 * star and beyond < 4 * 120 and beyond2 < 4 * 240
 
 
+def test_members_that_share_a_passage_beyond_their_pivot_do_not_all_meet(spark, monkeypatch):
+    """Members hold their pivot, one passage that all have, and twelve shingles that only their twin has."""
+    made, whole = [], B.shared_beyond
+
+    def counted(beyond, least):
+        made.append(whole(beyond, least).count())
+        return whole(beyond, least)
+
+    monkeypatch.setattr(B, "shared_beyond", counted)
+    for n in (200, 400):
+        rows = []
+        for i in range(n):
+            twin = [1000 + 100 * (i // 2) + j for j in range(12)]
+            own = [10**6 + 100 * i + j for j in range(9 + i // 2 % 40)]
+            over = [1, 2, 3, 4, 5, *twin, *own]
+            rows.append(("b", f"{i:04d}", 100 + len(over), 100, f"{i:04d}", "b", over, [1] * len(over)))
+        stars = spark.createDataFrame(rows, "b string, digest string, size long, common long, label string, top string, over array<long>, extra array<long>")
+        # Of twins each share 117; that is near enough beside up to 14 of their own.
+        near = {(f"{i:04d}", f"{i + 1:04d}") for i in range(0, n, 2) if 117 >= 0.8 * (2 * len(rows[i][6]) + 200 - 117)}
+        assert near <= {(min(r), max(r)) for r in B.unmet(stars, 0.8).collect()} and near
+    assert made[1] <= 2.2 * made[0] and made[1] <= 12 * 200
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = some_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as label")
