@@ -88,34 +88,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROU
     group's factor; a round without a gap above `tolerance` is the last.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    shares = {d: stage(t) for d, t in targets.items()}
-    factors = {d: t.select(F.col("value").alias(d), F.lit(1.0).alias(f"_f_{d}")) for d, t in shares.items()}
-
-    def weighed(dims) -> DataFrame:
-        out = cells.withColumn("factor", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
-        for d in dims:
-            out = out.join(factors[d], d, "left").withColumn("factor", F.col("factor") * F.coalesce(f"_f_{d}", F.lit(0.0))).drop(f"_f_{d}")
-        return out
-
+    # Each cell has the shares of its groups and the product of their factors, so that a step is one sum for each group.
+    state = cells
+    for d, target in targets.items():
+        state = state.join(target.select(F.col("value").alias(d), F.col("share").alias(f"_share_{d}")), d, "left")
+    aimed = reduce(lambda x, y: x & y, [F.col(f"_share_{d}").isNotNull() for d in targets], F.col("tokens") > 0)
+    state = stage(state.withColumn("factor", F.when(aimed, 1.0).otherwise(0.0)).withColumn("_gap", F.lit(None).cast("double")))
     gaps = []
     for _ in range(rounds):
-        changes = []
-        for d, target in shares.items():
-            have = weighed([x for x in shares if x != d]).groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
-            scaled = target.join(have.where("have > 0"), "value")
-            new = scaled.select(F.col("value").alias(d), (F.col("share") * total / F.col("have")).alias("_new")).join(factors[d], d)
-            change = F.try_divide(F.abs(F.col("_new") - F.col(f"_f_{d}")), F.greatest("_new", f"_f_{d}"))
-            staged = stage(new.select(d, F.col("_new").alias(f"_f_{d}"), change.alias("_gap")))
-            factors[d] = staged.drop("_gap")
-            changes.append(staged.select("_gap"))
-        gaps.append(reduce(DataFrame.union, changes).agg(F.max("_gap")).first()[0] or 0.0)
+        state = state.withColumn("_gap", F.lit(None).cast("double"))
+        for d in targets:
+            have = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("_have"), F.max(f"_share_{d}").alias("_aim"))
+            change = have.where("_have > 0").select(d, (F.col("_aim") * total / F.col("_have")).alias("_change"))
+            gap = F.abs(F.col("_change") - 1) / F.greatest("_change", F.lit(1.0))
+            state = state.join(change, d, "left").withColumn("_gap", F.greatest("_gap", gap)).withColumn("factor", F.col("factor") * F.coalesce("_change", F.lit(0.0))).drop("_change")
+        state = stage(state)
+        gaps.append(state.agg(F.max("_gap")).first()[0] or 0.0)
         if gaps[-1] <= tolerance or len(gaps) > STALLED and gaps[-1] > 0.9 * gaps[-1 - STALLED]:
             break
         if len(gaps) % FREED_EVERY == 0:
             free_shuffles(cells.sparkSession)
     if gaps and gaps[-1] > tolerance:
         warnings.warn(f"raking ended after {len(gaps)} rounds with a marginal off by {gaps[-1]:.1e} of its target", stacklevel=2)
-    return weighed(shares)
+    return state.select(*cells.columns, "factor")
 
 
 def probabilities(fitted: DataFrame, budget: float = BUDGET, steps: int = CAP_STEPS) -> DataFrame:

@@ -74,6 +74,24 @@ def test_marginals_meet_their_targets(spark):
             assert abs(sum(r.tokens * r.factor for r in fitted if r[d] == value) / whole - share) < 1e-3
 
 
+def test_a_round_writes_one_table_and_groups_without_target_get_nothing(spark, monkeypatch):
+    """Before, each step of a round was a job of its own that joined the factors of all dimensions."""
+    cells = spark.createDataFrame([("a", "x", 4.0), ("a", "y", 2.0), ("b", "x", 1.0), ("b", "y", 3.0), ("c", "x", 9.0), ("d", "y", 5.0), ("a", None, 7.0)], "source string, lang string, tokens double")
+    targets = {
+        "source": spark.createDataFrame([("a", 0.5), ("b", 0.5), ("d", 0.0)], "value string, share double"),
+        "lang": spark.createDataFrame([("x", 0.25), ("y", 0.75)], "value string, share double"),
+    }
+    written, whole = [], R.stage
+    monkeypatch.setattr(R, "stage", lambda df: written.append(1) or whole(df))
+    fitted = R.rake(cells, targets, rounds=60).collect()
+    weight = {(r.source, r.lang): r.tokens * r.factor / 31 for r in fitted}
+    assert len(fitted) == 7 and weight["c", "x"] == weight["d", "y"] == weight["a", None] == 0
+    assert abs(weight["a", "x"] + weight["a", "y"] - 0.5) < 1e-9 and abs(weight["a", "x"] + weight["b", "x"] - 0.25) < 1e-9
+    written.clear()
+    R.rake(cells, targets, rounds=4, tolerance=-1.0)
+    assert len(written) <= 5
+
+
 def test_production_setting_meets_the_targets(spark):
     groups = [(s, lang, t) for s in "abc" for lang in ("en", "de") for t in "xy"]
     cells = [(*g, float(n)) for g, n in zip(groups, [900, 90, 50, 30, 60, 80, 40, 50, 70, 300, 30, 20])]
