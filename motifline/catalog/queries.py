@@ -137,7 +137,7 @@ def supplier_series(spark: SparkSession, sf: str) -> DataFrame:
         "cast(l_extendedprice as decimal(12,2)) as x", "cast(l_returnflag = 'R' as int) as label",
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    return with_position(rows, ["l_suppkey"], order, keep=["x", "label"])
+    return with_position(rows, ["l_suppkey"], order, keep=["x", "label"], many=True)
 
 
 # The seeds that runs are repeated with.

@@ -3,7 +3,8 @@
 A series key may hold a third of all rows, so no plan here collects, sorts or
 windows a whole key in one task:
 
-* `with_position` numbers rows through one range sort over (keys, order);
+* `with_position` numbers rows through one range sort over (keys, order); where keys are
+  many, only the long ones need that, the others are numbered in a window of bounded size;
 * `halo` cuts a numbered series into blocks and copies only the edge rows;
 * `over_blocks` and `attach` bring one-row-per-key tables to the rows with the
   block number in the join key.
@@ -75,6 +76,17 @@ def int_div(a: str, b: int) -> Column:
     return F.expr(f"{a} div {b}")
 
 
+def _without_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`df`, which fails where a key column is null."""
+    if not keys:
+        raise ValueError("at least one key column is needed")
+    checked = df
+    for k in keys:
+        failed = F.raise_error(F.lit(f"null in key column {k}")).cast(df.schema[k].dataType)
+        checked = checked.withColumn(k, F.coalesce(F.col(k), failed))
+    return checked
+
+
 def _sorted_parts(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,12 +101,7 @@ def _sorted_parts(
     spread over tasks. The result is written out because range bounds come from
     a sample: computing them twice could give two different answers.
     """
-    if not keys:
-        raise ValueError("at least one key column is needed")
-    checked = df
-    for k in keys:
-        failed = F.raise_error(F.lit(f"null in key column {k}")).cast(df.schema[k].dataType)
-        checked = checked.withColumn(k, F.coalesce(F.col(k), failed))
+    checked = _without_null_keys(df, keys)
     if unique:
         ordered = checked.orderBy(*keys, *order)
     else:
@@ -116,6 +123,8 @@ def with_position(
     unique: bool = False,
     pos: str = "pos",
     n: str = "n",
+    many: bool = False,
+    most_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the 0-based row number `pos` within each key and the key's row count `n`.
 
@@ -126,7 +135,15 @@ def with_position(
     The join with the staged spans is a broadcast only while their file is below
     `spark.sql.autoBroadcastJoinThreshold`; else it shuffles by (keys, sort task),
     where no group is larger than one sort task.
+
+    Say `many` when the keys are many and most are short. Keys are counted first, and those
+    of up to `most_rows` rows are numbered in one window by key: one shuffle, which what
+    is then grouped by key shares, no spans and no join. Their rows are not written, so
+    stage the result if it is read more than once. Longer keys, at most one in
+    `most_rows` rows, go the way of the range sort.
     """
+    if many:
+        return _many_positions(df, keys, order, keep, unique, pos, n, most_rows)
     rows = _sorted_parts(df, keys, order, keep, unique)
     kept = [c for c in rows.columns if c not in ("_part", "_row")]
     by_key = Window.partitionBy(*keys)
@@ -143,6 +160,34 @@ def with_position(
     return rows.join(stage(spans), [*keys, "_part"]).select(*kept, F.expr("_row + _shift").alias(pos), n)
 
 
+def _many_positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    keep: Sequence[str] | None,
+    unique: bool,
+    pos: str,
+    n: str,
+    most_rows: int,
+) -> DataFrame:
+    short = _without_null_keys(df, keys)
+    long = stage(short.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most_rows).select(*keys))
+    some_long = not long.isEmpty()
+    if some_long:
+        short = short.join(F.broadcast(long), list(keys), "left_anti").select(*df.columns)
+    kept = df.columns if keep is None else [*keys, *keep]
+    # Ties go by the same hash as in the range sort, so a row's position does not depend on the way taken.
+    by_key = Window.partitionBy(*keys).orderBy(*order, *([] if unique else [F.xxhash64(*df.columns)]))
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = short.select(
+        *kept, (F.row_number().over(by_key) - 1).cast("long").alias(pos), F.count(F.lit(1)).over(whole).alias(n)
+    )
+    if not some_long:
+        return numbered
+    rest = df.join(F.broadcast(long), list(keys), "left_semi").select(*df.columns)
+    return numbered.unionByName(with_position(rest, keys, order, keep, unique, pos, n))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

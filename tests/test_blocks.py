@@ -43,6 +43,39 @@ def test_hot_key_is_sorted_by_several_tasks(spark):
     assert max(r["count"] for r in parts) < 0.5 * sum(r["count"] for r in parts)
 
 
+def test_many_short_keys_are_numbered_without_range_sort_or_join(spark):
+    df = spark.range(2000).selectExpr("id % 300 as k", "hash(id) % 9 as t", "id as x")
+    got = with_position(df, ["k"], ["t"], keep=["x"], many=True)
+    plan = got.groupBy("k", F.expr("pos div 5")).agg(F.sum("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Join" not in plan
+    # What is grouped by key and position shares the shuffle.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(got.collect()) == sorted(with_position(df, ["k"], ["t"], keep=["x"]).collect())
+
+
+@pytest.mark.parametrize("most_rows", [20, 65_536])
+def test_long_keys_among_many_go_the_way_of_the_range_sort(spark, monkeypatch, most_rows):
+    rows, df = skewed(spark)
+    sorts = []
+    monkeypatch.setattr(blocks, "_sorted_parts", lambda *a, f=blocks._sorted_parts, **b: sorts.append(a[0]) or f(*a, **b))
+    got = with_position(df, ["k"], [F.expr("nullif(t, 7)"), F.desc("id")], many=True, most_rows=most_rows)
+    sizes = {key: sum(r[0] == key for r in rows) for key in {r[0] for r in rows}}
+    long = {key for key, size in sizes.items() if size > most_rows}
+    assert {r.k for found in sorts for r in found.select("k").distinct().collect()} == long
+    expected = with_position(df, ["k"], [F.expr("nullif(t, 7)"), F.desc("id")])
+    assert got.columns == expected.columns == ["k", "t", "id", "v", "pos", "n"]
+    assert sorted(got.collect()) == sorted(expected.collect())
+
+
+def test_null_among_many_keys_fails(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "k string, t int")
+    with pytest.raises(Exception, match="null in key column k"):
+        with_position(df, ["k"], ["t"], many=True).collect()
+    with pytest.raises(ValueError):
+        with_position(df, [], ["t"], many=True)
+    assert with_position(df.where("k = 'b'"), ["k"], ["t"], many=True).collect() == []
+
+
 def test_null_key_fails(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, t int")
     with pytest.raises(Exception, match="null in key column k"):

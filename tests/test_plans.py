@@ -41,6 +41,16 @@ def test_rows_never_meet_in_one_task(spark, roles):
             assert "_block" in window
 
 
+@pytest.mark.parametrize("series", [Q.supplier_series])
+def test_series_of_many_keys_are_shuffled_once(spark, sf, series):
+    """Before, the rows were sorted by range, written, and joined with the spans of the keys: by a shuffle, where keys are many."""
+    df = series(spark, sf)
+    key = df.columns[0]
+    used = df if "role" in df.columns else df.withColumn("role", F.lit("train"))
+    plan = physical(symbols.paa(used, [key, "role"], 5))
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_small_models_keep_out_loops_and_products(spark, roles):
     counts = X.count_roles(roles, ["event_type"], X.Params(alphabet_size=6, window=4))
     edges = blocks.stage(A.fit_automaton(counts.where("role = 'train'"), ["event_type"]))
