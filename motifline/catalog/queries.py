@@ -348,7 +348,7 @@ def short_series(spark: SparkSession, sf: str) -> DataFrame:
         "cast(l_extendedprice as decimal(12,2)) as x", "cast(l_returnflag = 'R' as int) as label",
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]
-    return splits.chrono_split(with_position(rows, ["l_partkey"], order, keep=["x", "label"]), train=0.5, val=0.0)
+    return splits.chrono_split(with_position(rows, ["l_partkey"], order, keep=["x", "label"], many=True), train=0.5, val=0.0)
 
 
 def transition_probability(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,7 +427,7 @@ def skipped_series(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").selectExpr(
         "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "cast(l_extendedprice as decimal(12,2)) as x"
     )
-    series = with_position(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], keep=["x"])
+    series = with_position(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], keep=["x"], many=True)
     return X.skipped(splits.chrono_split(series), ["l_partkey"])
 
 

@@ -41,7 +41,7 @@ def test_rows_never_meet_in_one_task(spark, roles):
             assert "_block" in window
 
 
-@pytest.mark.parametrize("series", [Q.supplier_series])
+@pytest.mark.parametrize("series", [Q.supplier_series, Q.short_series])
 def test_series_of_many_keys_are_shuffled_once(spark, sf, series):
     """Before, the rows were sorted by range, written, and joined with the spans of the keys: by a shuffle, where keys are many."""
     df = series(spark, sf)
