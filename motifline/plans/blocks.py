@@ -177,6 +177,8 @@ def _many_positions(
         short = short.join(F.broadcast(long), list(keys), "left_anti").select(*df.columns)
     kept = df.columns if keep is None else [*keys, *keep]
     # Ties go by the same hash as in the range sort, so a row's position does not depend on the way taken.
+    # The rows are dealt first: the hash need not travel.
+    short = short.repartition(*keys)
     by_key = Window.partitionBy(*keys).orderBy(*order, *([] if unique else [F.xxhash64(*df.columns)]))
     whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     numbered = short.select(
