@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifline.llm.common import apart
+from motifline.llm.common import apart, slices
 from motifline.plans.blocks import stage
 
 WORDS, BANDS, ROWS = 5, 24, 5
-CHUNK_BYTES = 2 << 20
+#: Letters that a Python worker takes up at once, beyond one row. Its arrays hold some hundred bytes for each, and workers share an executor's memory.
+CHUNK_BYTES = 1 << 18
 #: Ratio of the sizes that a band of sizes holds.
 SIZE_BAND = 1.1
 # A fixed odd base and its inverse modulo 2**64.
@@ -149,7 +150,7 @@ def overlap(a: bytes, b: bytes) -> tuple[int, int, float, np.ndarray, np.ndarray
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches whose texts together have at most about a chunk of letters, at least one row each."""
-    for b in batches:
+    for b in slices(batches):
         texts = [t or "" for t in b.column(column).to_pylist()]
         start = size = 0
         for i, t in enumerate(texts):

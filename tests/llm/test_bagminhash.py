@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from motifline.llm import bagminhash as B
@@ -195,3 +198,19 @@ def test_components_of_long_paths(spark):
     more = spark.createDataFrame([("x", "y"), ("z", "y")], "a string, b string")
     got = {r.node: r.label for r in B.components(links.union(more)).collect()}
     assert {got[f"{i:03d}"] for i in range(41)} == {"000"} and {got[n] for n in "xyz"} == {"x"}
+
+
+@pytest.mark.parametrize("task", [B._keys_of, B._bags_of])
+def test_a_worker_takes_up_few_texts_at_once(task):
+    """A batch as large as Spark makes it took 100 MB and more in each worker, beside the executor's heap."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], names=["digest", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in task(iter([batch]))) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
