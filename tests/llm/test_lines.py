@@ -185,3 +185,28 @@ def test_lines_that_differ_in_a_few_words_do_not_meet(spark):
 def test_plan_has_no_python(spark, capsys):
     L.report(frame(spark, some_rows())).explain()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", capsys.readouterr().out)
+
+
+def test_a_text_is_hashed_once_and_not_for_each_line(spark):
+    """The whole text went along with each of its lines and was hashed there."""
+    plan = L.lines_of(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    kept = re.search(r"Generate posexplode\(.*?\), \[(.*?)\]", plan, re.S)[1]
+    assert "_row" in kept and "_tag" in kept and "text" not in kept
+
+
+def test_lines_of_one_length_look_up_one_way(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(6, 30)))
+        i, j = sorted(rnd.sample(range(len(a)), 2))
+        b = a[:i] + "z" + a[i:j] + a[j + 1 :]
+        rows += [a, b] if rnd.random() < 0.5 else [b, a]
+    texts = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(rows)], "id long, line string, n int")
+    own, every = ([set() for _ in rows] for _ in range(2))
+    for r in L.keys_of(texts, 2, 1).collect():
+        every[r.id].add(r.key)
+        if r.own:
+            own[r.id].add(r.key)
+    assert all(own[k] & every[k + 1] or own[k + 1] & every[k] for k in range(0, len(rows), 2))
+    assert max(map(len, every)) == 11
